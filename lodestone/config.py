@@ -59,6 +59,9 @@ FUSED_DECIMALS = 9
 BROADCAST_MAX_ROWS = 200_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
+# Query vectors sent to each task of a vector search; a larger set is spread over tasks.
+DENSE_MAX_QUERIES = 2048
+
 # Copies of the small side when a lookup is salted instead of broadcast.
 LOOKUP_SALTS = 32
 

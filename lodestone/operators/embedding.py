@@ -69,9 +69,16 @@ def model_embedder(load: Callable[[], Callable[[list[str]], np.ndarray]]) -> Emb
     return vectors
 
 
-def embed(df: DataFrame, text_col: str, embedder: Embedder | None = None) -> DataFrame:
-    """Adds `embedding`. Use the same embedder for chunks and for queries."""
-    return df.withColumn("embedding", (embedder or hash_embedder())(F.col(text_col)))
+def embed(
+    df: DataFrame, text_col: str, embedder: Embedder | None = None, spread_by: str | None = None
+) -> DataFrame:
+    """Adds `embedding`. Use the same embedder for chunks and for queries.
+
+    Vectors cost far more than moving their texts. With `spread_by`, usually the chunk id, the
+    texts are first spread evenly, whatever the sizes of the input splits and files are.
+    """
+    placed = df.repartition(spread_by) if spread_by else df
+    return placed.withColumn("embedding", (embedder or hash_embedder())(F.col(text_col)))
 
 
 def check_dim(df: DataFrame, dim: int = config.EMBEDDING_DIM, on_error: str = "raise") -> DataFrame:

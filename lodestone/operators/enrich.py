@@ -412,15 +412,17 @@ def locate_chunks(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """
     content = F.col("content")
     first = tx.strip(F.regexp_extract(content, r"\A[\s\x1c-\x1f\x85\p{Z}]*([^\n]*)", 1))
-    at = F.when(first != "", F.call_function("instr", F.col("_text"), first))
-    start = tx.count_of(F.substr(F.col("_text"), F.lit(1), at - 1), "\n")
-    end = start + tx.count_of(content, "\n")
-    joined = chunks.join(docs.select("doc_id", F.col("text").alias("_text")), "doc_id", "left")
-    search = F.col("_text").isNotNull() & (F.coalesce("start_line", F.lit(0)) == 0)
-    found = F.coalesce(at, F.lit(0)) > 0
+    joined = (
+        chunks.join(docs.select("doc_id", F.col("text").alias("_text")), "doc_id", "left")
+        .withColumn("_search", F.col("_text").isNotNull() & (F.coalesce("start_line", F.lit(0)) == 0))
+        .withColumn("_first", F.when(F.col("_search"), first))
+        .withColumn("_at", F.when(F.col("_first") != "", F.call_function("instr", "_text", "_first")))
+        .withColumn("_line", F.when(F.col("_at") > 0, tx.count_of(F.substr("_text", F.lit(1), F.col("_at") - 1), "\n")))
+    )
+    end = F.col("_line") + tx.count_of(content, "\n")
     located = {
-        "start_line": F.when(search, F.when(found, start).otherwise(0)).otherwise(F.col("start_line")),
-        "end_line": F.when(search, F.when(found, end).otherwise(0)).otherwise(F.col("end_line")),
+        "start_line": F.when(F.col("_search"), F.coalesce("_line", F.lit(0))).otherwise(F.col("start_line")),
+        "end_line": F.when(F.col("_search"), F.coalesce(end, F.lit(0))).otherwise(F.col("end_line")),
     }
     return joined.select(*[
         located[c].cast("int").alias(c) if c in located else F.col(c) for c in chunks.columns
@@ -440,7 +442,7 @@ def enrich_chunks(
     without a known document passes unchanged. One join per kind of context, on the document.
     """
     lines = code_lines(code_documents(docs))
-    joined = locate_chunks(chunks, docs)
+    joined = locate_chunks(chunks.repartition("doc_id"), docs)
     content = F.col("content")
     parts = []
     if include_imports:

@@ -10,6 +10,11 @@ from lodestone.operators.filters import guard_query
 from lodestone.plans.sizing import fits_broadcast, lookup_join
 
 
+def _terms(chunks: DataFrame) -> DataFrame:
+    placed = chunks.select("chunk_id", "content").repartition("chunk_id")
+    return placed.select("chunk_id", tx.tokens(F.col("content")).alias("terms"))
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """(chunk_id, term, tf, dl, leads): how often a term occurs in a chunk of `dl` terms.
 
@@ -17,10 +22,10 @@ def postings(chunks: DataFrame) -> DataFrame:
     chunk. All terms of a chunk are then in one task, so neither this count nor the sum of
     scores per chunk in a search needs another shuffle.
     """
-    placed = chunks.select("chunk_id", "content").repartition("chunk_id")
-    terms = placed.select("chunk_id", tx.tokens(F.col("content")).alias("terms"))
+    # The outer form keeps Spark from tokenizing once more to drop empty texts ahead of it.
     return (
-        terms.select("chunk_id", F.size("terms").alias("dl"), F.posexplode("terms").alias("at", "term"))
+        _terms(chunks).select("chunk_id", F.size("terms").alias("dl"), F.posexplode_outer("terms").alias("at", "term"))
+        .where(F.col("term").isNotNull())
         .groupBy("chunk_id", "term")
         .agg(
             F.count(F.lit(1)).alias("tf"),
@@ -36,15 +41,33 @@ def corpus_size(postings: DataFrame) -> DataFrame:
     return postings.agg(n.alias("n"), (F.sum("tf") / n).alias("avgdl"))
 
 
+def corpus_size_of(chunks: DataFrame) -> DataFrame:
+    """The same row straight from the texts, placed as for `postings` so that both share the shuffle."""
+    length = _terms(chunks).select(F.size("terms").alias("dl"))
+    n = F.count_if(F.col("dl") > 0)
+    return length.agg(n.alias("n"), (F.sum("dl") / n).alias("avgdl"))
+
+
+def term_bucket(term: Column, buckets: int = config.POSTINGS_BUCKETS) -> Column:
+    """Where a stored postings table keeps a term."""
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
 def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def _scalar(size: DataFrame) -> Column:
+    """The one row of `corpus_size` as a value each task gets, computed once."""
+    return size.select(F.struct("n", "avgdl")).scalar()
+
+
 def corpus_stats(postings: DataFrame) -> DataFrame:
     """(term, df, n, avgdl) for every term of the corpus."""
     size = corpus_size(postings)
+    whole = _scalar(size)
     return document_frequency(postings).select(
-        "term", "df", size.select("n").scalar().alias("n"), size.select("avgdl").scalar().alias("avgdl")
+        "term", "df", whole["n"].alias("n"), whole["avgdl"].alias("avgdl")
     )
 
 
@@ -68,27 +91,27 @@ def top_k(hits: DataFrame, k: int, id_col: str = "chunk_id", decimals: int = con
     return rounded.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25_topk(queries: DataFrame, postings: DataFrame, k: int = config.TOP_K_BM25) -> DataFrame:
+def bm25_topk(
+    queries: DataFrame, postings: DataFrame, k: int = config.TOP_K_BM25, size: DataFrame | None = None
+) -> DataFrame:
     """(query_id, chunk_id, score, rank) of the chunks that share a term with the query.
 
     `postings` may come from `postings()` or from a stored table; with a `term_bucket` column
-    only the buckets of the asked terms are read.
+    only the buckets of the asked terms are read. `size` is the row of `corpus_size` when it is
+    known; else all postings are read for it.
     """
     asked = query_terms(queries)
     keys = ["term"]
     if "term_bucket" in postings.columns:
-        from lodestone.sources.index_store import term_bucket
-
         asked = asked.withColumn("term_bucket", term_bucket(F.col("term")))
         keys.append("term_bucket")
     small = fits_broadcast(asked)
     wanted = asked.select(*keys).distinct()
     found = postings.join(F.broadcast(wanted) if small else wanted, keys, "left_semi")
-    size = corpus_size(postings)
+    size = corpus_size(postings) if size is None else size
     terms = asked.join(document_frequency(found), "term").select("query_id", "term", "df")
     hits = lookup_join(found, terms, "term", spread="chunk_id", broadcast=small)
-    weight = bm25_weight(
-        F.col("tf"), F.col("dl"), F.col("df"), size.select("n").scalar(), size.select("avgdl").scalar()
-    )
+    whole = _scalar(size)
+    weight = bm25_weight(F.col("tf"), F.col("dl"), F.col("df"), whole["n"], whole["avgdl"])
     scored = hits.groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("score"))
     return top_k(scored, k)

@@ -135,9 +135,9 @@ def _per_cell(k: int, id_name: str, id_type: pa.DataType) -> Callable:
     return step
 
 
-def _many_queries(corpus: DataFrame, queries: DataFrame, k: int, n_queries: int, id_col: str, step, schema) -> DataFrame:
+def _many_queries(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, step, schema) -> DataFrame:
     """Query block x corpus block cells, placed by Spark; nothing passes through the driver."""
-    n_query_blocks = -(-n_queries // _QUERY_BLOCK)
+    n_query_blocks = max(1, -(-queries.count() // _QUERY_BLOCK))
     n_corpus_blocks = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block_of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
@@ -159,27 +159,24 @@ def dense_topk(
     corpus: DataFrame,
     k: int = config.TOP_K_EMBEDDING,
     id_col: str = "chunk_id",
-    max_query_bytes: int = config.BROADCAST_MAX_BYTES,
+    max_queries: int = config.DENSE_MAX_QUERIES,
 ) -> DataFrame:
     """(query_id, <id_col>, score, rank) by cosine, exact.
 
-    Both tables carry `embedding`; rows without one do not take part. A query block within
-    `max_query_bytes` is sent to every task of the corpus, which is not shuffled. A larger
-    set of queries is spread over cells of query block x corpus block.
+    Both tables carry `embedding`; rows without one do not take part. Up to `max_queries`
+    queries are sent to every task of the corpus, which is not shuffled. A larger set is
+    spread over cells of query block x corpus block.
     """
     corpus = corpus.select(id_col, "embedding").where(F.size("embedding") > 0)
     queries = queries.select(F.col("query_id").cast("bigint"), "embedding").where(F.size("embedding") > 0)
     is_text = isinstance(corpus.schema[id_col].dataType, StringType)
     id_type = pa.string() if is_text else pa.int64()
     schema = f"query_id bigint, {id_col} {'string' if is_text else 'bigint'}, score double"
-    n_queries, n_values = queries.agg(F.count(F.lit(1)), F.sum(F.size("embedding"))).first()
-    if (n_values or 0) * 8 > max_query_bytes:
-        step = _per_cell(k, id_col, id_type)
-        hits = _many_queries(corpus, queries, k, n_queries, id_col, step, schema)
+    sent = queries.limit(max_queries + 1).toArrow()
+    if sent.num_rows > max_queries or sent.nbytes * 2 > config.BROADCAST_MAX_BYTES:
+        hits = _many_queries(corpus, queries, k, id_col, _per_cell(k, id_col, id_type), schema)
+    elif sent.num_rows == 0:
+        hits = corpus.sparkSession.createDataFrame([], schema)
     else:
-        table = queries.toArrow()
-        ids, vectors = _ids(table.column(0)), _matrix(table.column(1)) if n_queries else None
-        if not n_queries:
-            return top_k(corpus.sparkSession.createDataFrame([], schema), k, id_col)
-        hits = corpus.mapInArrow(_against(ids, vectors, k, id_col, id_type), schema)
+        hits = corpus.mapInArrow(_against(_ids(sent.column(0)), _matrix(sent.column(1)), k, id_col, id_type), schema)
     return top_k(hits, k, id_col)

@@ -49,7 +49,7 @@ def chunk_files(
     chunks = chunking.chunk_docs(docs, text_mode)
     if enrich_code:
         chunks = enrich.enrich_chunks(chunks, docs)
-    return docs, embed(chunks, "content", embedder)
+    return docs, embed(chunks, "content", embedder, spread_by="chunk_id")
 
 
 def ingest_files(files: DataFrame, max_mb: float = config.MAX_FILE_MB, **options) -> Ingestion:

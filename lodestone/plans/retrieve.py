@@ -19,23 +19,28 @@ def hybrid_search(
     join_mode: str = config.JOIN_MODE,
     embedder: Embedder | None = None,
     postings: DataFrame | None = None,
+    size: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, rank, score, chunk_id, content, metadata): BM25 and vector top-k, fused.
 
     `index` has `chunk_id`, `content`, `embedding`, `metadata`; `queries` has `query_id`,
-    `query`. The vector column does not enter the keyword branch. Stored postings save the
-    tokenizing of the corpus.
+    `query`. The vector column does not enter the keyword branch. Stored `postings` and their
+    `size` save the tokenizing of the corpus.
     """
     asked = guard_query(queries).where(F.col("status") == "ok")
     vectors = embed(asked, "query", embedder)
-    lexical = keyword.bm25_topk(asked, keyword.postings(index) if postings is None else postings, top_k_bm25)
+    if postings is None:
+        postings, size = keyword.postings(index), keyword.corpus_size_of(index)
+    lexical = keyword.bm25_topk(asked, postings, top_k_bm25, size)
     dense = vector.dense_topk(vectors, index, top_k_embedding)
     ranked = fusion.fuse([lexical, dense], join_mode)
-    return with_chunks(ranked, index)
+    per_query = top_k_bm25 + top_k_embedding
+    few = fits_broadcast(asked.select("query_id"), config.BROADCAST_MAX_ROWS // max(per_query, 1))
+    return with_chunks(ranked, index, broadcast=few)
 
 
-def with_chunks(ranked: DataFrame, index: DataFrame) -> DataFrame:
-    """Ranked hits with the stored text. The hits are few, the index is not."""
+def with_chunks(ranked: DataFrame, index: DataFrame, broadcast: bool) -> DataFrame:
+    """Ranked hits with the stored text. `broadcast` when the number of hits is known to be small."""
     rows = index.select("chunk_id", "content", "metadata")
-    hits = F.broadcast(ranked) if fits_broadcast(ranked) else ranked
+    hits = F.broadcast(ranked) if broadcast else ranked
     return rows.join(hits, "chunk_id").select("query_id", "rank", "score", "chunk_id", "content", "metadata")

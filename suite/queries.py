@@ -386,7 +386,9 @@ def enrich_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells of each vector that are not zero."""
-    vectors = embedding.embed(_window_chunks(spark, sf_dir), "content", embedding.hash_embedder(HASH_DIM))
+    vectors = embedding.embed(
+        _window_chunks(spark, sf_dir), "content", embedding.hash_embedder(HASH_DIM), spread_by="chunk_id"
+    )
     cells = vectors.select("chunk_id", F.posexplode("embedding").alias("bucket", "value")).where("value != 0")
     return cells.select(
         "chunk_id", F.col("bucket").cast("bigint").alias("bucket"),
@@ -422,7 +424,9 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = keyword.bm25_topk(views.asked(spark, sf_dir), keyword.postings(_window_chunks(spark, sf_dir)))
+    chunks = _window_chunks(spark, sf_dir)
+    size = keyword.corpus_size_of(chunks)
+    found = keyword.bm25_topk(views.asked(spark, sf_dir), keyword.postings(chunks), size=size)
     return _bigints(found, "rank")
 
 
@@ -431,7 +435,8 @@ def bm25_topk_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same search on stored postings, read by term bucket."""
     path = _path(spark, "postings")
     index_store.write_postings(keyword.postings(_window_chunks(spark, sf_dir)), path)
-    found = keyword.bm25_topk(views.asked(spark, sf_dir), index_store.read_postings(spark, path))
+    stored, size = index_store.read_postings(spark, path)
+    found = keyword.bm25_topk(views.asked(spark, sf_dir), stored, size=size)
     return _bigints(found, "rank")
 
 
@@ -451,11 +456,11 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dense_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same search on the path for more queries than may be sent to each task."""
     asked, rows = _vectors(spark, sf_dir)
-    return _bigints(vector.dense_topk(asked, rows, id_col="vec_id", max_query_bytes=0), "rank")
+    return _bigints(vector.dense_topk(asked, rows, id_col="vec_id", max_queries=0), "rank")
 
 
 def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding.embed(_window_chunks(spark, sf_dir), "content")
+    return embedding.embed(_window_chunks(spark, sf_dir), "content", spread_by="chunk_id")
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
