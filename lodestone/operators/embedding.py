@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +57,6 @@ def hash_embedder(dim: int = config.EMBEDDING_DIM) -> Embedder:
 
 def model_embedder(load: Callable[[], Callable[[list[str]], np.ndarray]]) -> Embedder:
     """A user's model. `load` runs once per Python worker and returns texts -> matrix."""
-    from collections.abc import Iterator
-
     @F.arrow_udf("array<float>")
     def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load()

@@ -18,7 +18,7 @@ from lodestone.functions import text as tx
 _JS_METHOD = (
     r"^\s*(?!(?:if|for|while|switch|catch|with|function|return|else|do|try)\b)"
     r"(?:(?:public|private|protected|static|readonly|override|async|get|set)\s+)*[*#]?[\p{L}_$][\p{L}\p{N}_$]*"
-    r"\s*\([^;]*\)\s*(?::[^{;=]+)?\{"
+    r"\s*\((?:[^();]|\([^()]*\))*\)\s*(?::[^{;=]+)?\{"
 )
 _JS = {
     "class": r"^\s*(?:export\s+)?(?:default\s+)?class\s+[\p{L}_$]",
@@ -152,7 +152,8 @@ def scopes(lines: DataFrame) -> DataFrame:
     """(doc_id, language, kind, start_line, end_line, ...) of each class and function.
 
     A header at a level ends before the next line that closes this level. Python: a line
-    closes every level from its own indentation to that of the line before. Other languages:
+    closes every level from its own indentation to that of the line before; a scope keeps the
+    blank lines that follow its body. Other languages:
     an unmatched closing brace closes the level it returns to. So the number of closing
     events is linear in the text, and a header finds its event in one running window per
     (document, level).
@@ -174,11 +175,16 @@ def scopes(lines: DataFrame) -> DataFrame:
         .withColumn("_openers", tx.count_of(F.col("_residue"), "{"))
     )
     previous = lambda keep, value: F.last(F.when(F.col(keep), F.col(value)), ignorenulls=True).over(_before())
-    tail = F.max(F.when(F.col("body"), F.col("line_no"))).over(Window.partitionBy("doc_id"))
+    document = Window.partitionBy("doc_id")
+    filled = tx.strip(F.col("line")) != ""
+    after_body = F.when(filled & (F.col("line_no") > F.col("_last_body")), F.col("line_no"))
     placed = (
         flagged.withColumn("_prev_indent", previous("structural", "indent"))
         .withColumn("_prev_body", previous("body", "line_no"))
-        .withColumn("_tail", tail)
+        .withColumn("_last_body", F.max(F.when(F.col("body"), F.col("line_no"))).over(document))
+        .withColumn("_tail", F.coalesce(F.min(after_body).over(document) - 1, F.max("line_no").over(document)))
+        # The first line with text after the body before it: the closing line, or a comment above it.
+        .withColumn("_next_text", F.min(F.when(filled, F.col("line_no"))).over(Window.partitionBy("doc_id", "_prev_body")))
     )
     base = F.col("depth") - F.col("_closers")
     own_level = F.when(is_python, F.col("indent")).otherwise(base)
@@ -190,7 +196,7 @@ def scopes(lines: DataFrame) -> DataFrame:
         .when(~is_python & (F.col("_closers") > 0), F.sequence(base, F.greatest(F.col("depth") - 1, base)))
         .otherwise(F.array().cast("array<int>"))
     )
-    ends_at = F.when(is_python, F.col("_prev_body")).otherwise(F.col("line_no"))
+    ends_at = F.when(is_python, F.col("_next_text") - 1).otherwise(F.col("line_no"))
     no_body = ~is_python & (F.col("_openers") == 0) & (
         F.col("code").contains("{") | F.col("code").rlike(r";\s*$") | ~_has_open_bracket_or_next_brace()
     )
@@ -300,18 +306,17 @@ def context_stub(signature: Column) -> Column:
 def extract_imports(lines: DataFrame) -> DataFrame:
     """(doc_id, language, line_no, import_text): statements in order, nested and multi-line ones too.
 
-    A statement goes on while its brackets stay open.
+    A statement goes on while its brackets stay open or a Python line ends in a backslash.
     """
     starts = _rule("import") & ~F.col("inside")
     marked = lines.withColumn("_start", starts).withColumn("_no", F.sum(F.when(starts, 1).otherwise(0)).over(_so_far()))
     within = _so_far("_no")
-    lowest = F.min(F.when(~F.col("_start"), F.col("bracket_depth"))).over(within)
-    base = F.first("bracket_depth").over(within)
-    first_line = F.first("line_no").over(within)
+    carried = (F.col("language") == "python") & F.lag("line").over(_by_line("_no")).rlike(r"\\\s*\z")
     parts = (
         marked.where("_no > 0")
-        .withColumn("_open", F.col("_start") | (lowest > base))
-        .withColumn("_first", first_line)
+        .withColumn("_first", F.first("line_no").over(within))
+        .withColumn("_goes_on", (F.col("bracket_depth") > F.first("bracket_depth").over(within)) | carried)
+        .withColumn("_open", F.col("_start") | F.min(F.when(~F.col("_start"), F.col("_goes_on"))).over(within))
         .where("_open")
     )
     entry = F.struct("line_no", "line")

@@ -11,10 +11,14 @@ from lodestone.functions import paths, text as tx
 def is_binary(content: Column, read_error: Column | None = None) -> Column:
     """The first characters do not decode as UTF-8, or the file may not be read.
 
-    Four bytes per character always hold the whole sample, so no character is cut.
+    Four bytes per character always hold the whole sample. Repairing the bytes changes them
+    exactly where they do not decode, so a clean sample is still a prefix of what was read.
+    Character functions must not see the bytes before that: they trust their lengths.
     """
-    raw = F.substring(content, 1, 4 * config.BINARY_SAMPLE_CHARS).cast("string")
-    bad = ~F.is_valid_utf8(F.substring(raw, 1, config.BINARY_SAMPLE_CHARS))
+    raw = F.substring(content, 1, 4 * config.BINARY_SAMPLE_CHARS)
+    repaired = F.make_valid_utf8(raw.cast("string"))
+    sample = F.encode(F.substring(repaired, 1, config.BINARY_SAMPLE_CHARS), "UTF-8")
+    bad = ~F.startswith(raw, sample)
     if read_error is None:
         return bad
     return F.coalesce(read_error == "PermissionError", F.lit(False)) | F.coalesce(bad, F.lit(False))

@@ -106,7 +106,8 @@ def bm25_topk(
         asked = asked.withColumn("term_bucket", term_bucket(F.col("term")))
         keys.append("term_bucket")
     small = fits_broadcast(asked)
-    wanted = asked.select(*keys).distinct()
+    # Terms are never empty; Spark prunes partitions only by a side that has such a filter.
+    wanted = asked.where(F.col("term") != "").select(*keys).distinct()
     found = postings.join(F.broadcast(wanted) if small else wanted, keys, "left_semi")
     size = corpus_size(postings) if size is None else size
     terms = asked.join(document_frequency(found), "term").select("query_id", "term", "df")

@@ -13,8 +13,9 @@ from lodestone import config
 from lodestone.operators.keyword import top_k
 
 _SCALE = 10**config.SCORE_DECIMALS
-_CORPUS_BLOCK = 4096
-_QUERY_BLOCK = 2048
+_QUERY_BLOCK = 4096
+# Scores held at a time: queries of a block x corpus rows.
+_CELLS = 4_000_000
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
@@ -79,16 +80,17 @@ def _ids(column: pa.Array) -> np.ndarray:
     return values.astype(str) if values.dtype == object else values
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for start in range(0, batch.num_rows, _CORPUS_BLOCK):
-        yield batch.slice(start, _CORPUS_BLOCK)
+def _blocks(batch: pa.RecordBatch, n_queries: int) -> Iterator[pa.RecordBatch]:
+    rows = max(64, _CELLS // max(n_queries, 1))
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
 
 
 def _against(query_ids: np.ndarray, queries: np.ndarray, k: int, id_name: str, id_type: pa.DataType) -> Callable:
     def step(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Running(query_ids, queries, k)
         for batch in batches:
-            for block in _blocks(batch):
+            for block in _blocks(batch, len(query_ids)):
                 best.add(_ids(block.column(0)), _matrix(block.column(1)))
         result = best.result(id_name, id_type)
         if result is not None:
@@ -126,7 +128,7 @@ def _per_cell(k: int, id_name: str, id_type: pa.DataType) -> Callable:
                         continue
                     ids = np.concatenate([np.asarray(p.column(3)) for p in held])
                     best = _Running(ids, np.concatenate([_matrix(p.column(5)) for p in held]), k)
-                for block in _blocks(part):
+                for block in _blocks(part, len(best.query_ids)):
                     best.add(_ids(block.column(4)), _matrix(block.column(5)))
         result = flush()
         if result is not None:

@@ -10,6 +10,7 @@ from lodestone import config
 from lodestone.functions import paths
 from lodestone.operators import chunking, enrich, filters, ignore, reports
 from lodestone.operators.embedding import Embedder, embed
+from lodestone.plans import scratch
 from lodestone.sources import tree
 from lodestone.sources.texts import read_text
 
@@ -64,23 +65,30 @@ def ingest_files(files: DataFrame, max_mb: float = config.MAX_FILE_MB, **options
 def ingest_roots(
     spark: SparkSession, roots: list[str], max_mb: float = config.MAX_FILE_MB, **options
 ) -> Ingestion:
-    """Trees on shared storage to index rows. Ignored files are dropped before their content is read."""
+    """Trees on shared storage to index rows.
+
+    The trees are listed once and each file is opened once: the listing and the classified
+    files, with the bytes of those to process, become tables in the shared folder. Ignored
+    files are dropped before their content is read.
+    """
     table = spark.createDataFrame([(r,) for r in roots], "root string")
-    listing = tree.list_files(table, skip_dirs=[".git"])
+    listing = scratch.materialize(tree.list_files(table, skip_dirs=[".git"]), "listing")
     ignore_files = tree.read_content(listing.where(F.col("rel_path") == config.IGNORE_FILE), max_mb=None)
     found = listing.select("repo_name", "rel_path", F.lit(None).cast("string").alias("text"))
     texts = read_text(ignore_files).select("repo_name", "rel_path", "text")
     patterns = ignore.load_ignore(found.unionByName(texts))
     listed = ignore.with_ignore_status(listing, ignore.compile_rules(patterns))
     reached = listed.where(~F.col("ignore_status").eqNullSafe("pruned"))
-    skipped = reached.where(F.col("ignore_status").isNotNull())
+    ignored = reached.where(F.col("ignore_status").isNotNull())
     read = tree.read_content(reached.where(F.col("ignore_status").isNull()), max_mb)
-    columns = ["repo_name", "rel_path", "length", "content", "read_error", "ignore_status"]
+    columns = ["repo_name", "rel_path", "length", "mtime", "content", "read_error", "ignore_status"]
     kept = read.withColumn("ignore_status", F.lit(None).cast("string")).select(columns)
-    named = skipped.withColumn("content", F.lit(None).cast("binary")).withColumn(
+    unread = ignored.withColumn("content", F.lit(None).cast("binary")).withColumn(
         "read_error", F.lit(None).cast("string")
-    ).select(columns)
-    classified = filters.with_skip_reason(kept.unionByName(named), max_mb)
+    )
+    classified = filters.with_skip_reason(kept.unionByName(unread.select(columns)), max_mb)
+    content = F.when(F.col("skip_reason").isNull(), F.col("content"))
+    classified = scratch.materialize(classified.withColumn("content", content), "classified")
     status = reports.ingest_status(read_text(to_process(classified)))
     docs, chunks = chunk_files(status, **options)
     return Ingestion(patterns, classified, status, docs, chunks)

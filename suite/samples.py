@@ -134,10 +134,10 @@ IMPORTS = [
 
 # Expected by reading the samples: (language, kind, first line, last line, signature).
 SCOPES = [
-    ("python", "class", 8, 20, "@register\nclass P<K>:"),
-    ("python", "function", 13, 16, "    @cached\n    def price(\n        self,\n    ) -> float:"),
-    ("python", "function", 18, 20, "    def name(self):  # not def other():"),
-    ("python", "function", 22, 24, "def free<K>():"),
+    ("python", "class", 8, 21, "@register\nclass P<K>:"),
+    ("python", "function", 13, 17, "    @cached\n    def price(\n        self,\n    ) -> float:"),
+    ("python", "function", 18, 21, "    def name(self):  # not def other():"),
+    ("python", "function", 22, 25, "def free<K>():"),
     *[
         (script, *scope)
         for script in ("javascript", "typescript")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -116,11 +115,14 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _write_step(root: str):
     def step(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
         for batch in batches:
             for row in batch.itertuples(index=False):
-                path = os.path.join(root, row.repo_name, row.rel_path)
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                with open(path, "wb") as handle:
+                path = f"{base}/{row.repo_name}/{row.rel_path}"
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(path) as handle:
                     handle.write(row.content)
             yield pd.DataFrame({"n": [len(batch)]})
 
