@@ -142,12 +142,6 @@ def code_lines(sources: DataFrame) -> DataFrame:
     )
 
 
-def _next_lines(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("line_1", F.lead("line", 1).over(_by_line())).withColumn(
-        "line_2", F.lead("line", 2).over(_by_line())
-    )
-
-
 def scopes(lines: DataFrame) -> DataFrame:
     """(doc_id, language, kind, start_line, end_line, ...) of each class and function.
 
@@ -162,30 +156,36 @@ def scopes(lines: DataFrame) -> DataFrame:
     has_code = tx.strip(F.col("code")) != ""
     kind = F.when(_rule("class"), F.lit("class")).when(_rule("function"), F.lit("function"))
     # What is left of a line when all its matched braces are gone: closers, then openers.
-    residue = F.col("code")
+    code = F.col("code")
+    residue = code
     for _ in range(4):
         residue = F.regexp_replace(residue, r"\{[^{}]*\}", "")
+    paired = code.contains("{") & code.contains("}")
+    latest = lambda keep, value, frame: F.last(F.when(keep, value), ignorenulls=True).over(frame)
     flagged = (
-        _next_lines(lines)
+        lines.withColumn("filled", tx.strip(F.col("line")) != "")
         .withColumn("body", has_code | F.col("inside"))
         .withColumn("structural", has_code & ~F.col("inside") & (~is_python | (F.col("bracket_depth") == 0)))
         .withColumn("kind", F.when(F.col("structural"), kind))
-        .withColumn("_residue", F.when(is_python, F.lit("")).otherwise(residue))
+        .withColumn("_residue", F.when(is_python, F.lit("")).when(paired, residue).otherwise(code))
         .withColumn("_closers", tx.count_of(F.col("_residue"), "}"))
         .withColumn("_openers", tx.count_of(F.col("_residue"), "{"))
     )
-    previous = lambda keep, value: F.last(F.when(F.col(keep), F.col(value)), ignorenulls=True).over(_before())
-    document = Window.partitionBy("doc_id")
-    filled = tx.strip(F.col("line")) != ""
-    after_body = F.when(filled & (F.col("line_no") > F.col("_last_body")), F.col("line_no"))
-    placed = (
-        flagged.withColumn("_prev_indent", previous("structural", "indent"))
-        .withColumn("_prev_body", previous("body", "line_no"))
-        .withColumn("_last_body", F.max(F.when(F.col("body"), F.col("line_no"))).over(document))
-        .withColumn("_tail", F.coalesce(F.min(after_body).over(document) - 1, F.max("line_no").over(document)))
-        # The first line with text after the body before it: the closing line, or a comment above it.
-        .withColumn("_next_text", F.min(F.when(filled, F.col("line_no"))).over(Window.partitionBy("doc_id", "_prev_body")))
+    filled, body = F.col("filled"), F.col("body")
+    seen = flagged.select(
+        "*",
+        F.lead("line", 1).over(_by_line()).alias("line_1"),
+        F.lead("line", 2).over(_by_line()).alias("line_2"),
+        latest(F.col("structural"), F.col("indent"), _before()).alias("_prev_indent"),
+        latest(filled, body, _before()).alias("_after_body"),
+        latest(filled, body, _so_far()).alias("_in_body"),
     )
+    # The first line with text after a body: the next line of code, or a comment above it.
+    first_after = latest(filled & F.col("_after_body"), F.col("line_no"), _so_far())
+    known = seen.withColumn("_next_text", first_after)
+    reach = F.when(F.col("_in_body"), F.col("line_no")).otherwise(F.col("_next_text") - 1)
+    whole = _by_line().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = known.withColumn("_tail", F.last(reach).over(whole))
     base = F.col("depth") - F.col("_closers")
     own_level = F.when(is_python, F.col("indent")).otherwise(base)
     closes = (

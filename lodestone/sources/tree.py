@@ -111,7 +111,7 @@ def list_files(
     """
     n = _partitions(roots.sparkSession, partitions)
     skip = frozenset(skip_dirs)
-    root = F.regexp_replace("root", r"(?<=.)/+\z", "")
+    root = F.regexp_replace(F.regexp_replace("root", r"\Afile:/+", "/"), r"(?<=.)/+\z", "")
     work = roots.select(
         paths.repo_name(F.col("root")).alias("repo_name"),
         root.alias("root"),
@@ -128,13 +128,18 @@ def list_files(
     )
 
 
-def _open(root: str, rel_path: str):
-    if _is_local(root):
-        return open(os.path.join(root, rel_path), "rb")
+def _open_remote(root: str, rel_path: str):
+    """Bytes as stored: without this, names such as `x.gz` would be unpacked."""
     from pyarrow import fs
 
     system, base = fs.FileSystem.from_uri(root)
-    return system.open_input_stream(_join(base, rel_path))
+    return system.open_input_stream(_join(base, rel_path), compression=None)
+
+
+def _open(root: str, rel_path: str):
+    if _is_local(root):
+        return open(os.path.join(root, rel_path), "rb")
+    return _open_remote(root, rel_path)
 
 
 def _read_step(max_bytes: int | None, sample_bytes: int):

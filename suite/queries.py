@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.functions import display, paths, text as tx
@@ -37,7 +35,7 @@ def _path(spark: SparkSession, label: str) -> str:
 
 @query
 def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = re.sub(r"^file:/+", "/", _path(spark, "tree"))
+    root = _path(spark, "tree")
     views.write_tree(views.files(spark, sf_dir), root)
     repos = views.files(spark, sf_dir).select(F.concat(F.lit(f"{root}/"), "repo_name").alias("root")).distinct()
     found = tree.read_content(tree.list_files(repos))

@@ -122,7 +122,7 @@ def _write_step(root: str):
             for row in batch.itertuples(index=False):
                 path = f"{base}/{row.repo_name}/{row.rel_path}"
                 system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                with system.open_output_stream(path) as handle:
+                with system.open_output_stream(path, compression=None) as handle:
                     handle.write(row.content)
             yield pd.DataFrame({"n": [len(batch)]})
 

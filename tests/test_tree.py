@@ -120,3 +120,22 @@ def test_sample_of_widest_characters(spark):
     )
     flags = rows.select("id", filters.is_binary(F.col("content")).alias("b")).collect()
     assert {r.id: r.b for r in flags} == {1: True, 2: False}
+
+
+def test_object_storage_listing_and_reading(root):
+    """The same steps through the file system layer that serves object stores."""
+    from pathlib import Path
+
+    uri = Path(root).as_uri()
+    top = {name: (is_dir, size) for name, is_dir, size, _ in tree._list_remote(uri, "")}
+    assert top["pkg"] == (True, 0) and top["empty.txt"] == (False, 0) and top["big.txt"][1] == len(FILES["big.txt"])
+    assert [n for n, *_ in tree._list_remote(uri, "pkg")] == ["pkg/__init__.py"]
+    (Path(root) / "a" / "b" / "z.gz").write_bytes(b"not packed")
+    with tree._open_remote(uri, "a/b/z.gz") as handle:
+        assert handle.read(100) == b"not packed"
+    (Path(root) / "a" / "b" / "z.gz").unlink()
+
+
+def test_file_uris_are_local_paths(spark, root):
+    rows = tree.list_files(spark.createDataFrame([("file://" + root + "/",)], "root string")).collect()
+    assert sorted(r.rel_path for r in rows) == sorted(FILES) and {r.root for r in rows} == {root}
