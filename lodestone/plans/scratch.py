@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a local one only in tests without it."""
+    """The folder the cluster names for checkpoints, as it is named.
+
+    Without that setting a local session gets a folder of this machine; a cluster gets an
+    error, since its executors would not share such a folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return re.sub(r"^file:/+", "/", folder).rstrip("/")
+    return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -26,4 +33,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """The rows written once to the shared folder, so that later steps do not compute them again."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this engine, on whatever file system it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def run_folder(spark: SparkSession, label: str) -> Iterator[str]:
+    """A folder for one run that goes when the run ends, failed or not."""
+    path = new_path(spark, label)
+    try:
+        yield path
+    finally:
+        drop(spark, path)
