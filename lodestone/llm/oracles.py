@@ -1,5 +1,119 @@
-"""DuckDB SQL of the queries of this subpackage that SQL can express."""
+"""DuckDB SQL of the queries of this subpackage that SQL can express.
+
+The others have none: fingerprints and SimHash need hashes DuckDB lacks, learnt models and
+seeded choices are not SQL. Their tests compare with brute force or held-out labels.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from lodestone.llm import rules, urls
+
+_SPACE = "\\x20\\x09-\\x0D"
+
+
+def _op2() -> str:
+    tests = "\n  union all ".join(
+        f"select stratum, '{rule}' as rule, {i} as i, {c} as cutoff, count(*) as n, "
+        f"count(*) filter ({top} > {c} * {bottom}) as k from good group by stratum"
+        for rule, (top, bottom) in rules.RULES.items() for i, c in enumerate(rules.CUTOFFS)
+    )
+    cuts = ", ".join(f"min(cutoff) filter (rule = '{rule}') as cut_{rule}" for rule in rules.RULES)
+    rejected = " or ".join(
+        f"coalesce({top} > cut_{rule} * {bottom}, false)" for rule, (top, bottom) in rules.RULES.items()
+    )
+    r = rules.RISK
+    return f"""
+with docs as (
+  select row_number() over () as rid, doc_id, coalesce(lang, '(none)') as stratum, coalesce(text, '') as text from documents
+), cut as (
+  select rid, doc_id, stratum, text, regexp_extract_all(text, '[^{_SPACE}]+') as w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{_SPACE}]')) as l
+  from docs
+), windows as (
+  select rid, i, array_to_string(w[i:i + 4], ' ') as s from (select rid, w, unnest(range(1, len(w) - 3)) as i from cut)
+), again as (
+  select rid, i from (select rid, i, count(*) over (partition by rid, s) as n from windows) where n > 1
+), covered as (
+  select rid, count(distinct i + k) as n_repeat_words from again, range(0, 5) as t(k) group by rid
+), counted as (
+  select rid, doc_id, stratum, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
+    len(regexp_extract_all(text, '{rules.SYMBOLS}')) as n_symbols, len(l) - len(list_distinct(l)) as n_dup_lines,
+    coalesce(n_repeat_words, 0) as n_repeat_words, len(regexp_extract_all(text, '{rules.MARKS}')) as n_marks, len(l) as n_lines
+  from cut left join covered using (rid)
+), measured as (
+  select *, n_words < {rules.MIN_WORDS} or 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words as base_failed from counted
+), good as (
+  select * from measured where not base_failed
+    and doc_id in (select doc_id from labels where quality is not null group by doc_id having max(quality) = 1)
+), tests as (
+  {tests}
+), tails as (
+  select *, case when k > n * {r} then 1.0 else list_sum(list_transform(range(0, k + 1), lambda j:
+      exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({r}) + (n - j) * ln(1 - {r})))) end as tail,
+    {len(rules.RULES)} * (select count(distinct stratum) from good) as m
+  from tests
+), chain as (
+  select *, min(cast(tail <= {rules.DELTA} / m as int)) over (partition by stratum, rule order by i) as ok from tails
+), limits as (
+  select stratum, {cuts} from chain where ok = 1 group by stratum
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and not ({rejected}) as kept
+from measured left join limits using (stratum)"""
+
+
+def _gram(size: int) -> str:
+    value = str(size)
+    for k in range(size):
+        value = f"(({value} * 131 + c[i + {k}]) % 1000003)"
+    return f"list_transform(range(1, len(c) - {size - 2}), lambda i: {value} % {urls.PLACES})"
+
+
+def _places(table: str, columns: str) -> str:
+    """Places of (host, path) of a table; `table` has columns host and path."""
+    grams = ", ".join(_gram(n) for n in urls.GRAMS)
+    return f"""select {columns}, list_distinct(list_concat({grams})) as pl from (
+    select *, list_transform(range(1, length(s) + 1), lambda i: unicode(substr(s, i, 1))) as c from (
+      select *, regexp_replace('^' || host || path || '$', '[0-9]', '0', 'g') as s from {table}))"""
+
+
+def _host_path(table: str, columns: str) -> str:
+    return f"""select {columns}, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') as path
+  from (select *, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from {table})"""
+
+
+def _op10() -> str:
+    rows = ", ".join(f"({label}, '{url}')" for label, url in urls.LABELLED)
+    cases = lambda value: "case " + " ".join(
+        f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{value(v, h, p)}'"
+        for v, h, p in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+    ) + " end"
+    return f"""
+with recursive labelled(label, url) as (values {rows}),
+lh as materialized ({_host_path("labelled", "label")}),
+ex as materialized (select row_number() over (order by label, host, path) as i, cast(label as double) as y, pl
+  from ({_places("lh", "label, host, path")})),
+likes as (
+  select a.i as i, list(len(list_intersect(a.pl, b.pl)) / sqrt(greatest(len(a.pl), 1)) / sqrt(greatest(len(b.pl), 1)) + 1.0 order by b.i) as row
+  from ex a, ex b group by a.i),
+m as materialized (select (select list(row order by i) from likes) as k, (select list(y order by i) from ex) as y),
+descent(t, a) as (
+  select 0, list_transform(y, lambda v: cast(0.0 as double)) from m
+  union all
+  select t + 1, list_transform(range(1, len(a) + 1), lambda i: a[i] * (1 - {urls.RATE} * {urls.DECAY})
+      + {urls.RATE} * (y[i] - 1.0 / (1.0 + exp(-list_dot_product(k[i], a)))))
+  from descent, m where t < {urls.STEPS}),
+fitted as materialized (select i, a[i] as a, pl from ex, descent where t = {urls.STEPS}),
+weights as materialized (
+  select place, sum(a / sqrt(greatest(len(pl), 1))) as w from (select a, pl, unnest(pl) as place from fitted) group by place),
+cut as materialized (select row_number() over () as rid, * from ({_host_path("pages", "page_id")})),
+found as materialized ({_places("cut", "rid, page_id, host, path")}),
+sums as (select rid, sum(w) as s from (select rid, unnest(pl) as place from found) join weights using (place) group by rid)
+select page_id, host, path, {cases(lambda v, h, p: h + p)} as rule,
+  coalesce({cases(lambda v, h, p: v)}, case when coalesce(s, 0) / sqrt(greatest(len(pl), 1)) + (select sum(a) from fitted) > 0
+    then 'block' else 'allow' end) as verdict
+from found left join sums using (rid)"""
+
+
+ORACLES: dict[str, str] = {"op2_quality_rules": _op2(), "op10_urls": _op10()}
