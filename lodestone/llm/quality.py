@@ -27,7 +27,7 @@ from lodestone.llm.tables import known_labels, remainder, sample, spread
 POSITIVE_ROWS = 6_000
 UNLABELLED_ROWS = 12_000
 THRESHOLD = 0.7
-STEPS = 500
+STEPS = 300
 
 #: Characters with a class of their own, after upper, lower, digit and space.
 MARKS = ".,!?#$%&*|<>-_/@:;'\"()"
@@ -109,7 +109,7 @@ def _descend(width: int, gradient, steps: int, rate: float = 0.05) -> np.ndarray
     """Adam on a vector of weights and an intercept."""
     w, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, steps + 1):
-        g = gradient(w)
+        g = gradient(w.astype(np.float32))
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -133,9 +133,14 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1
 
 
 def train(positive: np.ndarray, unlabelled: np.ndarray, steps: int = STEPS, decay: float = 1e-3) -> Model:
-    both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
-    norm = lambda x: np.hstack([((x - mean) / scale).clip(-8, 8), np.ones((len(x), 1))]).astype(np.float32)
+    mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-3
+    used = np.flatnonzero(scale > 2e-3)  # the others say nothing and get weight zero
+
+    def norm(x: np.ndarray) -> np.ndarray:
+        out = np.ones((len(x), len(used) + 1), np.float32)
+        np.clip((x[:, used] - mean[used]) / scale[used], -8, 8, out=out[:, :-1])
+        return out
+
     p, u = norm(positive), norm(unlabelled)
 
     def separate(w: np.ndarray) -> np.ndarray:
@@ -156,7 +161,9 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, steps: int = STEPS, deca
         return prior * ((-_sigmoid(-fp) / len(p)) @ p) + g_negative + penalty
 
     w = _descend(p.shape[1] - 1, risk, steps)
-    return Model(mean, scale, w[:-1], float(w[-1]), prior)
+    weights = np.zeros(positive.shape[1])
+    weights[used] = w[:-1]
+    return Model(mean, scale, weights, float(w[-1]), prior)
 
 
 def fit(
