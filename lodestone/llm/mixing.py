@@ -189,7 +189,7 @@ def _nearest(rows: pd.DataFrame) -> pd.DataFrame:
     sizes = rows["size"].tolist()
     first = 0
     while first < len(sizes) and sizes[first] <= left:
-        chosen[first] = 1
+        chosen[first] = int(sizes[first] > 0)  # an empty document adds nothing to a round
         left -= sizes[first]
         first += 1
     for i in sorted(range(first, len(sizes)), key=lambda i: -sizes[i]):
