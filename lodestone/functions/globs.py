@@ -11,7 +11,8 @@ from pyspark.sql.types import StringType
 # Names are searched in lists joined by NUL, the one character no path can hold.
 NAME_SEPARATOR = "\x00"
 _ANY = r"[^\x00]"
-_TOKEN = re.compile(r"(?s)(\*+)|(\?)|\[(!?)(\]?[^\]]*)\]|(.)")
+# A class has at least one member, and a bracket that comes first is one; else `[` is a plain character.
+_TOKEN = re.compile(r"(?s)(\*+)|(\?)|\[(!?+)(\][^\]]*|[^\]]+)\]|(.)")
 _MEMBER = re.compile(r"(?s)(.)-(.)|(.)")
 
 

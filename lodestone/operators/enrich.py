@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from lodestone.functions import text as tx
 
+# Repeated groups are possessive throughout: the matcher recurses into the others, and a long
+# line would overflow its stack.
 # Which header starts a class or a function, and which line starts an import, per language.
 _JS_METHOD = (
     r"^\s*(?!(?:if|for|while|switch|catch|with|function|return|else|do|try)\b)"
-    r"(?:(?:public|private|protected|static|readonly|override|async|get|set)\s+)*[*#]?[\p{L}_$][\p{L}\p{N}_$]*"
-    r"\s*\((?:[^();]|\([^()]*\))*\)\s*(?::[^{;=]+)?\{"
+    r"(?:(?:public|private|protected|static|readonly|override|async|get|set)\s++(?=[*#\p{L}_$]))*+[*#]?"
+    r"[\p{L}_$][\p{L}\p{N}_$]*+\s*+\([^();]*+(?:\([^()]*+\)[^();]*+)*+\)\s*+(?::[^{;=]++)?\{"
 )
 _JS = {
     "class": r"^\s*(?:export\s+)?(?:default\s+)?class\s+[\p{L}_$]",
@@ -34,13 +36,13 @@ LANG_RULES = {
     "javascript": _JS,
     "typescript": _JS,
     "java": {
-        "class": r"^\s*(?:(?:public|protected|private|static|final|abstract|sealed|strictfp)\s+)*class\s+[\p{L}_]",
+        "class": r"^\s*(?:(?:public|protected|private|static|final|abstract|sealed|strictfp)\s++)*+class\s+[\p{L}_]",
         "function": (
-            r"^\s*(?:(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)\s+)*"
+            r"^\s*(?:(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)\s++)*+"
             r"(?:<[^>]*>\s*)?"
             r"(?!(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp"
-            r"|return|new|else|throw|if|for|while|switch|case|package|import|class|enum|interface)\b)"
-            r"[\p{L}_][\p{L}\p{N}_.]*(?:<[^=;(]*>)?(?:\[\])*\s+[\p{L}_][\p{L}\p{N}_]*\s*\([^=]*$"
+            r"|return|new|else|throw|if|for|while|switch|case|package|import|class|enum|interface|record)\b)"
+            r"[\p{L}_][\p{L}\p{N}_.]*(?:<[^=;(]*>)?(?:\[\])*+\s+[\p{L}_][\p{L}\p{N}_]*\s*\([^=]*$"
         ),
         "import": r"^\s*import\s+[\p{L}_]",
     },
@@ -52,7 +54,7 @@ LANG_RULES = {
     "rust": {
         "class": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum)\s+[\p{L}_]",
         "function": (
-            r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe|default|extern(?:\s+\"[^\"]*\")?)\s+)*"
+            r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe|default|extern(?:\s+\"[^\"]*+\")?)\s++)*+"
             r"fn\s+[\p{L}_]"
         ),
         "import": r"^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+[\p{L}_:{]",
@@ -155,21 +157,18 @@ def scopes(lines: DataFrame) -> DataFrame:
     is_python = F.col("language") == "python"
     has_code = tx.strip(F.col("code")) != ""
     kind = F.when(_rule("class"), F.lit("class")).when(_rule("function"), F.lit("function"))
-    # What is left of a line when all its matched braces are gone: closers, then openers.
     code = F.col("code")
-    residue = code
-    for _ in range(4):
-        residue = F.regexp_replace(residue, r"\{[^{}]*\}", "")
-    paired = code.contains("{") & code.contains("}")
+    unmatched = _unmatched_braces(code)
     latest = lambda keep, value, frame: F.last(F.when(keep, value), ignorenulls=True).over(frame)
     flagged = (
         lines.withColumn("filled", tx.strip(F.col("line")) != "")
         .withColumn("body", has_code | F.col("inside"))
         .withColumn("structural", has_code & ~F.col("inside") & (~is_python | (F.col("bracket_depth") == 0)))
         .withColumn("kind", F.when(F.col("structural"), kind))
-        .withColumn("_residue", F.when(is_python, F.lit("")).when(paired, residue).otherwise(code))
-        .withColumn("_closers", tx.count_of(F.col("_residue"), "}"))
-        .withColumn("_openers", tx.count_of(F.col("_residue"), "{"))
+        .withColumn("_unmatched", F.when(~is_python, unmatched))
+        .withColumn("_closers", F.coalesce("_unmatched.closers", F.lit(0)))
+        .withColumn("_openers", F.coalesce("_unmatched.openers", F.lit(0)))
+        .withColumn("_mark", F.when(F.col("kind").isNotNull(), F.lit("header")).otherwise(_first_mark(code)))
     )
     filled, body = F.col("filled"), F.col("body")
     seen = flagged.select(
@@ -179,6 +178,7 @@ def scopes(lines: DataFrame) -> DataFrame:
         latest(F.col("structural"), F.col("indent"), _before()).alias("_prev_indent"),
         latest(filled, body, _before()).alias("_after_body"),
         latest(filled, body, _so_far()).alias("_in_body"),
+        F.last("_mark", ignorenulls=True).over(_below()).alias("_next_mark"),
     )
     # The first line with text after a body: the next line of code, or a comment above it.
     first_after = latest(filled & F.col("_after_body"), F.col("line_no"), _so_far())
@@ -198,7 +198,7 @@ def scopes(lines: DataFrame) -> DataFrame:
     )
     ends_at = F.when(is_python, F.col("_next_text") - 1).otherwise(F.col("line_no"))
     no_body = ~is_python & (F.col("_openers") == 0) & (
-        F.col("code").contains("{") | F.col("code").rlike(r";\s*$") | ~_has_open_bracket_or_next_brace()
+        code.contains("{") | code.rlike(r";\s*$") | ~_goes_on()
     )
     closing = F.transform(closes, lambda level: F.struct(level.alias("level"), F.lit(True).alias("closes")))
     heading = F.when(
@@ -226,10 +226,45 @@ def scopes(lines: DataFrame) -> DataFrame:
     )
 
 
-def _has_open_bracket_or_next_brace() -> Column:
-    """The header goes on: an open parenthesis, or the brace follows on the next two lines."""
-    follows = F.concat_ws("\n", "line_1", "line_2").rlike(r"\A[^;{}]*\{")
+def _unmatched_braces(code: Column) -> Column:
+    """Struct of the closing braces of a line that close earlier ones, and the opening ones that stay open.
+
+    One pass over the braces of the line with their running balance and its lowest value.
+    """
+    both = code.contains("{") & code.contains("}")
+    steps = F.split(F.regexp_replace(code, r"[^{}]++", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("low"))
+
+    def step(state: Column, brace: Column) -> Column:
+        now = state["now"] + F.when(brace == "{", 1).when(brace == "}", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.least(state["low"], now).alias("low"))
+
+    counted = F.aggregate(
+        steps, start, step, lambda s: F.struct((-s["low"]).alias("closers"), (s["now"] - s["low"]).alias("openers"))
+    )
+    plain = F.struct(tx.count_of(code, "}").cast("int").alias("closers"), tx.count_of(code, "{").cast("int").alias("openers"))
+    return F.when(both, counted).otherwise(plain)
+
+
+def _first_mark(code: Column) -> Column:
+    """The first brace or semicolon of a line outside round and square brackets, NULL without one."""
+    outside = F.regexp_replace(code, r"\([^()]*+\)|\[[^\[\]]*+\]", "")
+    return F.nullif(F.regexp_extract(outside, r"[{};]", 0), F.lit(""))
+
+
+def _below() -> WindowSpec:
+    return (
+        Window.partitionBy("doc_id").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
+    )
+
+
+def _goes_on() -> Column:
+    """The header goes on below: a parenthesis stays open, or the next mark of any line below is its brace.
+
+    Go ends a statement at the line end, so its brace cannot follow on another line.
+    """
     unclosed = tx.count_of(F.col("code"), "(") > tx.count_of(F.col("code"), ")")
+    follows = (F.col("language") != "go") & F.coalesce(F.col("_next_mark") == "{", F.lit(False))
     return unclosed | follows
 
 

@@ -96,14 +96,14 @@ def bm25_topk(
 ) -> DataFrame:
     """(query_id, chunk_id, score, rank) of the chunks that share a term with the query.
 
-    `postings` may come from `postings()` or from a stored table; with a `term_bucket` column
-    only the buckets of the asked terms are read. `size` is the row of `corpus_size` when it is
-    known; else all postings are read for it.
+    `postings` may come from `postings()` or from a stored table; with a `term_bucket` column, and
+    the number of `buckets` in the stored `size`, only the buckets of the asked terms are read.
+    `size` is the row of `corpus_size` when it is known; else all postings are read for it.
     """
     asked = query_terms(queries)
     keys = ["term"]
-    if "term_bucket" in postings.columns:
-        asked = asked.withColumn("term_bucket", term_bucket(F.col("term")))
+    if "term_bucket" in postings.columns and size is not None and "buckets" in size.columns:
+        asked = asked.withColumn("term_bucket", term_bucket(F.col("term"), size.first()["buckets"]))
         keys.append("term_bucket")
     small = fits_broadcast(asked)
     # Terms are never empty; Spark prunes partitions only by a side that has such a filter.

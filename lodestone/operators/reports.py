@@ -36,21 +36,31 @@ def ingest_status(decoded: DataFrame) -> DataFrame:
     return decoded.withColumn("status", status)
 
 
-def ingest_summary(status: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
-    """Per repository: attempted, successful, failed, and the rate in percent."""
+def ingest_summary(
+    status: DataFrame, patterns: DataFrame | None = None, repos: DataFrame | None = None
+) -> DataFrame:
+    """Per repository: attempted, successful, failed, and the rate in percent.
+
+    `repos` names the repositories of the run; one without a file to process has zeros and no
+    rate. Without it, those with patterns or with a status are reported.
+    """
     good = F.col("status") != "failed"
-    attempted = F.count(F.lit(1))
-    successful = F.count_if(good)
-    summary = status.groupBy("repo_name").agg(
-        attempted.alias("attempted"),
-        successful.alias("successful"),
-        F.count_if(~good).alias("failed"),
-        F.round(100.0 * successful / F.nullif(attempted, F.lit(0)), 1).alias("success_rate"),
+    counted = status.groupBy("repo_name").agg(
+        F.count(F.lit(1)).alias("attempted"), F.count_if(good).alias("successful"), F.count_if(~good).alias("failed")
+    )
+    if repos is None:
+        repos = counted if patterns is None else counted.select("repo_name").union(patterns.select("repo_name"))
+    numbers = ["attempted", "successful", "failed"]
+    summary = repos.select("repo_name").distinct().join(counted, "repo_name", "left").select(
+        "repo_name", *[F.coalesce(c, F.lit(0)).alias(c) for c in numbers]
     )
+    rate = F.round(100.0 * F.col("successful") / F.nullif("attempted", F.lit(0)), 1)
+    summary = summary.withColumn("success_rate", rate)
     if patterns is None:
         return summary
-    counts = patterns.groupBy("repo_name").agg(F.count(F.lit(1)).alias("pattern_count"))
-    return summary.join(counts, "repo_name", "left")
+    counts = patterns.groupBy("repo_name").agg(F.count(F.lit(1)).alias("n"))
+    joined = summary.join(counts, "repo_name", "left")
+    return joined.withColumn("pattern_count", F.coalesce("n", F.lit(0))).drop("n")
 
 
 def api_rows(results: DataFrame) -> DataFrame:

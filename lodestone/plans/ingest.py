@@ -19,6 +19,7 @@ from lodestone.sources.texts import read_text
 class Ingestion:
     """The lazy tables of one run."""
 
+    repos: DataFrame
     patterns: DataFrame
     classified: DataFrame
     status: DataFrame
@@ -29,7 +30,7 @@ class Ingestion:
         return reports.skip_stats(self.classified)
 
     def summary(self) -> DataFrame:
-        return reports.ingest_summary(self.status, self.patterns)
+        return reports.ingest_summary(self.status, self.patterns, self.repos)
 
 
 def classify(files: DataFrame, patterns: DataFrame, max_mb: float = config.MAX_FILE_MB) -> DataFrame:
@@ -59,19 +60,40 @@ def ingest_files(files: DataFrame, max_mb: float = config.MAX_FILE_MB, **options
     classified = classify(files, patterns, max_mb)
     status = reports.ingest_status(read_text(to_process(classified)))
     docs, chunks = chunk_files(status, **options)
-    return Ingestion(patterns, classified, status, docs, chunks)
+    return Ingestion(files.select("repo_name").distinct(), patterns, classified, status, docs, chunks)
+
+
+def named_roots(roots: list[str] | dict[str, str]) -> list[tuple[str, str | None]]:
+    """(root, repository name). A list names each root by its last part, a dict gives the names.
+
+    The name is the key of rules, documents and chunks, so two roots may not share one.
+    """
+    if isinstance(roots, dict):
+        named = [(root, name) for name, root in roots.items()]
+        if any("/" in name for _, name in named):
+            raise ValueError("a repository name holds no slash")
+        return named
+    trimmed = list(dict.fromkeys(root.rstrip("/") or "/" for root in roots))
+    seen: dict[str, str] = {}
+    for root in trimmed:
+        name = root.rsplit("/", 1)[-1]
+        if name in seen:
+            raise ValueError(f"{seen[name]} and {root} have the same last part; give names: {{name: root}}")
+        seen[name] = root
+    return [(root, None) for root in trimmed]
 
 
 def ingest_roots(
-    spark: SparkSession, roots: list[str], max_mb: float = config.MAX_FILE_MB, **options
+    spark: SparkSession, roots: list[str] | dict[str, str], max_mb: float = config.MAX_FILE_MB, **options
 ) -> Ingestion:
-    """Trees on shared storage to index rows.
+    """Trees on shared storage to index rows. A dict names roots that share their last part.
 
     The trees are listed once and each file is opened once: the listing and the classified
     files, with the bytes of those to process, become tables in the shared folder. Ignored
     files are dropped before their content is read.
     """
-    table = spark.createDataFrame([(r,) for r in roots], "root string")
+    table = spark.createDataFrame(named_roots(roots), "root string, name string")
+    repos = table.select(F.coalesce("name", paths.repo_name(F.col("root"))).alias("repo_name")).distinct()
     listing = scratch.materialize(tree.list_files(table, skip_dirs=[".git"]), "listing")
     ignore_files = tree.read_content(listing.where(F.col("rel_path") == config.IGNORE_FILE), max_mb=None)
     found = listing.select("repo_name", "rel_path", F.lit(None).cast("string").alias("text"))
@@ -91,4 +113,4 @@ def ingest_roots(
     classified = scratch.materialize(classified.withColumn("content", content), "classified")
     status = reports.ingest_status(read_text(to_process(classified)))
     docs, chunks = chunk_files(status, **options)
-    return Ingestion(patterns, classified, status, docs, chunks)
+    return Ingestion(repos, patterns, classified, status, docs, chunks)

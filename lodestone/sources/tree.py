@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import stat
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -34,10 +35,17 @@ def _join(base: str, name: str) -> str:
 
 
 def _list_local(root: str, rel_dir: str) -> Iterator[tuple[str, bool, int, float]]:
-    """Entries of one directory. A link to a directory is neither followed nor a file."""
+    """Entries of one directory. A link to a directory is neither followed nor a file.
+
+    A folder that cannot be opened is listed like a file, and reading it reports the error; a
+    root that cannot be opened is an error of the run.
+    """
     try:
-        entries = list(os.scandir(os.path.join(root, rel_dir)))
+        entries = os.scandir(os.path.join(root, rel_dir))
     except OSError:
+        if not rel_dir:
+            raise
+        yield rel_dir, False, 0, 0.0
         return
     for entry in entries:
         name = _join(rel_dir, entry.name)
@@ -52,11 +60,26 @@ def _list_local(root: str, rel_dir: str) -> Iterator[tuple[str, bool, int, float
             yield name, False, 0, 0.0
 
 
+@lru_cache(maxsize=64)
+def _file_system(root: str):
+    """One client per root and worker."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root)
+
+
 def _list_remote(root: str, rel_dir: str) -> Iterator[tuple[str, bool, int, float]]:
     from pyarrow import fs
 
-    system, base = fs.FileSystem.from_uri(root)
-    for info in system.get_file_info(fs.FileSelector(_join(base, rel_dir), allow_not_found=True)):
+    system, base = _file_system(root)
+    try:
+        entries = system.get_file_info(fs.FileSelector(_join(base, rel_dir)))
+    except OSError:
+        if not rel_dir:
+            raise
+        yield rel_dir, False, 0, 0.0
+        return
+    for info in entries:
         name = _join(rel_dir, info.base_name)
         if info.type == fs.FileType.Directory:
             yield name, True, 0, 0.0
@@ -106,14 +129,19 @@ def list_files(
 ) -> DataFrame:
     """(repo_name, root, rel_path, length, mtime) for each file below each `root`.
 
+    A `name` column gives the repository name where the last part of the root is not wanted.
+
     The first levels are opened one at a time with a spread in between, so one huge
     repository is walked by many tasks.
     """
     n = _partitions(roots.sparkSession, partitions)
     skip = frozenset(skip_dirs)
     root = F.regexp_replace(F.regexp_replace("root", r"\Afile:/+", "/"), r"(?<=.)/+\z", "")
+    repo = paths.repo_name(F.col("root"))
+    if "name" in roots.columns:
+        repo = F.coalesce("name", repo)
     work = roots.select(
-        paths.repo_name(F.col("root")).alias("repo_name"),
+        repo.alias("repo_name"),
         root.alias("root"),
         F.lit("").alias("rel_path"),
         F.lit(True).alias("is_dir"),
@@ -130,9 +158,7 @@ def list_files(
 
 def _open_remote(root: str, rel_path: str):
     """Bytes as stored: without this, names such as `x.gz` would be unpacked."""
-    from pyarrow import fs
-
-    system, base = fs.FileSystem.from_uri(root)
+    system, base = _file_system(root)
     return system.open_input_stream(_join(base, rel_path), compression=None)
 
 
@@ -143,23 +169,32 @@ def _open(root: str, rel_path: str):
 
 
 def _read_step(max_bytes: int | None, sample_bytes: int):
-    def read(row) -> tuple[bytes | None, str | None]:
-        limit = row.length if max_bytes is None or row.length <= max_bytes else sample_bytes
+    def read(row) -> tuple[int, bytes | None, str | None]:
+        """(length, content, error). A file is read to its end, also if it has grown since it was
+        listed; over the cap only the sample stays."""
         try:
             if _is_local(row.root) and not stat.S_ISREG(os.stat(os.path.join(row.root, row.rel_path)).st_mode):
-                return None, "NotAFile"
+                return row.length, None, "NotAFile"
             with _open(row.root, row.rel_path) as handle:
-                return handle.read(limit) if limit else b"", None
+                if max_bytes is None:
+                    content = handle.read()
+                    return len(content), content, None
+                if row.length > max_bytes:
+                    return row.length, handle.read(sample_bytes), None
+                content = handle.read(max_bytes + 1)
+                if len(content) > max_bytes:
+                    return len(content), content[:sample_bytes], None
+                return len(content), content, None
         except OSError as error:
-            return None, type(error).__name__
+            return row.length, None, type(error).__name__
 
     def step(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["repo_name", "root", "rel_path", "length", "mtime", "content", "read_error"]
         rows, size = [], 0
         for batch in batches:
             for row in batch.itertuples(index=False):
-                content, error = read(row)
-                rows.append((*row, content, error))
+                length, content, error = read(row)
+                rows.append((row.repo_name, row.root, row.rel_path, length, row.mtime, content, error))
                 size += len(content or b"") + 200
                 if size >= _BYTES_PER_BATCH:
                     yield pd.DataFrame(rows, columns=columns)

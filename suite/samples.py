@@ -173,6 +173,9 @@ pkg/_priv
 f4[0-4]*.c
 f[!0-8]5.*
 *.tar.?z/
+[]*
+[!]
+f[]?*
 {extra}
 """
 EXTRA_PATTERNS = ["f1*", "*f7?"]
@@ -192,6 +195,9 @@ PATTERNS = [
     ("glob", "f4[0-4]*.c", "f4[0-4]*.c", r"f4[0-4].*\.c", None),
     ("glob", "f[!0-8]5.*", "f[!0-8]5.*", r"f[^0-8]5\..*", None),
     ("dir", "*.tar.?z/", "*.tar.?z", r".*\.tar\..z", None),
+    ("glob", "[]*", "[]*", r"\[\].*", None),
+    ("literal", "[!]", "[!]", None, None),
+    ("glob", "f[]?*", "f[]?*", r"f\[\]..*", None),
     ("glob", "f1*", "f1*", r"f1.*", 0),
     ("glob", "*f7?", "*f7?", r".*f7.", 1),
 ]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lodestone.functions import paths
+from lodestone.operators import chunking, embedding
+from lodestone.plans import retrieve, scratch
 from suite import samples
 
 MAX_MB = 0.01
@@ -97,23 +100,48 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.with_document(rows)
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranked rows to show: per source the six longest documents, the longest first."""
-    from pyspark.sql import Window
+def partly_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The asked texts, every fifth reduced to its white space."""
+    blank = F.regexp_replace("query", r"[^\s\p{Z}]", "")
+    return asked(spark, sf_dir).withColumn(
+        "query", F.when(F.col("query_id") % 5 == 0, blank).otherwise(F.col("query"))
+    )
 
-    docs = documents(spark, sf_dir)
-    query = F.substring("repo_name", 4, 9).cast("bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.length("text")), F.asc("doc_id"))
-    ranked = docs.withColumn("query_id", query).withColumn("rank", F.row_number().over(order))
-    return ranked.where("rank <= 6").select(
-        "query_id", "rank", paths.document_id(F.col("repo_name"), F.col("rel_path")).alias("chunk_id"),
-        F.col("text").alias("content"),
-        paths.build_metadata(F.col("rel_path"), F.col("repo_name")).alias("metadata"),
-        (F.lit(1.0) / (F.lit(60) + F.col("rank"))).alias("score"),
+
+def window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_text(corpus(spark, sf_dir), mode="window")
+
+
+def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.embed(window_chunks(spark, sf_dir), "content", spread_by="chunk_id")
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search over all chunks for the asked texts that are not blank, stored to be shown."""
+    found = retrieve.hybrid_search(embedded(spark, sf_dir), partly_blank(spark, sf_dir))
+    return scratch.materialize(found, "results")
+
+
+def nested_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One generated Java file per part as `docs`: a header whose brace is up to 30 lines below it,
+    and up to 50 nested braces on one line."""
+    key, depth = F.col("p_partkey"), F.col("p_size").cast("int")
+    below = (key % 31).cast("int")
+    throws = F.when(
+        below > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(below, F.lit(1))), lambda i: F.concat(F.lit("\n  throws X"), i.cast("string"), F.lit(","))), "")
+    ).otherwise(F.lit(""))
+    text = F.concat(
+        F.lit("class C"), key.cast("string"), F.lit(" {\n  int g()"), throws, F.lit("\n  {\n    x = "),
+        F.repeat(F.lit("{"), depth), F.repeat(F.lit("}"), depth), F.lit(";\n    return 1;\n  }\n}"),
     )
+    path = F.concat(F.lit("gen/m"), key.cast("string"), F.lit(".java"))
+    rows = table(spark, sf_dir, "part").select(F.lit("generated").alias("repo_name"), path.alias("rel_path"), text.alias("text"))
+    return paths.with_document(rows)
 
 
 def _write_step(root: str):
+    root = re.sub(r"\Afile:/+", "/", root)
+
     def step(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 

@@ -28,6 +28,14 @@ QUIRKS = [
     ("x[", "x[", True),
     ("x[?", "x[a", True),
     ("a+*", "a+b", True),
+    ("foo[]*", "foo[]x", True),
+    ("foo[]*", "foo]", False),
+    ("[!]*", "[!]x", True),
+    ("[!]*", "x", False),
+    ("a[]?", "a[]b", True),
+    ("[]]*", "]x", True),
+    ("[!]]?", "]x", False),
+    ("[!]]?", "ax", True),
 ]
 
 
@@ -63,7 +71,7 @@ def test_quirks(spark):
 def _random_cases(seed: int, n: int):
     rng = random.Random(seed)
     name = lambda: "".join(rng.choice("ab.1-]") for _ in range(rng.randint(1, 3)))
-    piece = lambda: rng.choice(["*", "?", "a", "b", ".", "1", "/", "[ab]", "[!a]", "[a-b1]", "[]a]", "[b-a]", "[", "**", "-", "^", "[^a]", "[&&b]"])
+    piece = lambda: rng.choice(["*", "?", "a", "b", ".", "1", "/", "[ab]", "[!a]", "[a-b1]", "[]a]", "[b-a]", "[", "**", "-", "^", "[^a]", "[&&b]", "[]", "[!]", "[]*", "[!]]"])
     for _ in range(n):
         path = "/".join(name() for _ in range(rng.randint(1, 4)))
         pattern = "".join(piece() for _ in range(rng.randint(1, 5)))
