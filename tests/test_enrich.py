@@ -1,5 +1,6 @@
 """Code context: scopes, signatures, imports and enriched chunks on small files."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths
@@ -153,3 +154,37 @@ def test_samples_hold_what_the_expected_rows_say(spark):
     lines = enrich.code_lines(enrich.code_documents(docs_of(spark, files)))
     found = enrich.signatures(enrich.scopes(lines), lines).collect()
     assert {(r.language, r.kind, r.start_line, r.end_line, r.signature) for r in found} == set(samples.SCOPES)
+
+
+@pytest.mark.parametrize("name", ["a.py", "a.js", "a.ts", "a.java", "a.go", "a.rs"])
+def test_lines_of_a_million_characters(spark, name):
+    n = 1_000_000
+    long = [
+        "foo(" + "a" * n + ")", "f(" + "(a)" * (n // 3) + ") {", "public " * (n // 7), "static async " * (n // 13) + "x() {",
+        '"' + "\\a" * (n // 2) + '"', "int" + "[]" * (n // 2) + " f(", "{" * (n // 2) + "}" * (n // 2), "import " + "a, " * (n // 3),
+    ]
+    for line in long:
+        lines = lines_of(spark, name, line)
+        enrich.scopes(lines).count()
+        enrich.extract_imports(lines).count()
+
+
+def sorted_spans(spark, name, text):
+    return sorted((r.kind, r.start_line, r.end_line) for r in enrich.scopes(lines_of(spark, name, text)).collect())
+
+
+def test_nested_braces_on_one_line(spark):
+    for depth in (1, 4, 5, 20, 50):
+        text = "function f() {\n  x = " + "{a:" * depth + "1" + "}" * depth + ";\n  return 1;\n}\n"
+        assert sorted_spans(spark, "a.js", text) == [("function", 0, 3)]
+
+
+def test_braces_far_below_the_header(spark):
+    for below in (0, 1, 2, 3, 10, 30):
+        head = "\n".join(["class A {", "  int g()", *["  throws X,"] * below, "  {", "  return 1;", "  }", "}"])
+        assert sorted_spans(spark, "a.java", head) == [("class", 0, below + 5), ("function", 1, below + 4)]
+    assert sorted_spans(spark, "a.java", "record R(int a) {\n}\nclass B\n{\n}") == [("class", 2, 4)]
+    assert sorted_spans(spark, "a.ts", "function f(a: string): void\nfunction f(a: number): void\n{\n}") == [
+        ("function", 0, 0), ("function", 1, 3),
+    ]
+    assert sorted_spans(spark, "a.go", "type X int\nfunc f() {\n}") == [("class", 0, 0), ("function", 1, 2)]

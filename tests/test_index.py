@@ -118,3 +118,70 @@ def test_responses_are_written_as_text(spark, tmp_path):
     assert found == '{\n  "query": "a"\n}\n\n'
     asked = texts.read_queries(spark.createDataFrame([(1, "q")], "n int, t string"), "n", "t").first()
     assert (asked.query_id, asked.query) == (1, "q")
+
+
+def test_files_that_are_gone_leave_the_index(spark, tmp_path):
+    path = str(tmp_path / "index")
+    ten = {("a", f"f{i}.md"): f"text {i}" for i in range(10)}
+    index_store.write_index(chunks_of(spark, {**ten, ("b", "x.md"): "other"}), path, postings=True)
+    index_store.write_index(chunks_of(spark, {("a", "f0.md"): "text 0"}), path)
+    assert stored(spark, path) == [("a", "f0.md", "text 0"), ("b", "x.md", "other")]
+    postings, _ = index_store.read_index_postings(spark, path)
+    assert {r.term for r in postings.collect()} == {"text", "0", "other"}
+    none = chunks_of(spark, {("a", "f0.md"): "x"}).where("false")
+    index_store.write_index(none, path, repos=spark.createDataFrame([("a",)], "repo_name string"))
+    assert stored(spark, path) == [("b", "x.md", "other")]
+
+
+def test_the_bucket_count_is_part_of_the_index(spark, tmp_path):
+    path = str(tmp_path / "index")
+    index_store.write_index(chunks_of(spark, A), path, buckets=3)
+    assert index_store.stored_buckets(spark, path) == 3
+    with pytest.raises(ValueError, match="3 buckets"):
+        index_store.write_index(chunks_of(spark, A), path, buckets=8)
+    changed = spark.createDataFrame([("a", "x.py")], "repo_name string, rel_path string")
+    with pytest.raises(ValueError, match="3 buckets"):
+        index_store.upsert_files(spark, path, changed, chunks_of(spark, A), buckets=8)
+    index_store.upsert_files(spark, path, changed, chunks_of(spark, {("a", "x.py"): "x = 9"}))
+    assert stored(spark, path) == [("a", "x.py", "x = 9"), ("a", "y.md", "text"), ("b", "z.go", "func a() {}")]
+    index_store.rebuild_index(chunks_of(spark, A), path, buckets=8)
+    assert index_store.stored_buckets(spark, path) == 8 and len(stored(spark, path)) == 3
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 16])
+def test_stored_postings_know_their_buckets(spark, tmp_path, buckets):
+    from lodestone.operators import keyword
+
+    chunks = chunks_of(spark, {("a", f"f{i}.md"): f"alpha beta{i % 3} gamma{i}" for i in range(20)})
+    asked = spark.createDataFrame([(1, "alpha beta1"), (2, "gamma7")], "query_id bigint, query string")
+    want = sorted(map(tuple, keyword.bm25_topk(asked, keyword.postings(chunks)).collect()))
+    path = str(tmp_path / f"p{buckets}")
+    index_store.write_postings(keyword.postings(chunks), path, buckets=buckets)
+    postings, size = index_store.read_postings(spark, path)
+    assert want and sorted(map(tuple, keyword.bm25_topk(asked, postings, size=size).collect())) == want
+    assert sorted(map(tuple, keyword.bm25_topk(asked, postings).collect())) == want
+
+
+def _manifest(spark, rows):
+    return spark.createDataFrame(
+        [(r, p, len(c or b""), d, bytearray(c) if c is not None else None, c is None) for r, p, c, d in rows],
+        "repo_name string, rel_path string, length bigint, day string, content binary, deleted boolean",
+    ).select("repo_name", "rel_path", "length", F.to_timestamp("day").alias("mtime"), "content", "deleted")
+
+
+def test_an_older_manifest_row_never_wins(spark, tmp_path):
+    path = str(tmp_path / "index")
+    index_store.create_index(spark, path, buckets=2)
+    embedder = embedding.hash_embedder(4)
+    new, old = "2024-02-02", "2024-02-01"
+    streaming.apply_batch(spark, _manifest(spark, [("a", "x.md", b"new", new), ("a", "y.md", None, new)]), path, embedder)
+    streaming.apply_batch(spark, _manifest(spark, [("a", "x.md", b"old", old), ("a", "y.md", b"old", old), ("a", "z.md", b"z", old)]), path, embedder)
+    assert stored(spark, path) == [("a", "x.md", "new"), ("a", "z.md", "z")]
+
+
+def test_equal_times_have_one_winner(spark):
+    rows = [("a", "x", b"one", "2024-01-01"), ("a", "x", b"two", "2024-01-01"), ("a", "y", b"y", "2024-01-01"), ("a", "y", None, "2024-01-01")]
+    picks = set()
+    for order in (rows, rows[::-1]):
+        picks.add(tuple(sorted((r.rel_path, bytes(r.content or b""), r.deleted) for r in streaming.latest_versions(_manifest(spark, order)).collect())))
+    assert len(picks) == 1 and ("y", b"", True) in next(iter(picks))

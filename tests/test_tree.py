@@ -139,3 +139,65 @@ def test_object_storage_listing_and_reading(root):
 def test_file_uris_are_local_paths(spark, root):
     rows = tree.list_files(spark.createDataFrame([("file://" + root + "/",)], "root string")).collect()
     assert sorted(r.rel_path for r in rows) == sorted(FILES) and {r.root for r in rows} == {root}
+
+
+def test_roots_with_one_name(spark, tmp_path):
+    for place in ("x", "y"):
+        (tmp_path / place / "demo").mkdir(parents=True)
+        (tmp_path / place / "demo" / "f.md").write_text(f"text of {place}")
+    (tmp_path / "x" / "demo" / ".gitignore").write_text("*.md\n")
+    roots = [str(tmp_path / "x" / "demo"), str(tmp_path / "y" / "demo")]
+    with pytest.raises(ValueError, match="same last part"):
+        ingest.ingest_roots(spark, roots)
+    run = ingest.ingest_roots(spark, {"first": roots[0], "second": roots[1]})
+    assert {(r.repo_name, r.rel_path): r.skip_reason for r in run.classified.collect()} == {
+        ("first", ".gitignore"): None, ("first", "f.md"): "gitignore", ("second", "f.md"): None,
+    }
+    assert {r.metadata.repo_name for r in run.chunks.collect()} == {"first", "second"}
+
+
+def test_a_repository_without_files_to_process_is_reported(spark, tmp_path):
+    (tmp_path / "only").mkdir()
+    (tmp_path / "only" / "b.dat").write_bytes(b"\xff")
+    row = ingest.ingest_roots(spark, [str(tmp_path / "only")]).summary().first()
+    assert (row.repo_name, row.attempted, row.successful, row.failed, row.success_rate, row.pattern_count) == ("only", 0, 0, 0, None, 3)
+
+
+def test_a_missing_root_fails(spark, tmp_path):
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        tree.scan_repos(spark, [str(tmp_path / "nowhere")]).count()
+
+
+def test_a_folder_that_cannot_be_opened_is_reported(spark, tmp_path, monkeypatch):
+    (tmp_path / "r").mkdir()
+    rows = list(tree._list_local(str(tmp_path / "r"), "gone"))
+    assert rows == [("gone", False, 0, 0.0)]
+    assert list(tree._list_remote((tmp_path / "r").as_uri(), "gone")) == [("gone", False, 0, 0.0)]
+
+
+def test_a_file_that_has_grown_is_read_to_its_end(spark, tmp_path):
+    root = tmp_path / "r"
+    root.mkdir()
+    (root / "a.txt").write_bytes(b"x" * 10)
+    (root / "b.txt").write_bytes(b"x" * 10)
+    from lodestone.plans import scratch
+
+    listing = scratch.materialize(tree.list_files(spark.createDataFrame([(str(root),)], "root string")), "listing")
+    (root / "a.txt").write_bytes(b"y" * 50_000)
+    (root / "b.txt").write_bytes(b"y" * 2_000_000)
+    rows = {r.rel_path: r for r in tree.read_content(listing, max_mb=1.0).collect()}
+    assert bytes(rows["a.txt"].content) == b"y" * 50_000 and rows["a.txt"].length == 50_000
+    assert rows["b.txt"].length > 1_048_576 and len(rows["b.txt"].content) == 32_768
+
+
+def test_runs_leave_no_scratch_folders(spark):
+    import os
+    import re
+
+    from lodestone.plans import scratch
+
+    with scratch.run_folder(spark, "trial") as path:
+        spark.range(3).write.parquet(path)
+        local = re.sub(r"\Afile:/+", "/", path)
+        assert os.path.isdir(local)
+    assert not os.path.exists(local)
