@@ -173,42 +173,52 @@ def _describe(part: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def _sets(docs: DataFrame, key: str) -> DataFrame:
-    """(key, shingles array of distinct hashes, bands array of 64-bit keys) per row."""
+def _bands(texts: DataFrame) -> DataFrame:
+    """(id, bands array of 64-bit keys) per row of (id, text)."""
     width = SLOTS // BANDS
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = signatures(batch.column("text")).reshape(batch.num_rows, BANDS, width)
+            keys = np.zeros((batch.num_rows, BANDS), np.uint64)
+            for k in range(width):
+                keys = W.mix(keys + slots[:, :, k] + np.uint64(1))
+            bands = pa.array(list(W.signed(keys)), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), bands], names=["id", "bands"])
+
+    return texts.select("id", "text").mapInArrow(scan, "id long, bands array<long>")
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """(id, shingles array of distinct hashes) per row of (id, text)."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch, "text"):
                 values, doc = W.shingles(W.cut(part.column("text")), SHINGLE_WORDS)
                 ends = np.searchsorted(doc, np.arange(part.num_rows + 1))
                 sets = [W.signed(np.unique(values[a:b])) for a, b in zip(ends, ends[1:], strict=False)]
-                slots = signatures(part.column("text")).reshape(part.num_rows, BANDS, width)
-                keys = np.zeros((part.num_rows, BANDS), np.uint64)
-                for k in range(width):
-                    keys = W.mix(keys + slots[:, :, k] + np.uint64(1))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(key), pa.array(sets, pa.list_(pa.int64())),
-                        pa.array(list(W.signed(keys)), pa.list_(pa.int64())),
-                    ],
-                    names=[key, "shingles", "bands"],
+                    [part.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"]
                 )
 
-    return docs.select(key, "text").mapInArrow(scan, f"{key} string, shingles array<long>, bands array<long>")
+    return texts.select("id", "text").mapInArrow(scan, "id long, shingles array<long>")
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: int = 200) -> DataFrame:
     """doc_id and class_id, the smallest doc_id that verified links reach.
 
-    Equal texts are one node, told apart by a 256-bit digest, and are not compared.
+    Equal texts are one node, told apart by a hash, and are not compared.
     """
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    places = checkpoint(docs.select("doc_id", digest.alias("node")))
-    texts = docs.select(digest.alias("node"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["node"])
-    sets = checkpoint(_sets(texts, "node").withColumn("id", F.xxhash64("node")))
-    shingles = sets.select("id", "shingles")
-    buckets = sets.select("id", F.posexplode("bands").alias("band", "key"))
+    text = F.coalesce("text", F.lit(""))
+    node = F.xxhash64(F.sha2(text, 256))
+    nodes = checkpoint(docs.select("doc_id", node.alias("id")))
+    texts = docs.select(node.alias("id"), text.alias("text")).dropDuplicates(["id"])
+    buckets = checkpoint(_bands(texts).select("id", F.posexplode("bands").alias("band", "key")))
+    shared = buckets.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    buckets = checkpoint(buckets.join(shared, ["band", "key"]))
+    # only texts that share a band with another one are compared
+    shingles = checkpoint(_sets(texts.join(buckets.select("id").distinct(), "id", "left_semi")))
     found = None
     for _ in range(rounds):
         lead = buckets.groupBy("band", "key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -226,7 +236,6 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: int =
         buckets = members.join(alike, ["lead", "id"], "left_anti").select("id", "band", "key")
     else:
         raise RuntimeError(f"buckets are not done after {rounds} rounds")
-    nodes = places.withColumn("id", F.xxhash64("node"))
     if found is None:
         labelled = nodes.withColumn("label", F.col("id"))
     else:

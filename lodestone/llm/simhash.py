@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from lodestone.llm.components import components
 from lodestone.llm.tables import checkpoint
+from lodestone.plans.sizing import lookup_join
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -170,9 +171,13 @@ def groups(fps: DataFrame, key: str = "doc_id", radius: int = RADIUS) -> DataFra
     `component_id`, the smallest key of the group (null if none of its rows has one)."""
     distinct = checkpoint(fps.groupBy("fp").agg(F.min(key).alias("low")))
     labels = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
-    named = distinct.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
-    places = named.select("fp", "label").join(lowest, "label")
+    named = distinct.join(labels, "fp", "left")
+    lowest = named.filter("label is not null").groupBy("label").agg(F.min("low").alias("lowest"))
+    # one group may hold a third of all fingerprints: looked up from a measured broadcast, or salted
+    places = lookup_join(named, checkpoint(lowest), "label", "fp", "left").select(
+        "fp", F.coalesce("label", "fp").alias("label"),
+        F.when(F.col("label").isNull(), F.col("low")).otherwise(F.col("lowest")).alias("component_id"),
+    )
     return fps.join(places, "fp")
 
 
