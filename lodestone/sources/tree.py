@@ -9,13 +9,14 @@ from __future__ import annotations
 import os
 import stat
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone import config
 from lodestone.functions import paths
+from lodestone.plans import scratch
 
 _ENTRY = "repo_name string, root string, rel_path string, is_dir boolean, length bigint, mtime double"
 _FILE = (
@@ -125,16 +126,18 @@ def _partitions(spark: SparkSession, wanted: int | None) -> int:
 
 
 def list_files(
-    roots: DataFrame, skip_dirs: Iterable[str] = (), split_levels: int = 2, partitions: int | None = None
+    roots: DataFrame, skip_dirs: Iterable[str] = (), split_levels: int | None = None, partitions: int | None = None
 ) -> DataFrame:
     """(repo_name, root, rel_path, length, mtime) for each file below each `root`.
 
     A `name` column gives the repository name where the last part of the root is not wanted.
-
-    The first levels are opened one at a time with a spread in between, so one huge
-    repository is walked by many tasks.
+    Levels are opened one at a time with a spread in between until no folder is left, so one
+    huge repository is walked by many tasks however deep it branches. Each level is written to
+    the shared folder; its files do not move again. With `split_levels`, only so many levels are
+    spread, in one lazy plan, and each folder below is walked by one task.
     """
-    n = _partitions(roots.sparkSession, partitions)
+    spark = roots.sparkSession
+    n = _partitions(spark, partitions)
     skip = frozenset(skip_dirs)
     root = F.regexp_replace(F.regexp_replace("root", r"\Afile:/+", "/"), r"(?<=.)/+\z", "")
     repo = paths.repo_name(F.col("root"))
@@ -148,12 +151,24 @@ def list_files(
         F.lit(0).cast("bigint").alias("length"),
         F.lit(0.0).alias("mtime"),
     )
-    for _ in range(split_levels):
-        work = work.repartition(n, "root", "rel_path").mapInPandas(_expand(1, skip), _ENTRY)
-    work = work.repartition(n, "root", "rel_path").mapInPandas(_expand(None, skip), _ENTRY)
-    return work.where(~F.col("is_dir")).select(
-        "repo_name", "root", "rel_path", "length", F.timestamp_seconds("mtime").alias("mtime")
-    )
+
+    def opened(folders: DataFrame, levels: int | None) -> DataFrame:
+        return folders.repartition(n, "root", "rel_path").mapInPandas(_expand(levels, skip), _ENTRY)
+
+    if split_levels is None:
+        files = []
+        while True:
+            level = scratch.materialize(opened(work, 1), "level")
+            files.append(level.where(~F.col("is_dir")))
+            work = level.where("is_dir")
+            if work.isEmpty():
+                break
+        found = reduce(DataFrame.unionByName, files)
+    else:
+        for _ in range(split_levels):
+            work = opened(work, 1)
+        found = opened(work, None).where(~F.col("is_dir"))
+    return found.select("repo_name", "root", "rel_path", "length", F.timestamp_seconds("mtime").alias("mtime"))
 
 
 def _open_remote(root: str, rel_path: str):

@@ -62,7 +62,7 @@ def test_over_the_cap_only_the_sample_is_read(spark, root):
     assert len(row.content) == 32768 and row.length == len(FILES["big.txt"])
 
 
-@pytest.mark.parametrize("levels", [0, 1, 5])
+@pytest.mark.parametrize("levels", [None, 0, 1, 5])
 def test_split_levels_do_not_change_the_listing(spark, root, levels):
     roots = spark.createDataFrame([(root,)], "root string")
     rows = tree.list_files(roots, split_levels=levels).collect()
@@ -201,3 +201,15 @@ def test_runs_leave_no_scratch_folders(spark):
         local = re.sub(r"\Afile:/+", "/", path)
         assert os.path.isdir(local)
     assert not os.path.exists(local)
+
+
+def test_a_deep_narrow_tree_that_widens_below_uses_many_tasks(spark, tmp_path):
+    base = tmp_path / "deep" / "/".join(f"l{i}" for i in range(12))[0:]
+    for i in range(30):
+        (base / f"d{i}").mkdir(parents=True)
+        (base / f"d{i}" / "f.txt").write_text("x")
+    roots = spark.createDataFrame([(str(tmp_path / "deep"),)], "root string")
+    found = tree.list_files(roots, partitions=4)
+    assert found.count() == 30
+    tasks = found.select(F.input_file_name()).distinct().count()
+    assert tasks > 1
