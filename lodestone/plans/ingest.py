@@ -17,7 +17,10 @@ from lodestone.sources.texts import read_text
 
 @dataclass(frozen=True)
 class Ingestion:
-    """The lazy tables of one run."""
+    """The lazy tables of one run, and the scratch folder they read, if any.
+
+    `close()`, or the end of a `with` block, drops that folder; the tables are of no use then.
+    """
 
     repos: DataFrame
     patterns: DataFrame
@@ -25,6 +28,17 @@ class Ingestion:
     status: DataFrame
     docs: DataFrame
     chunks: DataFrame
+    folder: str | None = None
+
+    def close(self) -> None:
+        if self.folder:
+            scratch.drop(self.chunks.sparkSession, self.folder)
+
+    def __enter__(self) -> Ingestion:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
 
     def skip_stats(self) -> DataFrame:
         return reports.skip_stats(self.classified)
@@ -94,7 +108,8 @@ def ingest_roots(
     """
     table = spark.createDataFrame(named_roots(roots), "root string, name string")
     repos = table.select(F.coalesce("name", paths.repo_name(F.col("root"))).alias("repo_name")).distinct()
-    listing = scratch.materialize(tree.list_files(table, skip_dirs=[".git"]), "listing")
+    folder = scratch.new_path(spark, "ingest")
+    listing = tree.list_files(table, skip_dirs=[".git"], under=folder)
     ignore_files = tree.read_content(listing.where(F.col("rel_path") == config.IGNORE_FILE), max_mb=None)
     found = listing.select("repo_name", "rel_path", F.lit(None).cast("string").alias("text"))
     texts = read_text(ignore_files).select("repo_name", "rel_path", "text")
@@ -110,7 +125,7 @@ def ingest_roots(
     )
     classified = filters.with_skip_reason(kept.unionByName(unread.select(columns)), max_mb)
     content = F.when(F.col("skip_reason").isNull(), F.col("content"))
-    classified = scratch.materialize(classified.withColumn("content", content), "classified")
+    classified = scratch.materialize(classified.withColumn("content", content), "classified", folder)
     status = reports.ingest_status(read_text(to_process(classified)))
     docs, chunks = chunk_files(status, **options)
-    return Ingestion(repos, patterns, classified, status, docs, chunks)
+    return Ingestion(repos, patterns, classified, status, docs, chunks, folder)

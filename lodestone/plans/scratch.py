@@ -29,9 +29,12 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """The rows written once to the shared folder, so that later steps do not compute them again."""
-    path = new_path(df.sparkSession, label)
+def materialize(df: DataFrame, label: str, under: str | None = None) -> DataFrame:
+    """The rows written once to the shared folder, so that later steps do not compute them again.
+
+    `under` is the folder of a run that its owner drops; without it the files stay.
+    """
+    path = new_path(df.sparkSession, label) if under is None else f"{under}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

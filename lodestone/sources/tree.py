@@ -126,14 +126,15 @@ def _partitions(spark: SparkSession, wanted: int | None) -> int:
 
 
 def list_files(
-    roots: DataFrame, skip_dirs: Iterable[str] = (), split_levels: int | None = None, partitions: int | None = None
+    roots: DataFrame, skip_dirs: Iterable[str] = (), split_levels: int | None = None, partitions: int | None = None,
+    under: str | None = None,
 ) -> DataFrame:
     """(repo_name, root, rel_path, length, mtime) for each file below each `root`.
 
     A `name` column gives the repository name where the last part of the root is not wanted.
     Levels are opened one at a time with a spread in between until no folder is left, so one
     huge repository is walked by many tasks however deep it branches. Each level is written to
-    the shared folder; its files do not move again. With `split_levels`, only so many levels are
+    the shared folder, into the folder `under` if given; its files do not move again. With `split_levels`, only so many levels are
     spread, in one lazy plan, and each folder below is walked by one task.
     """
     spark = roots.sparkSession
@@ -158,7 +159,7 @@ def list_files(
     if split_levels is None:
         files = []
         while True:
-            level = scratch.materialize(opened(work, 1), "level")
+            level = scratch.materialize(opened(work, 1), "level", under)
             files.append(level.where(~F.col("is_dir")))
             work = level.where("is_dir")
             if work.isEmpty():

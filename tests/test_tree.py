@@ -1,6 +1,7 @@
 """Listing, reading and filtering real file trees."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,10 +151,13 @@ def test_roots_with_one_name(spark, tmp_path):
     with pytest.raises(ValueError, match="same last part"):
         ingest.ingest_roots(spark, roots)
     run = ingest.ingest_roots(spark, {"first": roots[0], "second": roots[1]})
+    local = re.sub(r"\Afile:/+", "/", run.folder)
     assert {(r.repo_name, r.rel_path): r.skip_reason for r in run.classified.collect()} == {
         ("first", ".gitignore"): None, ("first", "f.md"): "gitignore", ("second", "f.md"): None,
     }
-    assert {r.metadata.repo_name for r in run.chunks.collect()} == {"first", "second"}
+    assert {r.metadata.repo_name for r in run.chunks.collect()} == {"first", "second"} and os.path.isdir(local)
+    run.close()
+    assert not os.path.exists(local)
 
 
 def test_a_repository_without_files_to_process_is_reported(spark, tmp_path):
@@ -191,9 +195,6 @@ def test_a_file_that_has_grown_is_read_to_its_end(spark, tmp_path):
 
 
 def test_runs_leave_no_scratch_folders(spark):
-    import os
-    import re
-
     from lodestone.plans import scratch
 
     with scratch.run_folder(spark, "trial") as path:
