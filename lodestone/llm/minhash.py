@@ -35,8 +35,10 @@ SLOTS = 256
 #: 32 bands of 8 slots: a pair at similarity 0.8 shares none with a chance of 0.003.
 BANDS = 32
 SIMILARITY = 0.8
-#: Rows of one range of documents, the unit in which neighbours are found.
+#: Rows of one range of documents, the unit in which neighbours are found, and how many ranges
+#: there are at most. A range is sorted and streamed, so a larger one needs no more memory.
 RANGE_ROWS = 4096
+MAX_RANGES = 20_000
 _SEED = 20240229
 
 
@@ -80,10 +82,10 @@ def edited(text: str, following: str) -> str:
 def _ranges(docs: DataFrame) -> list[int]:
     """Lower bounds of consecutive ranges of doc_id with about RANGE_ROWS rows each.
 
-    They come from a seeded sample of ids: 16 for every range at most.
+    They come from a seeded sample of ids: about 16 for every range at most.
     """
     rows = docs.count()
-    n = max(partitions(docs.sparkSession), rows // RANGE_ROWS)
+    n = min(MAX_RANGES, max(partitions(docs.sparkSession), rows // RANGE_ROWS))
     ids = docs.filter("doc_id is not null").select("doc_id")
     if rows > 16 * n:
         ids = ids.filter(spread("doc_id", _SEED) < 16 * n / rows)
