@@ -448,13 +448,15 @@ def locate_chunks(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """Fills `start_line` and `end_line` where the start is 0 or missing.
 
     The first occurrence of the chunk's first non-blank line lies in the first source line that
-    contains it. No match gives (0, 0); a chunk without a document stays as it is.
+    contains it. No match gives (0, 0); a chunk without a document stays as it is. Only chunks
+    without lines meet their text; the others pass.
     """
     content = F.col("content")
     first = tx.strip(F.regexp_extract(content, r"\A[\s\x1c-\x1f\x85\p{Z}]*([^\n]*)", 1))
+    unplaced = F.coalesce("start_line", F.lit(0)) == 0
     joined = (
-        chunks.join(docs.select("doc_id", F.col("text").alias("_text")), "doc_id", "left")
-        .withColumn("_search", F.col("_text").isNotNull() & (F.coalesce("start_line", F.lit(0)) == 0))
+        chunks.where(unplaced).join(docs.select("doc_id", F.col("text").alias("_text")), "doc_id", "left")
+        .withColumn("_search", F.col("_text").isNotNull())
         .withColumn("_first", F.when(F.col("_search"), first))
         .withColumn("_at", F.when(F.col("_first") != "", F.call_function("instr", "_text", "_first")))
         .withColumn("_line", F.when(F.col("_at") > 0, tx.count_of(F.substr("_text", F.lit(1), F.col("_at") - 1), "\n")))
@@ -464,9 +466,10 @@ def locate_chunks(chunks: DataFrame, docs: DataFrame) -> DataFrame:
         "start_line": F.when(F.col("_search"), F.coalesce("_line", F.lit(0))).otherwise(F.col("start_line")),
         "end_line": F.when(F.col("_search"), F.coalesce(end, F.lit(0))).otherwise(F.col("end_line")),
     }
-    return joined.select(*[
+    found = joined.select(*[
         located[c].cast("int").alias(c) if c in located else F.col(c) for c in chunks.columns
     ])
+    return chunks.where(~unplaced).unionByName(found)
 
 
 def enrich_chunks(
@@ -482,7 +485,7 @@ def enrich_chunks(
     without a known document passes unchanged. One join per kind of context, on the document.
     """
     lines = code_lines(code_documents(docs))
-    joined = locate_chunks(chunks.repartition("doc_id"), docs)
+    joined = locate_chunks(chunks, docs).repartition("doc_id")
     content = F.col("content")
     parts = []
     if include_imports:

@@ -102,20 +102,29 @@ def ingest_roots(
 ) -> Ingestion:
     """Trees on shared storage to index rows. A dict names roots that share their last part.
 
-    The trees are listed once and each file is opened once: the listing and the classified
-    files, with the bytes of those to process, become tables in the shared folder. Ignored
-    files are dropped before their content is read.
+    The root ignore files are read first, so the walk does not enter an ignored folder. The
+    trees are listed once and each file is opened once: the listing and the classified files,
+    with the bytes of those to process, become tables in the shared folder. Ignored files are
+    dropped before their content is read.
     """
     table = spark.createDataFrame(named_roots(roots), "root string, name string")
-    repos = table.select(F.coalesce("name", paths.repo_name(F.col("root"))).alias("repo_name")).distinct()
     folder = scratch.new_path(spark, "ingest")
-    listing = tree.list_files(table, skip_dirs=[".git"], under=folder)
-    ignore_files = tree.read_content(listing.where(F.col("rel_path") == config.IGNORE_FILE), max_mb=None)
-    found = listing.select("repo_name", "rel_path", F.lit(None).cast("string").alias("text"))
-    texts = read_text(ignore_files).select("repo_name", "rel_path", "text")
-    patterns = ignore.load_ignore(found.unionByName(texts))
-    listed = ignore.with_ignore_status(listing, ignore.compile_rules(patterns))
-    reached = listed.where(~F.col("ignore_status").eqNullSafe("pruned"))
+    places = tree.named_roots(table)
+    repos = places.select("repo_name").distinct()
+    heads = places.select(
+        "repo_name", "root", F.lit(config.IGNORE_FILE).alias("rel_path"), F.lit(0).cast("bigint").alias("length"),
+        F.lit(None).cast("timestamp").alias("mtime"),
+    )
+    texts = read_text(tree.read_content(heads, max_mb=None)).select("repo_name", "rel_path", "text")
+    patterns = scratch.materialize(ignore.load_ignore(texts), "patterns", folder)
+    rules = ignore.compile_rules(patterns)
+
+    def not_ignored(folders: DataFrame) -> DataFrame:
+        status = ignore.with_ignore_status(folders, rules)
+        return status.where(F.col("ignore_status").isNull()).select(*folders.columns)
+
+    listing = tree.list_files(table, skip_dirs=[".git"], under=folder, prune=not_ignored)
+    reached = ignore.with_ignore_status(listing, rules)
     ignored = reached.where(F.col("ignore_status").isNotNull())
     read = tree.read_content(reached.where(F.col("ignore_status").isNull()), max_mb)
     columns = ["repo_name", "rel_path", "length", "mtime", "content", "read_error", "ignore_status"]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 import stat
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache, reduce
 
 import pandas as pd
@@ -21,7 +21,7 @@ from lodestone.plans import scratch
 _ENTRY = "repo_name string, root string, rel_path string, is_dir boolean, length bigint, mtime double"
 _FILE = (
     "repo_name string, root string, rel_path string, length bigint, mtime timestamp, "
-    "content binary, read_error string"
+    "content binary, read_error string, truncated boolean"
 )
 _ROWS_PER_BATCH = 10_000
 _BYTES_PER_BATCH = 16 * 1024 * 1024
@@ -125,32 +125,34 @@ def _partitions(spark: SparkSession, wanted: int | None) -> int:
     return wanted or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def named_roots(roots: DataFrame) -> DataFrame:
+    """(repo_name, root) with plain local paths and no slash at the end. A `name` column gives the
+    repository name where the last part of the root is not wanted."""
+    root = F.regexp_replace(F.regexp_replace("root", r"\Afile:/+", "/"), r"(?<=.)/+\z", "")
+    repo = paths.repo_name(F.col("root"))
+    if "name" in roots.columns:
+        repo = F.coalesce("name", repo)
+    return roots.select(repo.alias("repo_name"), root.alias("root"))
+
+
 def list_files(
     roots: DataFrame, skip_dirs: Iterable[str] = (), split_levels: int | None = None, partitions: int | None = None,
-    under: str | None = None,
+    under: str | None = None, prune: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(repo_name, root, rel_path, length, mtime) for each file below each `root`.
 
-    A `name` column gives the repository name where the last part of the root is not wanted.
     Levels are opened one at a time with a spread in between until no folder is left, so one
     huge repository is walked by many tasks however deep it branches. Each level is written to
-    the shared folder, into the folder `under` if given; its files do not move again. With `split_levels`, only so many levels are
-    spread, in one lazy plan, and each folder below is walked by one task.
+    the shared folder, into the folder `under` if given; its files do not move again. `prune`
+    gets the folders of a level and returns those to open. With `split_levels`, only so many
+    levels are spread, in one lazy plan, and each folder below is walked by one task.
     """
     spark = roots.sparkSession
     n = _partitions(spark, partitions)
     skip = frozenset(skip_dirs)
-    root = F.regexp_replace(F.regexp_replace("root", r"\Afile:/+", "/"), r"(?<=.)/+\z", "")
-    repo = paths.repo_name(F.col("root"))
-    if "name" in roots.columns:
-        repo = F.coalesce("name", repo)
-    work = roots.select(
-        repo.alias("repo_name"),
-        root.alias("root"),
-        F.lit("").alias("rel_path"),
-        F.lit(True).alias("is_dir"),
-        F.lit(0).cast("bigint").alias("length"),
-        F.lit(0.0).alias("mtime"),
+    work = named_roots(roots).select(
+        "repo_name", "root", F.lit("").alias("rel_path"), F.lit(True).alias("is_dir"),
+        F.lit(0).cast("bigint").alias("length"), F.lit(0.0).alias("mtime"),
     )
 
     def opened(folders: DataFrame, levels: int | None) -> DataFrame:
@@ -162,6 +164,8 @@ def list_files(
             level = scratch.materialize(opened(work, 1), "level", under)
             files.append(level.where(~F.col("is_dir")))
             work = level.where("is_dir")
+            if prune is not None:
+                work = prune(work)
             if work.isEmpty():
                 break
         found = reduce(DataFrame.unionByName, files)
@@ -185,32 +189,32 @@ def _open(root: str, rel_path: str):
 
 
 def _read_step(max_bytes: int | None, sample_bytes: int):
-    def read(row) -> tuple[int, bytes | None, str | None]:
-        """(length, content, error). A file is read to its end, also if it has grown since it was
-        listed; over the cap only the sample stays."""
+    def read(row) -> tuple[int, bytes | None, str | None, bool]:
+        """(length, content, error, truncated). A file is read to its end, also if it has grown since
+        it was listed; over the cap only the sample stays."""
         try:
             if _is_local(row.root) and not stat.S_ISREG(os.stat(os.path.join(row.root, row.rel_path)).st_mode):
-                return row.length, None, "NotAFile"
+                return row.length, None, "NotAFile", False
             with _open(row.root, row.rel_path) as handle:
                 if max_bytes is None:
                     content = handle.read()
-                    return len(content), content, None
+                    return len(content), content, None, False
                 if row.length > max_bytes:
-                    return row.length, handle.read(sample_bytes), None
+                    return row.length, handle.read(sample_bytes), None, True
                 content = handle.read(max_bytes + 1)
                 if len(content) > max_bytes:
-                    return len(content), content[:sample_bytes], None
-                return len(content), content, None
+                    return len(content), content[:sample_bytes], None, True
+                return len(content), content, None, False
         except OSError as error:
-            return row.length, None, type(error).__name__
+            return row.length, None, type(error).__name__, False
 
     def step(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["repo_name", "root", "rel_path", "length", "mtime", "content", "read_error"]
+        columns = ["repo_name", "root", "rel_path", "length", "mtime", "content", "read_error", "truncated"]
         rows, size = [], 0
         for batch in batches:
             for row in batch.itertuples(index=False):
-                length, content, error = read(row)
-                rows.append((row.repo_name, row.root, row.rel_path, length, row.mtime, content, error))
+                length, content, error, truncated = read(row)
+                rows.append((row.repo_name, row.root, row.rel_path, length, row.mtime, content, error, truncated))
                 size += len(content or b"") + 200
                 if size >= _BYTES_PER_BATCH:
                     yield pd.DataFrame(rows, columns=columns)
@@ -224,7 +228,8 @@ def _read_step(max_bytes: int | None, sample_bytes: int):
 def read_content(
     listing: DataFrame, max_mb: float | None = config.MAX_FILE_MB, partitions: int | None = None
 ) -> DataFrame:
-    """Files with their bytes. Over the size cap, if there is one, only the encoding sample is read."""
+    """Files with their bytes. Over the size cap, if there is one, only the encoding sample is read
+    and the row is marked `truncated`."""
     n = _partitions(listing.sparkSession, partitions)
     max_bytes = None if max_mb is None else int(max_mb * 1048576)
     step = _read_step(max_bytes, 4 * config.BINARY_SAMPLE_CHARS)

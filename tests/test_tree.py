@@ -214,3 +214,21 @@ def test_a_deep_narrow_tree_that_widens_below_uses_many_tasks(spark, tmp_path):
     assert found.count() == 30
     tasks = found.select(F.input_file_name()).distinct().count()
     assert tasks > 1
+
+
+def test_the_walk_does_not_enter_ignored_folders(spark, tmp_path, monkeypatch):
+    base = tmp_path / "repo"
+    for name in ("node_modules/a/b.js", "src/x.py", "src/build/out.txt", "docs/keep.md"):
+        (base / name).parent.mkdir(parents=True, exist_ok=True)
+        (base / name).write_text("text")
+    (base / ".gitignore").write_text("node_modules/\nbuild\n")
+    with ingest.ingest_roots(spark, [str(base)]) as run:
+        assert sorted(r.rel_path for r in run.classified.collect()) == [".gitignore", "docs/keep.md", "src/x.py"]
+        levels = spark.read.option("recursiveFileLookup", "true").parquet(f"{run.folder}/level-*")
+        listed = {r.rel_path for r in levels.collect()}
+    assert "node_modules" in listed and "node_modules/a" not in listed and "src/build/out.txt" not in listed
+
+
+def test_a_sample_of_a_large_file_is_marked(spark, root):
+    marks = {r.rel_path: r.truncated for r in tree.scan_repos(spark, [root]).collect()}
+    assert {p for p, t in marks.items() if t} == {"big.txt"}
