@@ -174,10 +174,11 @@ def groups(fps: DataFrame, key: str = "doc_id", radius: int = RADIUS) -> DataFra
     named = distinct.join(labels, "fp", "left")
     lowest = named.filter("label is not null").groupBy("label").agg(F.min("low").alias("lowest"))
     # one group may hold a third of all fingerprints: looked up from a measured broadcast, or salted
-    places = lookup_join(named, checkpoint(lowest), "label", "fp", "left").select(
+    places = checkpoint(lookup_join(named, checkpoint(lowest), "label", "fp", "left").select(
         "fp", F.coalesce("label", "fp").alias("label"),
         F.when(F.col("label").isNull(), F.col("low")).otherwise(F.col("lowest")).alias("component_id"),
-    )
+    ))
+    # both sides are tables, so Spark splits the rows of a fingerprint that many documents share
     return fps.join(places, "fp")
 
 
