@@ -4,9 +4,7 @@ import hashlib
 import re
 
 import numpy as np
-import pyarrow as pa
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from lodestone.llm import components, minhash, simhash
 

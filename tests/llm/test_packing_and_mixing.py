@@ -65,6 +65,8 @@ def test_fast_ids_are_those_of_the_tokenizer(tokenizer):
     encode = packing.encoder(PATH)
     for text in ("", " ", "a  b\n\n c", "x" * 5000, "<|endoftext|> y", "é中文😀 it's", "\u00a0\u2003z", "1234567 !!??", "\t\r\n \x0b"):
         assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
+    for text in (" " * 1_200_000, "a" + "\n" * 1_200_000 + "b", " a" * 700_000):
+        assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=5, deadline=None)

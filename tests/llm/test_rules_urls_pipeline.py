@@ -160,3 +160,22 @@ def test_pipeline_odd_rows(spark, odd, empty, tmp_path):
             out.write.parquet(str(tmp_path / label / name))
             docs = spark.read.parquet(str(tmp_path / label / name))
         assert (docs.count() > 0) == (label == "odd")
+
+
+LONG_TEXTS = {
+    "windows that repeat": "ab cd ef gh ij " * 100_000, "one word": "x" * 1_500_000, "lines": "line one two\n" * 100_000,
+    "other words": " ".join(f"w{i}" for i in range(200_000)), "spaces": " " * 1_500_000, "marks": "!?#" * 400_000,
+}
+
+
+@pytest.mark.parametrize("name", [n for n in sorted(QUERIES) if n != "op10_urls"])
+def test_very_long_texts(spark, tmp_path, name):
+    """One row per document, or all ids, in time that grows with the text."""
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(LONG_TEXTS.values())]
+    rows += [(100 + i, f"hello world number {i} and some more words to learn from", "en", "b", 50) for i in range(12)]
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, i % 2) for i in range(110)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    out = QUERIES[name](spark, folder).select("doc_id").collect()
+    assert {r.doc_id for r in out} == {r[0] for r in rows}
+    assert name == "op8_packing" or len(out) == len(rows)
