@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestone.functions import display, paths, text as tx
+from lodestone.functions import display, paths
 from lodestone.operators import chunking, embedding, enrich, filters, fusion, ignore, keyword, reports, vector
 from lodestone.plans import ingest, retrieve, scratch
 from lodestone.sources import index_store, texts, tree
