@@ -2,14 +2,17 @@
 
 The most frequent words are put into classes by exchange: each word in turn moves to the
 class that raises the likelihood of the class bigrams most (Brown et al. 1992, Martin et al.
-1998). All other words, unknown ones among them, share one class, and the end of a text has
-its own. A text's probability is the product of class transitions and word emissions, from
+1998). From there all words that occur MIN_COUNT times or more in training are put into
+classes by the same measure, in Spark rounds: each word's counts before and after each class
+are gathered, and all words move at once. Those outside the head are placed in the last
+round, by their neighbours from the head. Rarer words, unknown ones among them, share one
+class, and the end of a text has its own. A text's probability is the product of class transitions and word emissions, from
 end to end. Both are smoothed, so the symbols known in training and one for all others sum
 to one.
 
 Counts are over all training texts: tasks count, Spark adds up. The most frequent words and
-their counts are sent to the tasks (HEAD_WORDS at most); rarer words of a text are joined with
-the count table, so every token has its true count.
+their counts and classes are sent to the tasks (HEAD_WORDS at most); rarer words of a text are
+joined with the tables of counts and classes, so every token has its true count and class.
 
 Null texts count as empty: they consist of their end. Rows may repeat.
 """
@@ -29,8 +32,12 @@ from lodestone.llm.tables import checkpoint, frequent, remainder
 
 #: Words whose counts are sent to every task, 16 bytes each.
 HEAD_WORDS = 500_000
-#: Words that are put into classes; their bigrams are at most (CLASS_WORDS + 2) squared.
+#: Words whose classes are exchanged one by one first; their bigrams are at most (CLASS_WORDS + 2) squared.
 CLASS_WORDS = 1_500
+#: Words that occur as often in training are put into classes, however many they are.
+MIN_COUNT = 5
+#: Rounds in which all of these words move at once.
+ROUNDS = 2
 CLASSES = 48
 SWEEPS = 6
 #: Weight of the class frequencies in the smoothed transitions.
@@ -69,14 +76,13 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 @dataclass
-class Model:
-    """Counts of the head words, classes, and log10 of the smoothed probabilities."""
+class Classes:
+    """The head words with their counts and classes, the classes of frequent words outside the head, totals."""
 
     words: np.ndarray  # ascending hashes
     counts: np.ndarray
     classes: np.ndarray  # of the head words; CLASSES for all that are not clustered
-    transitions: np.ndarray  # (CLASSES + 2) x (CLASSES + 2) log10, the last class is the end
-    class_counts: np.ndarray
+    tail: DataFrame | None  # (word, class) of the clustered words outside the head
     tokens: int
     types: int
     ends: int
@@ -86,9 +92,21 @@ class Model:
     def base(self, n: np.ndarray) -> np.ndarray:
         return np.log10((n + 1.0) / (self.tokens + self.types + 1.0))
 
-    def rest_emission(self, n: np.ndarray) -> np.ndarray:
-        """Of words outside the classes; those never seen share the place of one word."""
-        return np.log10((n + 1.0) / (self.rest_tokens + self.rest_types + 1.0))
+
+@dataclass
+class Model(Classes):
+    """Classes, and log10 of the smoothed probabilities."""
+
+    transitions: np.ndarray  # (CLASSES + 2) x (CLASSES + 2) log10, the last class is the end
+    class_counts: np.ndarray
+
+    def norms(self) -> np.ndarray:
+        """log10 of what the count of a word is divided by, for each class.
+
+        Words outside the classes, and one place for those never seen, count one more.
+        """
+        own = np.log10(np.maximum(self.class_counts[:CLASSES], 1.0))
+        return np.concatenate([own, [np.log10(self.rest_tokens + self.rest_types + 1.0), 0.0]])
 
 
 def exchange(bigrams: np.ndarray, classes: int, sweeps: int, movable: int) -> np.ndarray:
@@ -151,20 +169,13 @@ def count_words(docs: DataFrame) -> DataFrame:
     return checkpoint(each.groupBy("word").agg(F.sum("n").alias("n")))
 
 
-def fit(docs: DataFrame, counts: DataFrame) -> Model:
-    """Learns classes and transitions from all texts of `docs`, whose word counts are given."""
-    spark = docs.sparkSession
-    tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    ends = docs.count()
-    head = frequent(counts, "n", HEAD_WORDS).toArrow()
-    words, n = W.unsigned(head.column("word").to_numpy()), head.column("n").to_numpy()
-    order = np.argsort(words)
-    words, n = words[order], n[order]
+def _seed(docs: DataFrame, words: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Classes of the CLASS_WORDS most frequent head words by exchange; CLASSES for all others."""
     clustered = np.lexsort((words, -n))[:CLASS_WORDS]
     symbol = np.full(len(words), len(clustered), np.int64)
     symbol[clustered] = np.arange(len(clustered))
     symbols = len(clustered) + 2
-    shared = spark.sparkContext.broadcast((words, symbol))
+    shared = docs.sparkSession.sparkContext.broadcast((words, symbol))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, place = shared.value
@@ -174,7 +185,7 @@ def fit(docs: DataFrame, counts: DataFrame) -> Model:
                 found = W.cut(part.column("text"), lower=True)
                 at = table.find(found.hashes())
                 of = np.where(at >= 0, place[at], symbols - 2) if len(place) else np.full(len(at), symbols - 2)
-                before, after, _ = _with_ends(of, found, symbols - 1)
+                before, after, _ = _with_ends(of, found.counts(), symbols - 1)
                 total += np.bincount(before * symbols + after, minlength=symbols * symbols)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["pair", "n"])
@@ -183,93 +194,342 @@ def fit(docs: DataFrame, counts: DataFrame) -> Model:
     table = rows.toArrow()  # at most (CLASS_WORDS + 2) squared rows
     bigrams = np.zeros(symbols * symbols)
     bigrams[table.column("pair").to_numpy()] = table.column("n").to_numpy()
-    bigrams = bigrams.reshape(symbols, symbols)
-    of = exchange(bigrams, CLASSES, SWEEPS, len(clustered))
-    onto = np.zeros((symbols, CLASSES + 2))
-    onto[np.arange(symbols), of] = 1.0
-    moves = onto.T @ bigrams @ onto
-    class_counts = moves.sum(axis=0)
-    frequency = (class_counts + 1.0) / (class_counts.sum() + CLASSES + 2)
-    given = moves.sum(axis=1, keepdims=True)
-    transitions = np.log10((moves + BACKOFF * frequency) / (given + BACKOFF))
-    inside = int(n[clustered].sum())
-    return Model(
-        words, n, of[symbol], transitions, class_counts, int(tokens) + ends, int(types) + (1 if ends else 0), ends,
-        int(tokens) - inside, int(types) - len(clustered),
+    of = exchange(bigrams.reshape(symbols, symbols), CLASSES, SWEEPS, len(clustered))
+    return of[symbol]
+
+
+def _contexts(docs: DataFrame, words: np.ndarray, classes: np.ndarray, movable: np.ndarray, tail: bool) -> DataFrame:
+    """(kind, word, code, n): how often a word is followed (code: class) or preceded (code: classes + class) by a class.
+
+    Twice the number of classes is the code of a word that follows itself. Kind 0 are the
+    movable head words, kind 1 (if `tail`) the words outside the head, kind 2 the class
+    bigrams, with the pair as their code.
+    """
+    width, end = CLASSES + 2, CLASSES + 1
+    codes = 2 * width + 1
+    shared = docs.sparkSession.sparkContext.broadcast((words, classes, movable))
+
+    def out(kind: int, word: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        kinds = np.full(len(word), kind, np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(kinds), pa.array(W.signed(word)), pa.array(code.astype(np.int32)), pa.array(n)],
+            names=["kind", "word", "code", "n"],
+        )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, of_known, moves = shared.value
+        table, total = W.Table(known), np.zeros(width * width, np.int64)
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            for part in W.slices(batch, "text"):
+                found = W.cut(part.column("text"), lower=True)
+                hashes = found.hashes()
+                at = table.find(hashes)
+                of = np.where(at >= 0, of_known[at], CLASSES) if len(known) else np.full(len(at), CLASSES)
+                before, after, _ = _with_ends(of, found.counts(), end)
+                total += np.bincount(before * width + after, minlength=width * width)
+                # the steps into and out of each word; the last step of a row leads to its end
+                into = np.flatnonzero(~_lasts(found.counts()))
+                right, left = after[into + 1].copy(), before[into] + width
+                same = np.zeros(len(hashes), bool)
+                same[:-1] = (hashes[1:] == hashes[:-1]) & (found.doc[1:] == found.doc[:-1])
+                right[same] = 2 * width
+                first = np.ones(len(hashes), bool)
+                first[1:] = ~same[:-1]
+                heads = at >= 0
+                if len(known):
+                    heads &= moves[at]
+                new = np.concatenate([at[heads] * codes + right[heads], at[heads & first] * codes + left[heads & first]])
+                new, n = np.unique(new, return_counts=True)
+                keys, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
+                counts = np.bincount(place, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+                if len(keys) > 1_000_000:
+                    yield out(0, known[keys // codes], keys % codes, counts)
+                    keys, counts = keys[:0], counts[:0]
+                if tail:
+                    rare = at < 0
+                    word = np.concatenate([hashes[rare], hashes[rare & first]])
+                    yield out(1, word, np.concatenate([right[rare], left[rare & first]]), np.ones(len(word), np.int64))
+        if len(keys):
+            yield out(0, known[keys // codes], keys % codes, counts)
+        some = np.flatnonzero(total)
+        yield out(2, np.zeros(len(some), np.uint64), some, total[some])
+
+    return checkpoint(docs.select("text").mapInArrow(count, "kind int, word long, code int, n long"))
+
+
+def best_classes(pairs: np.ndarray, own: np.ndarray, right: np.ndarray, left: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """The best class of each word by the measure of `exchange`, if it alone moves.
+
+    `pairs` are the class bigrams, `own` the classes of the words in them, `right` and `left`
+    (words, classes) their counts before and after each class, without `same`, the word itself.
+    """
+    f = lambda x: x * np.log(np.maximum(x, 1.0))
+    out, size = own.copy(), CLASSES
+    for at in range(0, len(own), 256):
+        o, r, l, s = own[at:at + 256], right[at:at + 256], left[at:at + 256], same[at:at + 256]
+        each = np.arange(len(o))
+        p = np.repeat(pairs[None], len(o), axis=0)
+        p[each, o, :] -= r
+        p[each, :, o] -= l
+        p[each, o, o] -= s
+        rows, columns = p.sum(axis=2)[:, :size], p.sum(axis=1)[:, :size]
+        gain = (f(p[:, :size] + r[:, None, :]) - f(p[:, :size])).sum(axis=2)
+        gain += (f(p[:, :, :size] + l[:, :, None]) - f(p[:, :, :size])).sum(axis=1)
+        d = np.diagonal(p, axis1=1, axis2=2)[:, :size]
+        a, b = r[:, :size], l[:, :size]
+        gain += f(d + a + b + s[:, None]) - f(d + a) - f(d + b) + f(d)
+        n, m = (r.sum(axis=1) + s)[:, None], (l.sum(axis=1) + s)[:, None]
+        gain -= f(rows + n) - f(rows) + f(columns + m) - f(columns)
+        best = gain.argmax(axis=1)
+        stay = np.where(o < size, gain[each, np.minimum(o, size - 1)], -np.inf)
+        out[at:at + 256] = np.where(gain[each, best] > stay + 1e-9, best, o)
+    return out
+
+
+def _round(contexts: DataFrame, words: np.ndarray, classes: np.ndarray) -> DataFrame:
+    """(kind, word, n, class): every counted word against the class bigrams, which are all that is sent."""
+    width = CLASSES + 2
+    table = contexts.filter("kind = 2").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    pairs = np.zeros(width * width)
+    pairs[table.column("code").to_numpy()] = table.column("n").to_numpy()
+    shared = contexts.sparkSession.sparkContext.broadcast((words, classes, pairs.reshape(width, width)))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, of_known, moves = shared.value
+        find = W.Table(known)
+
+        def of_words(rows: pa.Table) -> pa.RecordBatch:
+            word, n = rows.column("word").to_numpy(), rows.column("n").to_numpy()
+            distinct, first, place = np.unique(word, return_index=True, return_inverse=True)
+            codes = 2 * width + 1
+            sums = np.bincount(place * codes + rows.column("code").to_numpy(), n, len(distinct) * codes).reshape(-1, codes)
+            at = find.find(W.unsigned(distinct))
+            own = np.where(at >= 0, of_known[at], CLASSES) if len(known) else np.full(len(at), CLASSES)
+            right, left, same = sums[:, :width], sums[:, width:2 * width], sums[:, -1]
+            total = right.sum(axis=1) + same
+            often = (total >= MIN_COUNT) | (at >= 0)
+            best = own.copy()
+            best[often] = best_classes(moves, own[often], right[often], left[often], same[often])
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(rows.column("kind").to_numpy()[first]), pa.array(distinct),
+                    pa.array(total.astype(np.int64)), pa.array(best.astype(np.int32)),
+                ],
+                names=["kind", "word", "n", "class"],
+            ).filter(pa.array(often))
+
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if held is not None:
+                rows = pa.concat_tables([held, rows])
+            if not rows.num_rows:
+                continue
+            word = rows.column("word").to_numpy()
+            whole = int(np.searchsorted(word, word[-1]))  # the last word may go on
+            if whole:
+                yield of_words(rows.slice(0, whole))
+            held = rows.slice(whole)
+        if held is not None and held.num_rows:
+            yield of_words(held)
+
+    rows = contexts.filter("kind < 2").repartition("word").sortWithinPartitions("word")
+    return checkpoint(rows.mapInArrow(decide, "kind int, word long, n long, class int"))
+
+
+def cluster(docs: DataFrame, counts: DataFrame) -> Classes:
+    """Classes of all words that occur MIN_COUNT times or more in `docs`, whose word counts are given."""
+    tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    often = F.col("n") >= MIN_COUNT
+    many, inside = counts.filter(often).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    ends = docs.count()
+    head = frequent(counts, "n", HEAD_WORDS).toArrow()
+    words, n = W.unsigned(head.column("word").to_numpy()), head.column("n").to_numpy()
+    order = np.argsort(words)
+    words, n = words[order], n[order]
+    classes = _seed(docs, words, n)
+    movable = (n >= MIN_COUNT) | (classes < CLASSES)
+    rare_seeds = (n < MIN_COUNT) & (classes < CLASSES)
+    tail = None
+    with_tail = many > int((n >= MIN_COUNT).sum())
+    for k in range(ROUNDS if movable.any() or with_tail else 0):
+        last = k == ROUNDS - 1
+        moved = _round(_contexts(docs, words, classes, movable, with_tail and last), words, classes)
+        found = moved.filter("kind = 0").select("word", "class").toArrow()  # head words: HEAD_WORDS at most
+        classes = classes.copy()
+        classes[np.searchsorted(words, W.unsigned(found.column("word").to_numpy()))] = found.column("class").to_numpy()
+        if with_tail and last:
+            tail = moved.filter("kind = 1").select("word", "class")
+    return Classes(
+        words, n, classes, tail, int(tokens) + ends, int(types) + (1 if ends else 0), ends,
+        int(tokens) - int(inside) - int(n[rare_seeds].sum()), int(types) - int(many) - int(rare_seeds.sum()),
     )
 
 
-def _with_ends(of: np.ndarray, found: W.Words, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _lasts(counts: np.ndarray) -> np.ndarray:
+    """Which of the steps of rows with so many words leads to the end."""
+    out = np.zeros(int(counts.sum()) + len(counts), bool)
+    out[np.cumsum(counts + 1) - 1] = True
+    return out
+
+
+def _with_ends(of: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols before and after each step of the rows, end to end, and the row of each step."""
-    counts = found.counts()
     steps = counts + 1
-    doc = np.repeat(np.arange(found.rows), steps)
+    doc = np.repeat(np.arange(len(counts)), steps)
     last = np.cumsum(steps) - 1
     after = np.full(len(doc), end, np.int64)
-    inner = np.ones(len(doc), bool)
-    inner[last] = False
-    after[inner] = of
+    after[~_lasts(counts)] = of
     before = np.full(len(doc), end, np.int64)
     before[1:] = after[:-1]
     before[last - counts] = end
     return before, after, doc
 
 
-def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for rows of (doc_id, held_out, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+#: Stands for a word outside the head until its class is joined. Classes are one ASCII character each.
+_OPEN = 127
+
+
+def _as_text(of: np.ndarray, counts: np.ndarray) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(counts), pa.py_buffer(offsets), pa.py_buffer(of.astype(np.uint8)))
+
+
+def tag(docs: DataFrame, counts: DataFrame, known: Classes) -> DataFrame:
+    """The rows of (doc_id, held_out, training, text) with the classes of their words in place of the text.
+
+    Further columns: n_tokens, n_known, base_score, and `own`, the sum of the logarithms of
+    the words' counts, which the classes' norms are taken from.
+    """
+    tail = known.tail
+    head = (known.words, known.counts, known.classes)
+    shared = docs.sparkSession.sparkContext.broadcast((head, known.base(known.counts), float(known.base(np.float64(known.ends)))))
+    ends, open_class = known.ends, CLASSES if tail is None else _OPEN
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"]
+    names = ["row", "doc_id", "held_out", "training", "n_tokens", "n_known", "base_score", "own", "classes", "rare"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, row = shared.value, TaskContext.get().partitionId() << 36
-        table = W.Table(m.words)
-        emission = m.rest_emission(m.counts.astype(np.float64))
-        inside = m.classes < CLASSES
-        emission[inside] = np.log10(m.counts[inside] / np.maximum(m.class_counts[m.classes[inside]], 1.0))
-        end_base = m.base(np.float64(m.ends))
+        (words, n, classes), base_of, end_base = shared.value
+        row = TaskContext.get().partitionId() << 36
+        table, emission = W.Table(words), np.log10(n + (classes == CLASSES))
         for batch in batches:
             for part in W.slices(batch, "text"):
                 found = W.cut(part.column("text"), lower=True)
                 hashes, rows = found.hashes(), part.num_rows
                 at = table.find(hashes)
                 seen = at >= 0
-                of = np.full(len(at), CLASSES, np.int64)
-                of[seen] = m.classes[at[seen]]
-                before, after, doc = _with_ends(of, found, CLASSES + 1)
-                value = np.bincount(doc, m.transitions[before, after], rows)
-                value += np.bincount(found.doc[seen], emission[at[seen]], rows)
-                base = np.bincount(found.doc[seen], m.base(m.counts[at[seen]]), rows) + end_base
-                known = np.bincount(found.doc[seen], minlength=rows) + (1 if m.ends else 0)
+                of = np.full(len(at), open_class, np.int64)
+                of[seen] = classes[at[seen]]
+                own = np.bincount(found.doc[seen], emission[at[seen]], rows).astype(float)
+                base = np.bincount(found.doc[seen], base_of[at[seen]], rows) + end_base
+                hits = np.bincount(found.doc[seen], minlength=rows) + (1 if ends else 0)
                 rare = np.searchsorted(found.doc[~seen], np.arange(rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.arange(row, row + rows)), part.column("doc_id"), part.column("held_out"),
-                        pa.array(found.counts() + 1), pa.array(known), pa.array(base), pa.array(value),
+                        pa.array(np.arange(row, row + rows)), *[part.column(c) for c in names[1:4]],
+                        pa.array(found.counts() + 1), pa.array(hits), pa.array(base), pa.array(own),
+                        _as_text(of, found.counts()),
                         pa.ListArray.from_arrays(pa.array(rare), pa.array(W.signed(hashes[~seen]))),
                     ],
                     names=names,
                 )
                 row += rows
 
-    texts = docs.select("doc_id", "held_out", "text")
-    partial = checkpoint(texts.mapInArrow(
+    partial = checkpoint(docs.select("doc_id", "held_out", "training", "text").mapInArrow(
         scan,
-        f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>",
+        f"row long, doc_id {kind}, held_out boolean, training boolean, n_tokens long, n_known long, base_score double, "
+        "own double, classes string, rare array<long>",
     ))
-    # rare words carry their true counts: a table of words outside the head, joined by word
-    place = partial.select("row", F.explode("rare").alias("word")).groupBy("word", "row").agg(F.count(F.lit(1)).alias("times"))
-    joined = place.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    spaces, rest = float(model.tokens + model.types + 1), float(model.rest_tokens + model.rest_types + 1)
+    # words outside the head carry their true counts and classes: tables joined by word
+    about = counts.withColumn("class", F.lit(CLASSES)) if tail is None else (
+        counts.join(tail, "word", "left").withColumn("class", F.coalesce("class", F.lit(CLASSES)))
+    )
+    joined = (
+        partial.select("row", F.posexplode("rare").alias("i", "word")).join(about, "word", "left")
+        .select("row", "i", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", F.lit(CLASSES)).alias("class"))
+    )
+    spaces = float(known.tokens + known.types + 1)
     sums = joined.groupBy("row").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("times") * F.log10((F.col("n") + 1) / F.lit(spaces))).alias("rare_base"),
-        F.sum(F.col("times") * F.log10((F.col("n") + 1) / F.lit(rest))).alias("rare_score"),
+        F.count(F.when(F.col("n") > 0, 1)).alias("rare_known"),
+        F.sum(F.log10((F.col("n") + 1) / F.lit(spaces))).alias("rare_base"),
+        F.sum(F.log10(F.col("n") + (F.col("class") == CLASSES).cast("int"))).alias("rare_own"),
+        *([] if tail is None else [F.array_sort(F.collect_list(F.struct("i", "class")))["class"].alias("rare_classes")]),
     )
     add = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
-    return partial.drop("rare").join(sums, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", add("n_known", "rare_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        add("base_score", "rare_base"), add("score", "rare_score"),
+    whole = partial.drop("rare").join(sums, "row", "left").select(
+        "doc_id", "held_out", "training", "n_tokens", add("n_known", "rare_known"), add("base_score", "rare_base"),
+        add("own", "rare_own"), "classes", *([] if tail is None else ["rare_classes"]),
+    )
+    if tail is None:
+        return checkpoint(whole)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.slices(batch, "classes"):
+                data, offsets = W.as_bytes(part.column("classes"))
+                data = data.copy()
+                data[data == _OPEN] = part.column("rare_classes").flatten().to_numpy()
+                columns = part.columns[:-2] + [_as_text(data, np.diff(offsets))]
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names[:-1])
+
+    return checkpoint(whole.mapInArrow(fill, whole.drop("rare_classes").schema))
+
+
+def _learn(tagged: DataFrame, known: Classes) -> Model:
+    """Transitions from the training rows of `tagged`."""
+    width = CLASSES + 2
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width * width, np.int64)
+        for batch in batches:
+            for part in W.slices(batch, "classes"):
+                data, offsets = W.as_bytes(part.column("classes"))
+                before, after, _ = _with_ends(data, np.diff(offsets), width - 1)
+                total += np.bincount(before * width + after, minlength=width * width)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["pair", "n"])
+
+    rows = tagged.filter("training").select("classes").mapInArrow(pairs, "pair long, n long")
+    table = rows.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    moves = np.zeros(width * width)
+    moves[table.column("pair").to_numpy()] = table.column("n").to_numpy()
+    moves = moves.reshape(width, width)
+    class_counts = moves.sum(axis=0)
+    frequency = (class_counts + 1.0) / (class_counts.sum() + width)
+    given = moves.sum(axis=1, keepdims=True)
+    transitions = np.log10((moves + BACKOFF * frequency) / (given + BACKOFF))
+    return Model(**vars(known), transitions=transitions, class_counts=class_counts)
+
+
+def fit(docs: DataFrame, counts: DataFrame) -> Model:
+    """Learns classes and transitions from all texts of `docs`, whose word counts are given."""
+    known = cluster(docs, counts)
+    rows = docs.select("doc_id", F.lit(False).alias("held_out"), F.lit(True).alias("training"), "text")
+    return _learn(tag(rows, counts, known), known)
+
+
+def score(tagged: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for the rows of `tag`."""
+    shared = tagged.sparkSession.sparkContext.broadcast((model.transitions, model.norms()))
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        transitions, norms = shared.value
+        steps = transitions - norms  # each step leads to one word or the end
+        for batch in batches:
+            for part in W.slices(batch, "classes"):
+                data, offsets = W.as_bytes(part.column("classes"))
+                before, after, doc = _with_ends(data, np.diff(offsets), CLASSES + 1)
+                value = np.bincount(doc, steps[before, after], part.num_rows) + part.column("own").to_numpy()
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(value)], names=[*names, "score"])
+
+    kind = tagged.schema["doc_id"].dataType.simpleString()
+    rows = tagged.mapInArrow(
+        scan, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    )
+    return rows.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
 
 
@@ -279,7 +539,10 @@ def held_out(key: str = "doc_id") -> Column:
 
 def evaluate(docs: DataFrame) -> DataFrame:
     """Learn from the documents that are not held out, score all."""
-    training = docs.filter(remainder("doc_id", 7) != 2)
+    trained = remainder("doc_id", 7) != 2
+    training = docs.filter(trained)
     counts = count_words(training)
-    model = fit(training, counts)
-    return score(docs.select("doc_id", held_out().alias("held_out"), "text"), counts, model)
+    known = cluster(training, counts)
+    rows = docs.select("doc_id", held_out().alias("held_out"), F.coalesce(trained, F.lit(False)).alias("training"), "text")
+    tagged = tag(rows, counts, known)
+    return score(tagged, _learn(tagged, known))

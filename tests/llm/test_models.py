@@ -178,3 +178,48 @@ def test_odd_rows(op, odd, empty, odd_labels, no_labels):
         same = rows[rows.doc_id == 1].score
         assert len(same) == 2 and same.nunique() == 1
     assert run(empty, no_labels).count() == 0
+
+
+@pytest.mark.parametrize("head", [40, 100_000])
+def test_every_frequent_word_has_a_class(spark, monkeypatch, head):
+    """More words than are exchanged one by one, in the head and outside: two kinds in turn tell their classes."""
+    monkeypatch.setattr(brown, "HEAD_WORDS", head)
+    monkeypatch.setattr(brown, "CLASS_WORDS", 20)
+    monkeypatch.setattr(brown, "CLASSES", 2)
+    draw = np.random.default_rng(4)
+    chance = np.concatenate([np.full(20, 0.03), np.full(180, 0.4 / 180)])
+
+    def text():
+        kinds = draw.choice(200, (2, 30), p=chance / chance.sum())
+        return " ".join(f"x{a} y{b}" for a, b in kinds.T.tolist())
+
+    docs = spark.createDataFrame([(i, text()) for i in range(300)] + [(1000, "once never")], "doc_id long, text string")
+    counts = brown.count_words(docs)
+    known = brown.cluster(docs, counts)
+    of = dict(zip(known.words.tolist(), known.classes.tolist(), strict=True))
+    if known.tail is not None:
+        of |= {brown.W.unsigned([r.word])[0].item(): r["class"] for r in known.tail.collect()}
+    assert (known.tail is not None) == (head == 40)
+    n = Counter(w for r in docs.collect() for w in r.text.split())
+    kinds = {"x": [], "y": []}
+    for w, times in n.items():
+        c = of.get(brown.W.cut(pa.array([w])).hashes()[0].item(), brown.CLASSES)
+        assert (c < brown.CLASSES) == (times >= brown.MIN_COUNT)
+        if c < brown.CLASSES:
+            kinds[w[0]].append(c)
+    shares = [np.mean(kinds[k]) for k in "xy"]
+    assert len(n) > 300 and sorted(np.round(shares, 1).tolist()) == [0.0, 1.0]
+    assert known.rest_types == sum(t < brown.MIN_COUNT for t in n.values())
+    # scores follow from the classes, those outside the head included
+    m = brown.fit(docs, counts)
+    rows = brown._learn(brown.tag(docs.selectExpr("doc_id", "false held_out", "true training", "text"), counts, known), known)
+    assert np.allclose(rows.transitions, m.transitions) and m.class_counts[brown.CLASSES] == known.rest_tokens
+    tagged = brown.tag(docs.selectExpr("doc_id", "false held_out", "true training", "text"), counts, known)
+    found = {r.doc_id: r.score for r in brown.score(tagged, rows).collect()}
+    for r in docs.limit(5).collect():
+        before, value = brown.CLASSES + 1, 0.0
+        for w in r.text.split():
+            c = of.get(brown.W.cut(pa.array([w])).hashes()[0].item(), brown.CLASSES)
+            value += rows.transitions[before, c] + math.log10((n[w] + (c == brown.CLASSES)) / 10 ** rows.norms()[c])
+            before = c
+        assert found[r.doc_id] == pytest.approx(value + rows.transitions[before, brown.CLASSES + 1], rel=1e-9)
