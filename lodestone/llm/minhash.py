@@ -7,10 +7,9 @@ Equal texts have equal fingerprints; the share of equal slots estimates the Jacc
 similarity.
 
 `near_classes` joins bands of slots in Spark and verifies the exact Jaccard similarity of
-what the bands bring together. In a bucket every document is compared with the first one;
-those that are not alike it go on with the first of the rest, until each has led or been
-linked. So no bucket is capped and none grows to all its pairs. Every link is exact; a pair
-can stay unlinked if it shares no band, or if in each shared bucket both follow others.
+every pair that the bands bring together. A bucket larger than a tile is cut into tiles, and
+every pair of its tiles is one cell, so no bucket is capped and none sits in one task. Only a
+spanning forest leaves a cell. A pair can stay unlinked only if it shares no band.
 
 Null texts count as empty; two empty sets are alike with likeness 1. Rows may repeat; other
 columns are ignored.
@@ -35,6 +34,9 @@ SLOTS = 256
 #: 32 bands of 8 slots: a pair at similarity 0.8 shares none with a chance of 0.003.
 BANDS = 32
 SIMILARITY = 0.8
+#: Sets of a tile, and shingles of a tile, about. A cell holds two tiles at most.
+TILE_ROWS = 1024
+TILE_SHINGLES = 2_000_000
 #: Rows of one range of documents, the unit in which neighbours are found, and how many ranges
 #: there are at most. A range is sorted and streamed, so a larger one needs no more memory.
 RANGE_ROWS = 4096
@@ -207,7 +209,102 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.select("id", "text").mapInArrow(scan, "id long, shingles array<long>")
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: int = 200) -> DataFrame:
+def _alike(rows: dict[str, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of a cell, by exact Jaccard similarity.
+
+    A cell of one tile compares it with itself, a cell of two tiles only across them.
+    """
+    order = np.argsort([len(s) for s in rows["shingles"]], kind="stable")
+    ids, sets = rows["id"][order], [rows["shingles"][i] for i in order]
+    left, same = (rows["t"] == rows["x"][0])[order], rows["x"][0] == rows["y"][0]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    label, flag = np.arange(len(ids)), np.zeros(len(values), bool)
+    for i in range(len(ids) - 1):
+        # sizes ascend: a larger set than this cannot be alike
+        stop = int(np.searchsorted(sizes * similarity, sizes[i] * (1 + 1e-9), side="right"))
+        later = np.arange(i + 1, stop)
+        later = later[label[later] != label[i]]
+        if not same:
+            later = later[left[later] != left[i]]
+        if not len(later):
+            continue
+        own = codes[ends[i]:ends[i + 1]]
+        flag[own] = True
+        low, high = ends[later[0]], ends[later[-1] + 1]
+        hits = np.concatenate(([0], np.cumsum(flag[codes[low:high]])))
+        common = hits[ends[later + 1] - low] - hits[ends[later] - low]
+        flag[own] = False
+        union = sizes[i] + sizes[later] - common
+        near = later[(union == 0) | (common >= similarity * union)]
+        found = np.unique(np.append(label[near], label[i]))
+        if len(found) > 1:
+            label[np.isin(label, found)] = found[0]
+    linked = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[linked], ids[label[linked]]
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Cells of a partition that is sorted by cell."""
+    held: list[pa.RecordBatch] = []
+    key = None
+
+    def whole() -> dict[str, np.ndarray]:
+        table = pa.Table.from_batches(held)
+        out = {name: table.column(name).to_numpy() for name in ("id", "t", "x", "y")}
+        return out | {"shingles": table.column("shingles").to_numpy()}
+
+    for batch in batches:
+        keys = [batch.column(name).to_numpy() for name in ("band", "key", "x", "y")]
+        new = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        bounds = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for s, e in zip(bounds, bounds[1:], strict=False):
+            if s == e:
+                continue
+            this = tuple(int(k[s]) for k in keys)
+            if held and this != key:
+                yield whole()
+                held = []
+            key = this
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield whole()
+
+
+def _links(buckets: DataFrame, shingles: DataFrame, similarity: float, tile: int) -> DataFrame:
+    """(a, b) links that connect exactly what all pairs alike of all buckets would connect.
+
+    A bucket larger than a tile is cut into tiles, every pair of its tiles is one cell, and
+    Spark places the cells. Buckets of the same members are compared once.
+    """
+    members = [F.count(F.lit(1)), F.bit_xor(F.xxhash64("id")), F.bit_xor(F.xxhash64(F.lit(_SEED), "id")), F.min("id")]
+    names = ["n", "h", "g", "low"]
+    sizes = buckets.join(shingles.select("id", F.size("shingles").cast("long").alias("size")), "id").groupBy("band", "key").agg(
+        *[m.alias(c) for m, c in zip(members, names, strict=True)], F.sum("size").alias("volume")
+    ).filter("n > 1").dropDuplicates(names)
+    tiles = F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("volume") / TILE_SHINGLES)).cast("int")
+    chosen = checkpoint(sizes.select("band", "key", tiles.alias("tiles")))
+    placed = buckets.join(chosen, ["band", "key"])
+    placed = placed.withColumn("t", F.pmod(F.xxhash64(F.lit(_SEED), "id"), F.col("tiles")).cast("int"))
+    cells = placed.select(
+        "band", "key", "id", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("u")
+    ).select("band", "key", F.least("t", "u").alias("x"), F.greatest("t", "u").alias("y"), "t", "id")
+    order = ["band", "key", "x", "y"]
+    rows = cells.join(shingles, "id").repartition(*order).sortWithinPartitions(*order)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _cells(batches):
+            a, b = _alike(cell, similarity)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return rows.mapInArrow(compare, "a long, b long")
+
+
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TILE_ROWS) -> DataFrame:
     """doc_id and class_id, the smallest doc_id that verified links reach.
 
     Equal texts are one node, told apart by a hash, and are not compared.
@@ -221,27 +318,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: int =
     buckets = checkpoint(buckets.join(shared, ["band", "key"]))
     # only texts that share a band with another one are compared
     shingles = checkpoint(_sets(texts.join(buckets.select("id").distinct(), "id", "left_semi")))
-    found = None
-    for _ in range(rounds):
-        lead = buckets.groupBy("band", "key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        members = checkpoint(buckets.join(lead.drop("n"), ["band", "key"]).filter("id <> lead"))
-        if members.isEmpty():
-            break
-        pairs = members.select("lead", "id").distinct()
-        both = pairs.join(shingles, "id").join(
-            shingles.select(F.col("id").alias("lead"), F.col("shingles").alias("others")), "lead"
-        )
-        common = F.size(F.array_intersect("shingles", "others"))
-        union = F.size("shingles") + F.size("others") - common
-        alike = checkpoint(both.filter((union == 0) | (common >= similarity * union)).select("lead", "id"))
-        found = alike if found is None else found.union(alike)
-        buckets = members.join(alike, ["lead", "id"], "left_anti").select("id", "band", "key")
-    else:
-        raise RuntimeError(f"buckets are not done after {rounds} rounds")
-    if found is None:
-        labelled = nodes.withColumn("label", F.col("id"))
-    else:
-        labels = components(found.select(F.col("lead").alias("a"), F.col("id").alias("b")))
-        labelled = nodes.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    labels = components(checkpoint(_links(buckets, shingles, similarity, tile)))
+    labelled = nodes.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     lowest = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     return labelled.join(lowest, "label").select("doc_id", "class_id")

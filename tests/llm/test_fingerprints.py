@@ -166,3 +166,27 @@ def test_keep_one_keeps_one_row_of_each_group(odd, empty, documents):
     assert ids == [1, 2, 5, 6, 8, 9, 10]
     twice = documents.union(documents)
     assert simhash.keep_one(twice).count() == simhash.keep_one(documents).count()
+
+
+def test_near_classes_of_a_bucket_of_many_unlike_texts_and_of_chains(spark, monkeypatch):
+    """One bucket of more texts than 200 that are not alike, and a chain of links over a member that follows another."""
+    def all_in_one(texts):
+        return texts.selectExpr("id", "array(1L) bands")
+
+    monkeypatch.setattr(minhash, "_bands", all_in_one)
+    words = [f"c{i}" for i in range(100)]
+    # A to B differ in the last words, L to A in the first: both at 0.8 or more, L to B below
+    chains = [[], [], []]
+    for n in range(12):
+        base = [f"{n}_{w}" for w in words]
+        chains[0].append(" ".join([f"l{n}_{k}" for k in range(7)] + base[7:]))
+        chains[1].append(" ".join(base))
+        chains[2].append(" ".join(base[:-7] + [f"b{n}_{k}" for k in range(7)]))
+    rows = [(3 * n + k, chains[k][n]) for n in range(12) for k in range(3)]
+    rows += [(1000 + i, " ".join(words[:40] + [f"z{i}_{k}" for k in range(30)])) for i in range(230)]
+    sets = {i: shingles(t, 5) for i, t in rows}
+    assert jaccard(sets[0], sets[1]) >= 0.8 and jaccard(sets[1], sets[2]) >= 0.8 and jaccard(sets[0], sets[2]) < 0.8
+    want = {i: i - i % 3 if i < 1000 else i for i in sets}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for tile in (50, 1024):
+        assert {r.doc_id: r.class_id for r in minhash.near_classes(docs, tile=tile).collect()} == want
