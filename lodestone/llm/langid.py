@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lodestone.llm import words as W
-from lodestone.llm.tables import checkpoint, frequent, remainder, sample
+from lodestone.llm.tables import checkpoint, frequent, remainder, spread
 
-#: Rows to learn from, about, over all languages.
+#: Rows to learn from, about, over all languages, and of each language at least (all, if it has fewer).
 TRAINING_ROWS = 10_000
+LANGUAGE_ROWS = 1_000
 MAX_WORDS = 200_000
 MAX_GRAMS = 100_000
 LONGEST_GRAM = 5
@@ -128,12 +129,18 @@ def has_letter(texts: pa.Array, candidates: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, bound: int = TRAINING_ROWS) -> Model:
     """Learns from about `bound` rows of (doc_id, text, lang), chosen by a hash of doc_id.
 
+    A language with less than LANGUAGE_ROWS of them gets about as many, or all it has, so
+    every labelled language is learnt.
     Tasks count, Spark adds up; MAX_WORDS words and MAX_GRAMS n-grams of each length at most
     come to the driver, the most frequent ones that occur twice or more.
     """
     known = docs.filter("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string"))
-    chosen = sample(known, "doc_id", bound, 6)
-    languages = sorted(r[0] for r in chosen.select("lang").distinct().collect())
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    languages, rows = sorted(sizes), max(1, sum(sizes.values()))
+    # ids that repeat are chosen together, so a language of few rows is never sampled
+    rates = [(name, float(max(bound / rows, LANGUAGE_ROWS / sizes[name]))) for name in languages]
+    rate = F.broadcast(docs.sparkSession.createDataFrame(rates, "lang string, rate double"))
+    chosen = known.join(rate, "lang").filter(spread("doc_id", 6) < F.col("rate"))
     place = {name: i for i, name in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

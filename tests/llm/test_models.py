@@ -223,3 +223,11 @@ def test_every_frequent_word_has_a_class(spark, monkeypatch, head):
             value += rows.transitions[before, c] + math.log10((n[w] + (c == brown.CLASSES)) / 10 ** rows.norms()[c])
             before = c
         assert found[r.doc_id] == pytest.approx(value + rows.transitions[before, brown.CLASSES + 1], rel=1e-9)
+
+
+def test_rare_languages_are_learnt_from_large_tables(spark):
+    rows = [(i, "nation station notion", "en") for i in range(3000)] + [(5000 + i, "слово язык", "ru") for i in range(3)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), bound=50)
+    assert model.languages == ["en", "ru"]
+    names, score = langid._decide(model, model.tables(), pa.array(["язык слово", "station"]))
+    assert names == ["ru", "en"] and (score > 0.5).all()
