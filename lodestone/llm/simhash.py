@@ -199,7 +199,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("__kept_id"), F.col("fp").alias("__kept_fp"), F.col("label").alias("__kept_label")
     )
     chosen = docs["doc_id"].eqNullSafe(F.col("__kept_id"))
-    repeated = checkpoint(kept.groupBy("__kept_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    # rows of an id that repeats are told apart by their fingerprints, kept once or more
+    several_rows = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("__kept_id"))
+    repeated = checkpoint(several_rows)
     if repeated.isEmpty():
         return docs.join(kept, chosen, "left_semi")
     same = F.col("other").eqNullSafe(F.col("__kept_id"))

@@ -190,3 +190,12 @@ def test_near_classes_of_a_bucket_of_many_unlike_texts_and_of_chains(spark, monk
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for tile in (50, 1024):
         assert {r.doc_id: r.class_id for r in minhash.near_classes(docs, tile=tile).collect()} == want
+
+
+def test_keep_one_drops_a_near_copy_whose_id_is_kept_for_another_text(spark):
+    first = " ".join(f"a{i}" for i in range(300))
+    other = " ".join(f"b{i}" for i in range(300))
+    third = " ".join(f"c{i}" for i in range(300))
+    rows = [(3, first), (5, other), (5, first), (None, third), (None, first), (7, other)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text[0]) for r in kept) == [("3", "a"), ("5", "b"), ("None", "c")]
