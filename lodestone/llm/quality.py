@@ -27,7 +27,7 @@ from lodestone.llm.tables import known_labels, remainder, sample, spread
 POSITIVE_ROWS = 6_000
 UNLABELLED_ROWS = 12_000
 THRESHOLD = 0.7
-STEPS = 300
+STEPS = 500
 
 #: Characters with a class of their own, after upper, lower, digit and space.
 MARKS = ".,!?#$%&*|<>-_/@:;'\"()"

@@ -1,5 +1,6 @@
 """Learnt operators: held-out accuracy, contracts, odd rows."""
 
+import inspect
 import math
 import re
 import zlib
@@ -231,3 +232,7 @@ def test_rare_languages_are_learnt_from_large_tables(spark):
     assert model.languages == ["en", "ru"]
     names, score = langid._decide(model, model.tables(), pa.array(["язык слово", "station"]))
     assert names == ["ru", "en"] and (score > 0.5).all()
+
+
+def test_quality_trains_all_of_its_steps():
+    assert inspect.signature(quality.train).parameters["steps"].default == quality.STEPS >= 500
