@@ -6,7 +6,7 @@ seeded choices are not SQL. Their tests compare with brute force or held-out lab
 
 from __future__ import annotations
 
-from lodestone.llm import rules, urls
+from lodestone.llm import merkle, rules, urls
 
 _SPACE = "\\x20\\x09-\\x0D"
 
@@ -116,4 +116,62 @@ select page_id, host, path, {cases(lambda v, h, p: h + p)} as rule,
 from found left join sums using (rid)"""
 
 
-ORACLES: dict[str, str] = {"op2_quality_rules": _op2(), "op10_urls": _op10()}
+def _op12() -> str:
+    def field(name: str) -> str:
+        return f"coalesce(strlen(cast({name} as varchar)) || ':' || cast({name} as varchar), '-')"
+
+    whole = " || ".join(field(f) for f in merkle.FIELDS)
+    changed = whole.replace(field("text"), field("lowered"))
+    run = f"partition by forest, tree, level, pos // {merkle.FANOUT} order by pos rows between"
+    return f"""
+with recursive crc(t) as materialized (
+  select list(v order by i) from (
+    select i, list_reduce(list_prepend(i, range(8)), lambda c, b: xor(c >> 1, 3988292384 * (c & 1))) as v from range(256) r(i))
+), docs as materialized (
+  select row_number() over () as rid, *, translate(text, '{merkle.UPPER}', '{merkle.UPPER.lower()}') as lowered,
+    coalesce('=' || source, '-') as key,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ord(x) as bigint))),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as crc
+  from documents, crc
+), leaves as materialized (
+  select rid, doc_id, key, sha256({whole}) as leaf,
+    case when crc % {merkle.TAMPER_DIVISOR} = 0 then sha256({changed}) else sha256({whole}) end as claim
+  from docs
+), placed as materialized (
+  select *, row_number() over (partition by key order by doc_id nulls first, leaf, rid) - 1 as pos, count(*) over (partition by key) as n
+  from leaves
+), low(tree, level, pos, n, digest) as (
+  select key, 0, pos, n, leaf from placed
+  union all
+  select tree, level + 1, pos // {merkle.FANOUT}, max((n + {merkle.FANOUT - 1}) // {merkle.FANOUT}), sha256(string_agg(digest, '' order by pos))
+  from low where n > 1 group by tree, level, pos // {merkle.FANOUT}
+), subroots as materialized (
+  select tree as key, digest, row_number() over (order by tree) - 1 as pos, count(*) over () as n from low where n = 1
+), high(level, pos, n, digest) as (
+  select 0, pos, n, digest from subroots
+  union all
+  select level + 1, pos // {merkle.FANOUT}, max((n + {merkle.FANOUT - 1}) // {merkle.FANOUT}), sha256(string_agg(digest, '' order by pos))
+  from high where n > 1 group by level, pos // {merkle.FANOUT}
+), nodes as (
+  select 0 as forest, * from low union all select 1, '', * from high
+), kin as materialized (
+  select forest, tree, level, pos, n,
+    coalesce(string_agg(digest, '') over ({run} unbounded preceding and 1 preceding), '') as l,
+    coalesce(string_agg(digest, '') over ({run} 1 following and unbounded following), '') as r
+  from nodes
+), walk(rid, forest, tree, level, pos, proof, hash) as (
+  select rid, 0, key, 0, pos, '', claim from placed
+  union all
+  select rid, case when n > 1 then forest else forest + 1 end, case when n > 1 then tree else '' end,
+    case when n > 1 then level + 1 else 0 end, case when n > 1 then w.pos // {merkle.FANOUT} else spos end,
+    case when n > 1 then proof || l || r else proof end, case when n > 1 then sha256(l || hash || r) else hash end
+  from walk w join kin using (forest, tree, level, pos) left join (select key, pos as spos from subroots) s on w.tree = s.key
+  where forest < 1 or n > 1
+)
+select doc_id, leaf, s.digest as subroot, (select digest from high where n = 1) as root, sha256(proof) as proof_sha256,
+  hash as folded_root, hash = (select digest from high where n = 1) as verified
+from walk join kin using (forest, tree, level, pos) join placed p using (rid) join subroots s on p.key = s.key
+where forest = 1 and kin.n = 1"""
+
+
+ORACLES: dict[str, str] = {"op2_quality_rules": _op2(), "op10_urls": _op10(), "op12_merkle": _op12()}
