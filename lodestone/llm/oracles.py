@@ -6,7 +6,7 @@ seeded choices are not SQL. Their tests compare with brute force or held-out lab
 
 from __future__ import annotations
 
-from lodestone.llm import merkle, rules, urls
+from lodestone.llm import merkle, phrases, rules, urls
 
 _SPACE = "\\x20\\x09-\\x0D"
 
@@ -116,6 +116,45 @@ select page_id, host, path, {cases(lambda v, h, p: h + p)} as rule,
 from found left join sums using (rid)"""
 
 
+def _op11() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    sizes = range(1, phrases.MAX_WORDS + 1)
+    grams = "\n  union all ".join(
+        f"select lang, array_to_string(w[i:i + {n - 1}], ' ') as p, {n} as words from (select lang, w, unnest(range(1, len(w) - {n - 2})) as i from pieces)" for n in sizes
+    )
+    cut = f"cast(({phrases.SCALE}::hugeint * c.a * c.a) // (f.a::hugeint * g.a) as bigint)"
+    return f"""
+with pieces as materialized (
+  select coalesce(lang, '{phrases.NO_LANGUAGE}') as lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from (
+    select lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[.,;:!?\\x0A-\\x0D]')) as piece
+    from documents)
+), counted as materialized (
+  select lang, p, words, count(*) as a from (
+  {grams}
+  ) group by lang, p, words
+), totals as (
+  select lang, sum(a)::bigint as n from counted where words = 1 group by lang
+), candidates as materialized (
+  select *, string_split(p, ' ') as w from counted where words > 1 and a >= {phrases.MIN_COUNT}
+), cuts as materialized (
+  select lang, p, a, k, array_to_string(w[1:k], ' ') as head, array_to_string(w[k + 1:], ' ') as rest
+  from (select *, unnest(range(1, words)) as k from candidates)
+), weakest as (
+  select c.lang, c.p, c.a, k, f.a as l, g.a as r, {cut} as score
+  from cuts c join counted f on f.lang = c.lang and f.p = head join counted g on g.lang = c.lang and g.p = rest
+  qualify row_number() over (partition by c.lang, c.p order by score, k) = 1
+), inside as (
+  select lang, array_to_string(w[i:i + size - 1], ' ') as p, max(a) as longer from (
+    select *, unnest(range(1, words - size + 2)) as i from (select *, unnest(range(2, words)) as size from candidates))
+  group by lang, w[i:i + size - 1]
+), kept as (
+  select w.*, w.p as phrase from weakest w left join inside i on w.lang = i.lang and w.p = i.p
+  where longer is null or 100 * longer < {phrases.COVERED_PERCENT} * w.a
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from kept join totals using (lang) qualify rank <= {phrases.TOP}"""
+
+
 def _op12() -> str:
     def field(name: str) -> str:
         return f"coalesce(strlen(cast({name} as varchar)) || ':' || cast({name} as varchar), '-')"
@@ -174,4 +213,4 @@ from walk join kin using (forest, tree, level, pos) join placed p using (rid) jo
 where forest = 1 and kin.n = 1"""
 
 
-ORACLES: dict[str, str] = {"op2_quality_rules": _op2(), "op10_urls": _op10(), "op12_merkle": _op12()}
+ORACLES: dict[str, str] = {"op2_quality_rules": _op2(), "op10_urls": _op10(), "op11_phrases": _op11(), "op12_merkle": _op12()}
