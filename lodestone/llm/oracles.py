@@ -6,7 +6,7 @@ seeded choices are not SQL. Their tests compare with brute force or held-out lab
 
 from __future__ import annotations
 
-from lodestone.llm import merkle, phrases, rules, urls
+from lodestone.llm import merkle, minmax, phrases, rules, urls
 
 _SPACE = "\\x20\\x09-\\x0D"
 
@@ -213,4 +213,36 @@ from walk join kin using (forest, tree, level, pos) join placed p using (rid) jo
 where forest = 1 and kin.n = 1"""
 
 
-ORACLES: dict[str, str] = {"op2_quality_rules": _op2(), "op10_urls": _op10(), "op11_phrases": _op11(), "op12_merkle": _op12()}
+def _op13() -> str:
+    size = minmax.SHINGLE_WORDS
+    return f"""
+with recursive docs as materialized (
+  select row_number() over () as rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{merkle.UPPER}', '{merkle.UPPER.lower()}'), '[^{_SPACE}]+') as w from documents
+), shingles as materialized (
+  select distinct rid, hash(s) as h, s from (
+    select rid, array_to_string(w[i:i + {size - 1}], ' ') as s from (
+      select rid, w, unnest(range(1, greatest(len(w) - {size - 2}, 2))) as i from docs where len(w) > 0))
+), sizes as materialized (
+  select rid, count(*) as n from shingles group by rid
+), pairs as materialized (
+  select p.a, p.b from (
+    select a.rid as a, b.rid as b, count(*) as common from shingles a join shingles b on a.h = b.h and a.s = b.s and a.rid < b.rid
+    group by a.rid, b.rid) p(a, b, common)
+  join sizes x on x.rid = p.a join sizes y on y.rid = p.b
+  where 100 * common >= {minmax.PERCENT} * (x.n + y.n - common)
+), reach(rid, other) as (
+  select rid, rid from docs
+  union
+  select r.rid, l.b from reach r join (select a, b from pairs union all select b, a from pairs) l(a, b) on r.other = l.a
+), lowest as (
+  select r.rid, min(d.doc_id) as component_id from reach r join docs d on d.rid = r.other group by r.rid
+)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id is not distinct from component_id as kept
+from docs join lowest using (rid) left join sizes using (rid)"""
+
+
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": _op2(), "op10_urls": _op10(), "op11_phrases": _op11(), "op12_merkle": _op12(),
+    "op13_min_max_duplicates": _op13(),
+}

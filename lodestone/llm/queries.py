@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import brown, langid, merkle, minhash, mixing, packing, phrases, quality, rules, simhash, toxicity, urls
+from lodestone.llm import (
+    brown, langid, merkle, minhash, minmax, mixing, packing, phrases, quality, rules, simhash, toxicity, urls,
+)
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -63,10 +65,15 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(_read(spark, sf_dir, "documents"))
 
 
+def op13_min_max_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
     for fn in (
         op1_fingerprints, op2_quality_rules, op3_toxicity, op4_mixing, op5_class_model, op6_language, op7_quality,
         op8_packing, op9_near_duplicates, op10_urls, op11_phrases, op12_merkle,
+        op13_min_max_duplicates,
     )
 }
