@@ -1,8 +1,8 @@
 """Context for code chunks: imports and the enclosing class or function.
 
-Documents become line tables. Bracket depth, indentation and comment state are running
-windows over the lines of one document; a document is bounded by the file size cap. Every
-step is keyed by `doc_id`, and the text is placed by `doc_id` once.
+Documents become line tables whose strings, comments and bracket depth come from one pass in
+order. Scopes and imports are running windows over the lines of one document; a document is
+bounded by the file size cap. Every step is keyed by `doc_id`, and the text is placed by it once.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from lodestone.functions import text as tx
+from lodestone.operators import lexer
 
 # Repeated groups are possessive throughout: the matcher recurses into the others, and a long
 # line would overflow its stack.
@@ -61,19 +62,6 @@ LANG_RULES = {
     },
 }
 
-_DOUBLE = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-_SINGLE = r"'[^'\\]*+(?:\\.[^'\\]*+)*+'"
-# Unpaired triple quotes must survive the removal of plain strings.
-_PY_NOISE = (
-    r'(?<!")"(?!"")[^"\\]*+(?:\\.[^"\\]*+)*+"|' + r"(?<!')'(?!'')[^'\\]*+(?:\\.[^'\\]*+)*+'" + r"|#.*"
-)
-_C_NOISE = rf"{_DOUBLE}|{_SINGLE}|`[^`]*`|//.*|/\*.*?\*/"
-# A quote in Rust also starts a lifetime, so only one-character literals are removed.
-_RUST_NOISE = rf"{_DOUBLE}|'(?:\\.[^']*|[^'\\])'|//.*|/\*.*?\*/"
-_TRIPLE_PAIR = r'""".*?"""|' + r"'''.*?'''"
-_TRIPLE = r'"""|' + r"'''"
-
-
 def _by_line(*keys: str) -> WindowSpec:
     return Window.partitionBy("doc_id", *keys).orderBy("line_no")
 
@@ -101,47 +89,10 @@ def code_documents(docs: DataFrame) -> DataFrame:
 
 
 def code_lines(sources: DataFrame) -> DataFrame:
-    """One row per line: `line`, `code` (without strings and comments), `indent`, and the depth
-    of braces and of all brackets before the line. Lines are numbered from 0.
+    """One row per line: `line`, `code` (without strings and comments), whether the line starts
+    `inside` one, `indent`, and the depth of braces and of all brackets before the line.
     """
-    placed = sources.select("doc_id", "language", "text").repartition("doc_id")
-    lines = placed.select(
-        "doc_id", "language", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
-    )
-    is_python = F.col("language") == "python"
-    noise = (
-        F.when(is_python, F.regexp_replace(F.regexp_replace("line", _TRIPLE_PAIR, '""'), _PY_NOISE, ""))
-        .when(F.col("language") == "rust", F.regexp_replace("line", _RUST_NOISE, ""))
-        .otherwise(F.regexp_replace("line", _C_NOISE, ""))
-    )
-    stripped = lines.withColumn("code", noise)
-    code = F.col("code")
-    triples = F.size(F.split(code, _TRIPLE)) - 1
-    state = F.when(is_python, triples).otherwise(tx.count_of(code, "/*") - tx.count_of(code, "*/"))
-    before = F.coalesce(F.sum("state").over(_before()), F.lit(0))
-    inside = F.when(is_python, before % 2 == 1).otherwise(before > 0)
-    marked = stripped.withColumn("state", state).withColumn("inside", inside)
-    opener = F.when(is_python, F.lit(rf"(?:{_TRIPLE}).*")).otherwise(F.lit(r"/\*.*"))
-    after_close = F.when(is_python, F.lit("")).otherwise(
-        F.when(code.contains("*/"), F.substring_index(code, "*/", -1)).otherwise(F.lit(""))
-    )
-    clean = F.when(F.col("inside"), after_close).when(
-        F.col("state") != 0, F.regexp_replace(code, opener, F.lit(""))
-    ).otherwise(code)
-    balance = lambda opening, closing: sum(
-        (tx.count_of(code, o) - tx.count_of(code, c) for o, c in zip(opening, closing)), F.lit(0)
-    )
-    return (
-        marked.withColumn("code", clean)
-        .withColumn("_braces", balance("{", "}"))
-        .withColumn("_brackets", balance("([{", ")]}"))
-        .select(
-            "doc_id", "language", "line_no", "line", "code", "inside",
-            (F.length("line") - F.length(tx.lstrip(F.col("line")))).alias("indent"),
-            F.coalesce(F.sum("_braces").over(_before()), F.lit(0)).cast("int").alias("depth"),
-            F.coalesce(F.sum("_brackets").over(_before()), F.lit(0)).cast("int").alias("bracket_depth"),
-        )
-    )
+    return lexer.lexed_lines(sources)
 
 
 def scopes(lines: DataFrame) -> DataFrame:
@@ -286,7 +237,7 @@ def enclosing_scope(chunks: DataFrame, scopes: DataFrame) -> DataFrame:
     )
 
 
-def _decorators(lines: DataFrame) -> DataFrame:
+def decorators(lines: DataFrame) -> DataFrame:
     """(doc_id, decorators): per document a map from line to the run of decorators above it."""
     is_deco = (F.col("language") == "python") & tx.lstrip(F.col("line")).startswith("@")
     marked = lines.withColumn("_deco", is_deco).withColumn(
@@ -326,7 +277,7 @@ def signatures(scopes: DataFrame, lines: DataFrame) -> DataFrame:
         .when(language == "rust", first_with("fn ", "struct "))
         .otherwise(l0)
     )
-    joined = scopes.join(_decorators(lines), "doc_id", "left")
+    joined = scopes.join(decorators(lines), "doc_id", "left")
     above = F.col("_decorators")[F.col("start_line")]
     return joined.withColumn("signature", F.concat_ws("\n", above, header)).drop(
         "line", "line_1", "line_2", "_decorators"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestone import config
+from lodestone.operators import structure
 from suite import samples, views
 
 ORACLES: dict[str, str] = {}
@@ -458,3 +459,82 @@ _oracle("scopes_generated", ["""generated as (
   select sha256('generated/gen/m' || p_partkey || '.java') as doc_id, p_partkey % 31 as below from part)"""],
     """select doc_id, 'class' as kind, 0::bigint as start_line, (below + 6)::bigint as end_line from generated
   union all select doc_id, 'function', 1, below + 5 from generated""")
+
+# Generated strings and comments: what a lexer finds follows from the numbers
+
+
+def _lexeme_rows() -> str:
+    rows = []
+    for k, (extension, parts) in enumerate(samples.LEXEMES):
+        offset = []
+        for repeated, line, code, inside, depth in parts:
+            at = " + ".join(["0", *offset])
+            rows.append(
+                f"select sha256('generated/lex/m' || p_partkey || '{extension}') as doc_id, ({at} + i - 1)::bigint as line_no, "
+                f"replace({_text(code)}, '<K>', p_partkey::varchar) as code, {inside} as inside, ({depth})::bigint as depth "
+                f"from (select p_partkey, p_size as d, unnest(range(1, {'p_size + 1' if repeated else '2'})) as i "
+                f"from part where p_partkey % {len(samples.LEXEMES)} = {k})"
+            )
+            offset.append("d" if repeated else "1")
+    return "\n  union all ".join(rows)
+
+
+ORACLES["code_lines_stateful"] = _lexeme_rows()
+
+# Generated modules: lines and scopes follow from the numbers, the cheapest cuts from a recursion over lines
+
+_oracle("chunk_code_structured", ["""part_keys as (
+  select p_partkey as k from part)""", f"""parts as (
+  select p_partkey as k, p_partkey % 2 = 1 as java, unnest(range(0, p_size::bigint % 7 + 3)) as j from part),
+bodies as (
+  select *, unnest(range(1, k * (j + 3) % 47 + 2)) as i from parts),
+rows_of as (
+  select k, -1 as j, 0 as i, case when k % 2 = 1 then 'class C' || k || ' {{' else 'import os' end as line from part_keys
+  union all select k, 1000, 0, '}}' from part_keys where k % 2 = 1
+  union all select k, j, -1, '' from parts where (k + j) % 2 = 0
+  union all select k, j, 0, case when java then '  int f' || j || '() {{' else 'def f' || j || '():' end from parts
+  union all select k, j, i, case when i % 5 = 0 then '' else case when java then '  ' else '' end || '    x = '
+    || case when k % 11 = 3 and i = 3 then repeat('y + ', 400) else '' end || i || case when java then ';' else '' end end from bodies
+  union all select k, j, 1000, '  }}' from parts where java),
+lines as materialized (
+  select *, row_number() over (partition by k order by j, i) - 1 as line_no, length(line) as size from rows_of),
+spans as materialized (
+  select k, min(line_no) as s, max(line_no) as e, sum(size + 1) - 1 as chars from lines l
+  where line_no <= (select max(m.line_no) from lines m where m.k = l.k and m.j = l.j and m.line <> '') and i >= 0 and j between 0 and 999
+  group by k, j
+  union all select k, 0, max(line_no), sum(size + 1) - 1 from lines where k % 2 = 1 group by k),
+prices as materialized (
+  select l.k, l.line_no, any_value(l.line) as line, any_value(l.size) as size,
+    case when l.line_no = 0 then 0 else count(s.k) * {structure.PRICE_OF_DEPTH} + {structure.PRICE_OF_CUT}
+      + count(s.k) filter (s.e - s.s < {config.CODE_CHUNK_LINES} and s.chars <= {config.CODE_CHUNK_CHARS}) * {structure.PRICE_OF_FITTING_SCOPE}
+      + case when any_value(p.line) = '' then 0 else {structure.PRICE_OF_TEXT} end end as price
+  from lines l left join spans s on s.k = l.k and s.s < l.line_no and s.e >= l.line_no left join lines p on p.k = l.k and p.line_no = l.line_no - 1
+  group by l.k, l.line_no),
+files as materialized (
+  select k, count(*) as n, list(line order by line_no) as line, list(price order by line_no) as price,
+    list_prepend(0, list(upto order by line_no)) as upto
+  from (select *, sum(size + 1) over (partition by k order by line_no)::bigint as upto from prices) group by k),
+ways(k, n, best, origin) as (
+  select k, 0, [0::bigint], [0::bigint] from files
+  union all
+  select k, n + 1, list_append(best, pick.c), list_append(origin, pick.j) from (
+    select w.k, w.n, best, origin, list_min(list_transform(
+      list_filter(range(greatest(0, w.n + 1 - {config.CODE_CHUNK_LINES}), w.n + 1),
+        lambda j: j = w.n or upto[w.n + 2] - upto[j + 1] - 1 <= {config.CODE_CHUNK_CHARS}),
+      lambda j: {{'c': (best[j + 1] + price[j + 1])::bigint, 'j': j}})) as pick
+    from ways w join files f on f.k = w.k where w.n < f.n)),
+ended as materialized (select w.k, w.n, origin from ways w join files f on f.k = w.k and f.n = w.n),
+cuts(k, first, after) as (
+  select k, origin[n + 1], n from ended
+  union all select c.k, origin[c.first + 1], c.first from cuts c join ended e on e.k = c.k where c.first > 0),
+pieces as (
+  select k, first, after - 1 as last, unnest(case when after - first = 1 and length(line[after]) > {config.CODE_CHUNK_CHARS}
+    then list_transform(range(0, ceil(length(line[after]) / {config.CODE_CHUNK_CHARS})::bigint),
+      lambda x: {{'p': x, 'body': substr(line[after], x * {config.CODE_CHUNK_CHARS} + 1, {config.CODE_CHUNK_CHARS})}})
+    else [{{'p': 0::bigint, 'body': array_to_string(line[first + 1:after], {NL})}}] end) as piece
+  from cuts join files using (k)),
+numbered as (
+  select *, row_number() over (partition by k order by first, piece.p) - 1 as chunk_no,
+    'mod/m' || k || case when k % 2 = 1 then '.java' else '.py' end as rel_path from pieces)"""],
+    """select sha256('generated/' || rel_path || '#' || chunk_no) as chunk_id, sha256('generated/' || rel_path) as doc_id,
+  chunk_no::bigint as chunk_no, first::bigint as start_line, last::bigint as end_line, md5(piece.body) as digest from numbered""")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.functions import display, paths
-from lodestone.operators import chunking, embedding, enrich, filters, fusion, ignore, keyword, reports, vector
+from lodestone.operators import (
+    chunking, embedding, enrich, filters, fusion, ignore, keyword, reports, structure, vector,
+)
 from lodestone.plans import ingest, retrieve, scratch
 from lodestone.sources import index_store, texts, tree
 from lodestone.streaming import ingest_stream as streaming
@@ -440,6 +442,20 @@ def scopes_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bigints(found.select("doc_id", "kind", "start_line", "end_line"), "start_line", "end_line")
 
 
+@query
+def code_lines_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates, comments and strings over many lines, nested and with delimiters of other kinds inside."""
+    lines = enrich.code_lines(enrich.code_documents(views.lexemes(spark, sf_dir)))
+    return _bigints(lines.select("doc_id", "line_no", "code", "inside", "depth"), "line_no", "depth")
+
+
+@query
+def chunk_code_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = structure.chunk_code_structured(views.modules(spark, sf_dir))
+    rows = found.select("chunk_id", "doc_id", "chunk_no", "start_line", "end_line", F.md5("content").alias("digest"))
+    return _bigints(rows, "chunk_no", "start_line", "end_line")
+
+
 @query
 def enrich_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of every third file have lost their document and pass unchanged."""

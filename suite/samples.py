@@ -201,3 +201,43 @@ PATTERNS = [
     ("glob", "f1*", "f1*", r"f1.*", 0),
     ("glob", "*f7?", "*f7?", r".*f7.", 1),
 ]
+
+
+# Lines with strings, comments and templates over several lines, and what a lexer finds in them:
+# (extension, [(repeated, line, code, starts inside, depth before the i-th of them)]). A repeated
+# line stands d times, d nested levels. <K> comes from `part`.
+LEXEMES = [
+    (".ts", [
+        (False, "function f<K>() {", "function f<K>() {", False, "0"),
+        (False, "  const a = `open { \" '", "  const a = ", False, "1"),
+        (True, "} ${ h({ `{", " h({ ", True, "i"),
+        (True, "' /* ` }) } \"", " }) ", True, "d + 2 - i"),
+        (False, "`; // end `{", "; ", True, "1"),
+        (False, "  /* ' ` { */ return /[`{'/]/.test(a) ? 1 : 2;", "   return .test(a) ? 1 : 2;", False, "1"),
+        (False, "}", "}", False, "1"),
+    ]),
+    (".rs", [
+        (False, "fn f<K><'a>(x: &'a str) {", "fn f<K><'a>(x: &'a str) {", False, "0"),
+        (True, "/* { \" ' ", "", "i > 1", "1"),
+        (True, "} */", "", True, "1"),
+        (False, "  let c = '{'; let s = r#\"{ \" }", "  let c = ; let s = ", False, "1"),
+        (False, "} /* \"# ; }", " ; }", True, "1"),
+    ]),
+    (".py", [
+        (False, "class P<K>:", "class P<K>:", False, "0"),
+        (False, "    '''doc \"\"\" {", "    ", False, "0"),
+        (True, "  def hidden(): {", "", True, "0"),
+        (False, "    ''' # ''' {", " ", True, "0"),
+        (False, "    x = \"# {\" + '\\'' # {", "    x =  +  ", False, "0"),
+        (False, "    y = 'a \\", "    y = ", False, "0"),
+        (False, "  { b' + z", " + z", True, "0"),
+    ]),
+    (".java", [
+        (False, "class C<K> {", "class C<K> {", False, "0"),
+        (False, "  String s = \"\"\"", "  String s = ", False, "1"),
+        (True, "  { \\\"\"\" \" /* ", "", True, "1"),
+        (False, "  \"\"\" + '\"' + \"// {\"; /* {", " +  + ; ", True, "1"),
+        (False, "  } */ int x;", " int x;", True, "1"),
+        (False, "}", "}", False, "1"),
+    ]),
+]

@@ -139,6 +139,57 @@ def nested_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.with_document(rows)
 
 
+def lexemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One generated file per part as `docs`, with strings, comments and templates nested `p_size` deep."""
+    key, depth = F.col("p_partkey"), F.col("p_size").cast("int")
+
+    def lines(parts: list[tuple]) -> Column:
+        each = [F.array_repeat(F.lit(line), depth if repeated else 1) for repeated, line, *_ in parts]
+        return F.array_join(F.concat(*each), "\n")
+
+    kind = key % len(samples.LEXEMES)
+    text = F.lit(None).cast("string")
+    for i, (_, parts) in enumerate(samples.LEXEMES):
+        text = F.when(kind == i, lines(parts)).otherwise(text)
+    path = F.concat(F.lit("lex/m"), key.cast("string"), _pick(kind, [e for e, _ in samples.LEXEMES]))
+    rows = table(spark, sf_dir, "part").select(
+        F.lit("generated").alias("repo_name"), path.alias("rel_path"),
+        F.replace(text, F.lit("<K>"), key.cast("string")).alias("text"),
+    )
+    return paths.with_document(rows)
+
+
+def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One generated module per part as `docs`: `p_size` % 7 + 3 functions of 1 to 47 lines, in Java
+    inside a class, some after a blank line, every fifth line of a body blank, some lines very long."""
+    key = F.col("p_partkey")
+    java = key % 2 == 1
+    pad = F.when(java, F.lit("  ")).otherwise(F.lit(""))
+
+    def function(j: Column) -> Column:
+        def line(i: Column) -> Column:
+            long = F.when((key % 11 == 3) & (i == 3), F.repeat(F.lit("y + "), 400)).otherwise(F.lit(""))
+            body = F.concat(pad, F.lit("    x = "), long, i.cast("string"), F.when(java, F.lit(";")).otherwise(F.lit("")))
+            return F.when(i % 5 == 0, F.lit("")).otherwise(body)
+
+        blank = F.when((key + j) % 2 == 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        name = F.concat(F.lit("f"), j.cast("string"))
+        header = F.when(java, F.concat(F.lit("  int "), name, F.lit("() {"))).otherwise(F.concat(F.lit("def "), name, F.lit("():")))
+        closer = F.when(java, F.array(F.lit("  }"))).otherwise(F.array().cast("array<string>"))
+        body = F.transform(F.sequence(F.lit(1), (key * (j + 3) % 47 + 1).cast("int")), line)
+        return F.concat(blank, F.array(header), body, closer)
+
+    functions = F.flatten(F.transform(F.sequence(F.lit(0), (F.col("p_size") % 7 + 2).cast("int")), function))
+    first = F.when(java, F.concat(F.lit("class C"), key.cast("string"), F.lit(" {"))).otherwise(F.lit("import os"))
+    last = F.when(java, F.array(F.lit("}"))).otherwise(F.array().cast("array<string>"))
+    path = F.concat(F.lit("mod/m"), key.cast("string"), F.when(java, F.lit(".java")).otherwise(F.lit(".py")))
+    rows = table(spark, sf_dir, "part").select(
+        F.lit("generated").alias("repo_name"), path.alias("rel_path"),
+        F.array_join(F.concat(F.array(first), functions, last), "\n").alias("text"),
+    )
+    return paths.with_document(rows)
+
+
 def _write_step(root: str):
     root = re.sub(r"\Afile:/+", "/", root)
 
