@@ -133,8 +133,9 @@ _oracle("skip_stats", CLASSIFIED, """select repo_name, skip_reason, count(*) as
 _oracle("ingest_status", CLASSIFIED + [STATUS], "select * from statuses")
 _oracle("ingest_summary", CLASSIFIED + [STATUS], """select repo_name, coalesce(a, 0) as attempted, coalesce(g, 0) as successful,
   coalesce(a - g, 0) as failed, round(100.0 * g / a, 1)::double as success_rate, pattern_count
-  from (select repo_name, count(*) as pattern_count from rules group by all) left join (
-    select repo_name, count(*) as a, count(*) filter (status <> 'failed') as g from statuses where repo_name <> 'src7' group by all)
+  from (select repo_name, count(*) as pattern_count from rules group by all
+    union all select max(repo_name) || '-empty', 0 from rules) left join (
+    select repo_name, count(*) as a, count(*) filter (status <> 'failed') as g from statuses group by all)
   using (repo_name)""")
 
 # Blank texts
@@ -400,6 +401,8 @@ ORACLES["dense_topk"] = """select query_id, vec_id, score, rank from (
     select q.vec_id as query_id, c.vec_id, round(list_cosine_similarity(q.embedding::double[], c.embedding::double[]), 6) as score
     from embeddings q, embeddings c)) where rank <= 3"""
 ORACLES["dense_topk_blocks"] = ORACLES["dense_topk"]
+ORACLES["dense_topk_ivf"] = ORACLES["dense_topk"]
+ORACLES["ivf_recall"] = """select 3 * count(*) as n, true as enough, count(*) as indexed from embeddings"""
 SEARCH = POSTINGS + [ALL_ASKED, QTERMS, QCOUNTS, BM25, _cells(config.EMBEDDING_DIM), DENSE, FUSED]
 _oracle("rrf", SEARCH, "select query_id, chunk_id, score from fused")
 _oracle("hybrid_search", SEARCH, """select query_id, rank, chunk_id, rel_path as file_path, list_last(string_split(rel_path, '/')) as file_name,

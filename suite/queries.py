@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.functions import display, paths
 from lodestone.operators import (
-    chunking, embedding, enrich, filters, fusion, ignore, keyword, reports, structure, vector,
+    chunking, embedding, enrich, filters, fusion, ignore, ivf, keyword, reports, structure, vector,
 )
 from lodestone.plans import ingest, retrieve, scratch
 from lodestone.sources import index_store, texts, tree
@@ -545,6 +545,33 @@ def dense_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bigints(vector.dense_topk(asked, rows, id_col="vec_id", max_queries=0), "rank")
 
 
+def _vector_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ivf.VectorIndex]:
+    asked, rows = _vectors(spark, sf_dir)
+    path = _path(spark, "vectors")
+    ivf.build_index(rows, path, id_col="vec_id")
+    return asked, ivf.open_index(spark, path)
+
+
+@query
+def dense_topk_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector asks a stored index, which goes on until no other cell can hold a better hit."""
+    asked, index = _vector_index(spark, sf_dir)
+    return _bigints(ivf.search(index, asked, exact=True), "rank")
+
+
+@query
+def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probing alone against the exact search, for every vector of the table.
+
+    The number of probes is fixed by every twentieth vector.
+    """
+    asked, index = _vector_index(spark, sf_dir)
+    probes = ivf.probes_for(index, asked.where("query_id % 20 = 0"), target=0.95)
+    share = ivf.recall(ivf.search(index, asked, probes=probes), vector.dense_topk(*_vectors(spark, sf_dir), id_col="vec_id"), "vec_id")
+    stored = index.vectors().agg(F.count(F.lit(1)).alias("indexed"))
+    return share.select("n", (F.col("recall") >= 0.9).alias("enough")).join(stored)
+
+
 _embedded = views.embedded
 
 
@@ -612,10 +639,11 @@ def ingest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One repository has nothing to process."""
+    """One more repository has neither files nor patterns."""
     status, patterns = _status(spark, sf_dir)
     repos = views.files(spark, sf_dir).select("repo_name").distinct()
-    return reports.ingest_summary(status.where("repo_name <> 'src7'"), patterns, repos)
+    more = repos.agg(F.concat(F.max("repo_name"), F.lit("-empty")).alias("repo_name"))
+    return reports.ingest_summary(status, patterns, repos.unionByName(more))
 
 
 @query
