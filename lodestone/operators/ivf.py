@@ -221,9 +221,9 @@ def _score(index: VectorIndex, wanted: DataFrame, k: int, max_queries: int) -> D
         F.col("cell").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("cb"), F.lit(0).alias("side"),
         "query_id", F.lit(None).cast(kind).alias("id"), F.col("embedding").cast("array<double>").alias("embedding"),
     )
-    # at most MAX_CELLS numbers: Spark prunes the partitions of the other cells before it reads
-    probed = F.broadcast(wanted.select("cell").distinct())
-    stored = vectors.join(probed, "cell", "left_semi").select(
+    # one number per cell of the index at most; Spark does not read the partitions of other cells
+    probed = [r["cell"] for r in wanted.select("cell").distinct().collect()]
+    stored = vectors.where(F.col("cell").isin(probed) if probed else F.lit(False)).select(
         F.col("cell").alias("qb"), split.alias("cb"), F.lit(1).alias("side"), F.lit(None).cast("bigint").alias("query_id"), "id",
         F.col("embedding").cast("array<double>").alias("embedding"),
     )
@@ -240,6 +240,8 @@ def search(
     `exact` goes on with every cell whose bound reaches the worst of k hits, and gives what a
     search of all vectors gives. Queries without a vector have no hits.
     """
+    if not len(index.cells):
+        return index.spark.createDataFrame([], f"query_id bigint, {index.id_col} string, score double, rank int")
     asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "embedding").where(F.size("embedding") > 0)
     ranked = scratch.materialize(_probes(index, asked, probes), "probes")
     near = ranked.select("query_id", F.explode("near").alias("cell"), "embedding")
