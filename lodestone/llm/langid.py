@@ -4,6 +4,11 @@ A known word scores its log frequency in each language. A word no language has s
 off to its longest character n-grams that any language knows, from five characters down to
 one. The sums over a text give the language and its posterior probability.
 
+A frequency is the count over the occurrences and kinds of its language (Witten and Bell), so
+one sighting in a small language weighs more than one in a large one. What a language has not
+seen gets one floor, the same for all languages and below every frequency, so that a language
+gains nothing by having seen little.
+
 Null texts and texts without a letter are `und` with score 0. Rows whose language is null
 teach nothing. Without any training row every text is `und`.
 """
@@ -15,18 +20,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lodestone.llm import words as W
-from lodestone.llm.tables import checkpoint, frequent, remainder, spread
+from lodestone.llm.tables import checkpoint, remainder, spread
 
 #: Rows to learn from, about, over all languages, and of each language at least (all, if it has fewer).
 TRAINING_ROWS = 10_000
 LANGUAGE_ROWS = 1_000
+#: Words and n-grams of a length that are kept, shared by the languages in equal parts, and the
+#: least part of a language.
 MAX_WORDS = 200_000
 MAX_GRAMS = 100_000
+LEAST_PART = 2_000
 LONGEST_GRAM = 5
-_SMOOTHING = 0.5
+#: The floor, as a share of the smallest frequency there is.
+_FLOOR = 0.5
 UNDETERMINED = "und"
 
 
@@ -131,8 +141,9 @@ def fit(docs: DataFrame, bound: int = TRAINING_ROWS) -> Model:
 
     A language with less than LANGUAGE_ROWS of them gets about as many, or all it has, so
     every labelled language is learnt.
-    Tasks count, Spark adds up; MAX_WORDS words and MAX_GRAMS n-grams of each length at most
-    come to the driver, the most frequent ones that occur twice or more.
+    Tasks count, Spark adds up. The most frequent words and n-grams of each language come to the
+    driver: MAX_WORDS and MAX_GRAMS over the number of languages, or LEAST_PART, at most. Of those
+    that occur equally often in a language all are kept or none.
     """
     known = docs.filter("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string"))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -155,31 +166,37 @@ def fit(docs: DataFrame, bound: int = TRAINING_ROWS) -> Model:
 
     each = chosen.select("text", "lang").mapInArrow(count, "size int, key long, lang int, n long")
     each = checkpoint(each.groupBy("size", "key", "lang").agg(F.sum("n").alias("n")))
-    sums = np.zeros((LONGEST_GRAM + 1, len(languages)))
-    for row in each.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect():
-        sums[row["size"], row["lang"]] = row["n"]
-    whole = each.groupBy("size", "key").agg(
-        F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("total")
-    ).filter("total > 1")
-    tables = {}
-    for size in range(LONGEST_GRAM + 1):
-        rows = frequent(whole.filter(F.col("size") == size), "total", MAX_GRAMS if size else MAX_WORDS)
-        tables[size] = _logs(rows.select("key", F.col("by.lang").alias("lang"), F.col("by.n").alias("n")).toArrow(), sums[size])
+    # counts in steps of a sixteenth of a power of two: at most 1,024 rows per language and length
+    step = F.floor(F.log2("n") * 16).cast("int").alias("step")
+    histogram = each.groupBy("size", "lang", step).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n")).collect()
+    mass = np.zeros((LONGEST_GRAM + 1, len(languages)))
+    lowest: dict[tuple[int, int], int] = {}
+    kept: dict[tuple[int, int], int] = {}
+    for row in sorted(histogram, key=lambda r: -r["step"]):
+        of = row["size"], row["lang"]
+        mass[of] += row["n"] + row["kinds"]
+        kept[of] = kept.get(of, 0) + row["kinds"]
+        if kept[of] <= max(LEAST_PART, (MAX_GRAMS if row["size"] else MAX_WORDS) // len(languages)):
+            lowest[of] = row["step"]
+    limits = docs.sparkSession.createDataFrame([(*of, least) for of, least in lowest.items()], "size int, lang int, least int")
+    wanted = each.join(F.broadcast(limits), ["size", "lang"]).filter(step >= F.col("least")).select("size", "key").distinct()
+    rows = each.join(wanted, ["size", "key"]).groupBy("size", "key").agg(
+        F.collect_list("lang").alias("lang"), F.collect_list("n").alias("n")
+    ).toArrow().combine_chunks()
+    tables = {size: _logs(rows.filter(pc.equal(rows.column("size"), size)), mass[size]) for size in range(LONGEST_GRAM + 1)}
     return Model(languages, tables.pop(0), tables)
 
 
-def _logs(rows: pa.Table, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in ascending order and their smoothed log frequency in each language."""
-    rows = rows.combine_chunks()
+def _logs(rows: pa.Table, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in ascending order and their log frequency in each language."""
     keys = W.unsigned(rows.column("key").to_numpy())
-    counts = np.zeros((len(keys), len(sums)))
-    owner = np.repeat(np.arange(len(keys)), [len(x) for x in rows.column("lang").to_pylist()])
+    logs = np.full((len(keys), len(mass)), np.log(_FLOOR / max(mass.max(initial=0.0), 1.0)))
     if len(keys):
-        flat = [np.array(rows.column(c).chunk(0).flatten()) for c in ("lang", "n")]
-        counts[owner, flat[0]] = flat[1]
+        owner = np.repeat(np.arange(len(keys)), pc.list_value_length(rows.column("lang")).to_numpy())
+        lang, n = (pc.list_flatten(rows.column(c)).to_numpy() for c in ("lang", "n"))
+        logs[owner, lang] = np.log(n / mass[lang])
     order = np.argsort(keys)
-    smoothed = (counts[order] + _SMOOTHING) / (sums + _SMOOTHING * (len(keys) + 1))
-    return keys[order], np.log(smoothed).astype(np.float32)
+    return keys[order], logs[order].astype(np.float32)
 
 
 def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -236,3 +236,53 @@ def test_rare_languages_are_learnt_from_large_tables(spark):
 
 def test_quality_trains_all_of_its_steps():
     assert inspect.signature(quality.train).parameters["steps"].default == quality.STEPS >= 500
+
+
+def test_a_rare_language_does_not_win_by_having_seen_little(spark):
+    draw = np.random.default_rng(8)
+    vocabulary = np.array([f"{a}{b}{c}ing" for a in "bcdfghjklmnpqrstvw" for b in ("a", "ee", "io", "u") for c in map("".join, zip("bcdfgklmnprstvxz" * 18, "aeiou" * 60, strict=False))])
+    rows = [(4 * i, " ".join(draw.choice(vocabulary, 5)), "en") for i in range(4000)]
+    rows += [(4 * (5000 + i), t, "ru") for i, t in enumerate(("слово язык ting", "мир дом", "слово дом big"))]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    trained = [w for r in rows[:4000] for w in r[1].split()]
+    texts = [" ".join(draw.choice(trained, 20)) for _ in range(300)] + ["слово язык мир"]
+    names, score = langid._decide(model, model.tables(), pa.array(texts))
+    assert names == ["en"] * 300 + ["ru"] and (score > 0.99).all()
+
+
+def test_op6_scores_against_plain_counts(documents):
+    """All rows, words and n-grams are kept on this table, so every score can be counted by hand."""
+    learnt = documents.filter("doc_id % 3 > 0")
+    model = langid.fit(learnt)
+
+    def runs(text):
+        upper = {chr(c): chr(c + 32) for c in [*range(65, 91), *range(0xC0, 0xDF)] if c != 0xD7}
+        kept = "".join(upper.get(c, c) if ord(c) >= 128 or c.isalpha() else " " for c in text)
+        return kept.split(" ")
+
+    counts = {n: {} for n in range(6)}
+    for r in learnt.collect():
+        for w in filter(None, runs(r.text)):
+            for n in range(6):
+                for g in ([w[i:i + n] for i in range(len(w) - n + 1)] if n else [w]):
+                    counts[n].setdefault(r.lang, Counter())[g] += 1
+    langs = sorted(counts[0])
+    mass = {n: {k: c.total() + len(c) for k, c in counts[n].items()} for n in counts}
+    known = {n: set().union(*counts[n].values()) for n in counts}
+    assert len(model.words[0]) == len(known[0]) and len(model.grams[5][0]) == len(known[5])
+
+    def log(n, g, lang):
+        c = counts[n][lang][g]
+        return math.log(c / mass[n][lang] if c else 0.5 / max(mass[n].values()))
+
+    texts = [r.text for r in documents.filter("doc_id % 3 = 0 and n_chars < 3000").limit(30).collect()]
+    found, _ = langid.scores(model, model.tables(), pa.array(texts))
+    for row, text in zip(found, texts, strict=True):
+        want = np.zeros(len(langs))
+        for w in filter(None, runs(text)):
+            for n in (0, 5, 4, 3, 2, 1):
+                grams = [g for g in ([w[i:i + n] for i in range(len(w) - n + 1)] if n else [w]) if g in known[n]]
+                if grams:
+                    want += [sum(log(n, g, k) for g in grams) / len(grams) for k in langs]
+                    break
+        assert row == pytest.approx(want, rel=1e-5)
