@@ -70,3 +70,7 @@ INDEX_PATH_BUCKETS = 8
 
 # Buckets of a stored postings table: the unit a keyword search reads.
 POSTINGS_BUCKETS = 64
+
+# Chunks of a posting block, about, and places a block search scores before it has a threshold.
+BLOCK_CHUNKS = 256
+BLOCK_FIRST_PLACES = 4

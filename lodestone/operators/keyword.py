@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lodestone import config
 from lodestone.functions import text as tx
 from lodestone.operators.filters import guard_query
+from lodestone.plans import scratch
 from lodestone.plans.sizing import fits_broadcast, lookup_join
 
 
@@ -71,6 +72,30 @@ def corpus_stats(postings: DataFrame) -> DataFrame:
     )
 
 
+def posting_blocks(postings: DataFrame, *place: str, chunks: int = config.BLOCK_CHUNKS) -> DataFrame:
+    """Postings gathered by term and slot: (term, slot, n, max_tf, min_dl, entries, *place).
+
+    A place has as many slots as it takes for about `chunks` chunks in each, so the list of a hot
+    term never grows with the place. The largest `tf` and the least `dl` of a block bound what it
+    can add to a score, whatever the statistics of the corpus become. A row without a term per
+    place holds its number of chunks in `n` and of their terms in `max_tf`.
+    """
+    counts = postings.where("leads").groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / F.lit(chunks)).alias("slots"))
+    slot = F.pmod(F.xxhash64("chunk_id"), F.col("slots")).cast("int")
+    blocks = postings.join(counts, list(place)).groupBy(*place, "term", slot.alias("slot")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"),
+        F.collect_list(F.struct("chunk_id", "tf", "dl")).alias("entries"),
+    )
+    none = F.lit(None)
+    sizes = postings.groupBy(*place).agg(
+        F.count_if("leads").alias("n"), F.sum("tf").alias("max_tf")
+    ).select(
+        *place, none.cast("string").alias("term"), F.lit(-1).alias("slot"), "n", "max_tf", none.cast("bigint").alias("min_dl"),
+        none.cast("array<struct<chunk_id:string,tf:bigint,dl:bigint>>").alias("entries"),
+    )
+    return blocks.unionByName(sizes)
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term), each term once per query; blank queries have none."""
     asked = guard_query(queries).where(F.col("status") == "ok")
@@ -116,3 +141,56 @@ def bm25_topk(
     weight = bm25_weight(F.col("tf"), F.col("dl"), F.col("df"), whole["n"], whole["avgdl"])
     scored = hits.groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("score"))
     return top_k(scored, k)
+
+
+def _block_bounds(queries: DataFrame, blocks: DataFrame, place: list[str]) -> tuple[DataFrame, DataFrame, Column]:
+    """(query_id, *place, ub): the most a chunk of each place can score for a query; (query_id, term, df); the
+    corpus size. Entries are not read."""
+    heads = blocks.select("term", *place, "n", "max_tf", "min_dl")
+    size = heads.where(F.col("term").isNull()).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum("max_tf") / F.sum("n")).alias("avgdl")
+    )
+    whole = _scalar(size)
+    asked = query_terms(queries)
+    small = fits_broadcast(asked)
+    wanted = asked.select("term").distinct()
+    own = heads.join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
+    terms = asked.join(own.groupBy("term").agg(F.sum("n").alias("df")), "term").select("query_id", "term", "df")
+    hits = lookup_join(own, terms, "term", spread="slot", broadcast=small)
+    bound = bm25_weight(F.col("max_tf"), F.col("min_dl"), F.col("df"), whole["n"], whole["avgdl"])
+    return hits.groupBy("query_id", *place).agg(F.sum(bound).alias("ub"), F.count(F.lit(1)).alias("blocks")), terms, whole
+
+
+def _score_places(places: DataFrame, terms: DataFrame, blocks: DataFrame, whole: Column, place: list[str]) -> DataFrame:
+    """Scores of all chunks of the (query_id, *place). Spark skips the partitions of other places."""
+    # Terms are never empty; Spark prunes partitions only by a side that has such a filter.
+    pairs = places.join(terms, "query_id").where(F.col("term") != "").select("query_id", "term", "df", *place)
+    found = blocks.where(F.col("term").isNotNull()).join(F.broadcast(pairs) if fits_broadcast(pairs) else pairs, ["term", *place])
+    entries = found.select("query_id", "df", F.explode("entries").alias("e")).select("query_id", "df", "e.*")
+    weight = bm25_weight(F.col("tf"), F.col("dl"), F.col("df"), whole["n"], whole["avgdl"])
+    return entries.groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("score"))
+
+
+def bm25_topk_blocks(
+    queries: DataFrame, blocks: DataFrame, k: int = config.TOP_K_BM25, first: int = config.BLOCK_FIRST_PLACES
+) -> tuple[DataFrame, DataFrame]:
+    """(query_id, chunk_id, score, rank) as `bm25_topk` gives it, and (query_id, blocks, read) of the blocks.
+
+    Only the heads of the blocks are read to bound each place. The `first` places with the highest
+    bounds of a query are scored; the worst of its k hits there is a threshold, and of the other
+    places only those whose bound reaches it are read.
+    """
+    place = [c for c in blocks.columns if c not in ("term", "n", "max_tf", "min_dl", "entries")]
+    bounds, terms, whole = _block_bounds(queries, blocks, place)
+    bounds, terms = scratch.materialize(bounds, "bounds"), scratch.materialize(terms, "terms")
+    order = Window.partitionBy("query_id").orderBy(F.desc("ub"), *place)
+    best = bounds.withColumn("at", F.row_number().over(order)).where(F.col("at") <= first).select("query_id", *place)
+    begun = top_k(_score_places(best, terms, blocks, whole, place), k)
+    worst = begun.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("worst"))
+    reach = F.col("worst").isNull() | (F.col("ub") >= F.col("worst") - 2 * 10.0**-config.SCORE_DECIMALS)
+    judged = scratch.materialize(bounds.join(worst, "query_id", "left").withColumn("reach", reach), "places")
+    open_places = judged.where("reach").select("query_id", *place)
+    report = judged.groupBy("query_id").agg(
+        F.sum("blocks").alias("blocks"), F.sum(F.when(F.col("reach"), F.col("blocks")).otherwise(0)).alias("read")
+    )
+    return top_k(_score_places(open_places, terms, blocks, whole, place), k), report

@@ -401,6 +401,7 @@ ORACLES["dense_topk"] = """select query_id, vec_id, score, rank from (
     select q.vec_id as query_id, c.vec_id, round(list_cosine_similarity(q.embedding::double[], c.embedding::double[]), 6) as score
     from embeddings q, embeddings c)) where rank <= 3"""
 ORACLES["dense_topk_blocks"] = ORACLES["dense_topk"]
+ORACLES["bm25_topk_blocks"] = ORACLES["bm25_topk"]
 ORACLES["dense_topk_ivf"] = ORACLES["dense_topk"]
 ORACLES["ivf_recall"] = """select 3 * count(*) as n, true as enough, count(*) as indexed from embeddings"""
 SEARCH = POSTINGS + [ALL_ASKED, QTERMS, QCOUNTS, BM25, _cells(config.EMBEDDING_DIM), DENSE, FUSED]

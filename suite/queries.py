@@ -526,6 +526,15 @@ def bm25_topk_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bigints(found, "rank")
 
 
+@query
+def bm25_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search on posting blocks kept with an index, after an update of a third of the files."""
+    path = _path(spark, "index")
+    _upserted(spark, path, sf_dir, lambda chunks: index_store.write_index(chunks, path, blocks=True))
+    found, _ = keyword.bm25_topk_blocks(views.asked(spark, sf_dir), index_store.read_index_blocks(spark, path))
+    return _bigints(found, "rank")
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = views.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return rows.withColumnRenamed("vec_id", "query_id"), rows
