@@ -3,14 +3,15 @@
 Texts are lower-cased in A-Z and split at `.,;:!?` and line breaks into pieces, pieces into
 words. One window per word holds it and the words that lead after it in the piece, padded
 with empty words. Only these longest windows are counted; Spark's ROLLUP over the word columns
-adds up the prefixes, so it gives the counts of all shorter phrases and of all words of a
-language, and no other n-gram is ever made into a row.
+of the distinct ones adds up the prefixes, so it gives the counts of all shorter phrases and of
+all words of a language, and no other n-gram is ever made into a row.
 
-A window is padded early where it cannot matter: a phrase as frequent as `min_count` has only
-neighbouring words that are as frequent. A first pass adds up hashes of neighbours and keeps
-one bit for each frequent hash, in a map of fixed size. Two hashes in one bit let more through
-and change nothing: counts come from the windows, and a window that was padded early still
-counts for each of its prefixes that can reach `min_count`.
+A window is padded early where it cannot matter: from the word on with which it is too rare to
+reach `min_count`. To know that beforehand, short hashes of the runs of two words are added up,
+then of those runs of three whose halves are frequent, and so on; one bit is kept for each
+frequent hash, in a map of fixed size. Two runs with one hash or bit let more through and change
+nothing: all counts come from the windows, and a window that was padded early still counts for
+each of its prefixes that can reach `min_count`.
 
 Everything is counted per `lang`, null as `und`. Null texts count as empty. Repeated rows
 count as often as they occur. Other columns are ignored. Counts below 10^13 are exact in the score.
@@ -35,10 +36,15 @@ COVERED_PERCENT = 50
 TOP = 2000
 SCALE = 1_000_000
 NO_LANGUAGE = "und"
-#: Places in the map of frequent neighbours, as a power of two. It takes an eighth as many bytes.
+#: Bits of the hash of a run of words that are added up, in chunks of the last 16 of them, and of its
+#: place in the map of frequent ones. A map takes 8 MB.
+HASH_BITS = 32
+CHUNK_BITS = 16
 MAP_BITS = 26
+#: Hashes a task adds up before it sends them on.
+HELD_HASHES = 1 << 21
 #: Bytes of text whose windows are added up at once, and rows sent to Spark at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 BATCH_ROWS = 1 << 17
 #: Parts of a language that are ranked apart, round by round.
 RANK_PARTS = (1024, 32, 1)
@@ -58,14 +64,22 @@ class _Part:
         breaks = np.concatenate(([0], np.cumsum(BREAK_BYTES[words.data])))[words.starts]
         self.joined = (words.doc[:-1] == words.doc[1:]) & (breaks[:-1] == breaks[1:])
 
-    def pairs(self) -> np.ndarray:
-        """Hashes of each word with the next one and the language."""
+    def runs(self, maps: list[np.ndarray], bits: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Which words start a frequent run of 2, 3, ... words, by one map each, then which start
+        a run one word longer whose halves are frequent, and the hashes of those runs."""
         names = W.cut(self.langs, np.ones(256, bool))
         codes = np.zeros(len(self.langs), np.uint64)
         codes[names.doc] = names.hashes()
         hashes = self.words.hashes()
-        own = W.mix(hashes[:-1] + codes[self.lang[:-1]])
-        return W.mix(own * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])
+        run, open_, frequent = W.mix(hashes + codes[self.lang]), self.joined, []
+        for order in range(1, len(maps) + 2):
+            run = W.mix(run[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[order:])
+            if order <= len(maps):
+                place = run >> np.uint64(64 - bits)
+                cell = maps[order - 1][(place >> np.uint64(3)).astype(np.int64)]
+                frequent.append(open_ & ((cell >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1))
+                open_ = frequent[-1][:-1] & frequent[-1][1:]
+        return frequent, open_, run[open_] >> np.uint64(64 - HASH_BITS)
 
     def codes(self) -> tuple[np.ndarray, pa.Array]:
         """Numbers of the words, equal for equal words, and the words by number; 0 is the empty word."""
@@ -86,59 +100,111 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[_Part]:
                 yield part
 
 
-def frequent_pairs(docs: DataFrame, min_count: int = MIN_COUNT, bits: int = MAP_BITS) -> np.ndarray:
-    """A map with a bit for every pair of neighbours of a language that occurs `min_count` times or more.
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(place, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
-    What comes to the driver is at most 2^bits / 64 numbers.
-    """
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches):
-            keys, n = np.unique(part.pairs()[part.joined], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(W.signed(keys)), pa.array(n)], names=["key", "n"])
+def _chunks(keys: np.ndarray, n: np.ndarray, cap: int) -> pa.RecordBatch:
+    """Rows (chunk, low, n): the last bits of the ascending keys of a chunk, and their counts up to `cap`."""
+    chunk = keys >> np.uint32(CHUNK_BITS)
+    first = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1])))
+    ends = np.append(first, len(keys))
+
+    def packed(values: np.ndarray) -> pa.Array:
+        offsets = (ends * values.itemsize).astype(np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())])
 
-    counts = docs.select("lang", "text").mapInArrow(scan, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    place = F.shiftrightunsigned("key", 64 - bits)
-    cells = counts.filter(F.col("n") >= min_count).select(place.alias("place")).groupBy(
-        F.shiftright("place", 6).alias("cell")
-    ).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits")).toArrow()
-    found = np.zeros(max(1, (1 << bits) >> 6), np.int64)
-    found[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy()
-    return found.view(np.uint8)
+    counts = np.minimum(n, cap).astype("<u1" if cap < 256 else "<u4")
+    return pa.RecordBatch.from_arrays(
+        [pa.array(chunk[first].astype(np.int32)), packed((keys & np.uint32(0xFFFF)).astype("<u2")), packed(counts)],
+        names=["chunk", "low", "n"],
+    )
 
 
-def windows(docs: DataFrame, size: int, pairs: np.ndarray, bits: int = MAP_BITS) -> DataFrame:
-    """(lang, w0, w1, ..., n): the padded windows of `size` words and how often they occur, added up in part."""
-    names = [f"w{k}" for k in range(size)]
-    sent = docs.sparkSession.sparkContext.broadcast(pairs)
+def frequent_runs(docs: DataFrame, size: int, min_count: int = MIN_COUNT, bits: int = MAP_BITS) -> list[np.ndarray]:
+    """Maps with a bit for every run of 2 to `size` words of a language that occurs `min_count` times or more.
+
+    Tasks add up hashes, Spark brings the counts of a chunk of hashes together, and one row of
+    bits per chunk comes to the driver. `bits` lie between CHUNK_BITS + 3 and HASH_BITS.
+    """
+    cap = 255 if min_count < 256 else (1 << 32) - 1
+    maps: list[np.ndarray] = []
+    while len(maps) < size - 1:
+        sent = docs.sparkSession.sparkContext.broadcast(maps)
+
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            for part in _parts(batches):
+                held.append(np.unique(part.runs(sent.value, bits)[2].astype(np.uint32), return_counts=True))
+                if sum(len(k) for k, _ in held) > 2 * HELD_HASHES:
+                    held = [_added(held)]
+                    if len(held[0][0]) > HELD_HASHES:
+                        yield _chunks(*held.pop(), cap)
+            keys, n = _added(held) if held else (np.empty(0, np.uint32), np.empty(0, np.int64))
+            if len(keys):
+                yield _chunks(keys, n, cap)
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            chunk, lows, counts = -1, [], []
+
+            def whole() -> pa.RecordBatch:
+                low, n = _added([(np.frombuffer(b"".join(lows), "<u2"), np.frombuffer(b"".join(counts), "<u1" if cap < 256 else "<u4"))])
+                flags = np.zeros(1 << (bits - HASH_BITS + CHUNK_BITS), bool)
+                flags[low[n >= min_count] >> (HASH_BITS - bits)] = True
+                cells = np.packbits(flags, bitorder="little").tobytes()
+                return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([cells])], names=["chunk", "bits"])
+
+            for batch in batches:
+                for now, low, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    if now != chunk and lows:
+                        yield whole()
+                        lows, counts = [], []
+                    chunk = now
+                    lows.append(low)
+                    counts.append(n)
+            if lows:
+                yield whole()
+
+        rows = docs.select("lang", "text").mapInArrow(scan, "chunk int, low binary, n binary")
+        rows = rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(merge, "chunk int, bits binary").toArrow()
+        found = np.zeros((1 << CHUNK_BITS, (1 << (bits - HASH_BITS + CHUNK_BITS)) >> 3), np.uint8)
+        for chunk, cells in zip(rows.column("chunk").to_pylist(), rows.column("bits").to_pylist(), strict=True):
+            found[chunk] = np.frombuffer(cells, np.uint8)
+        maps.append(found.ravel())
+    return maps
+
+
+def windows(docs: DataFrame, size: int, maps: list[np.ndarray], bits: int = MAP_BITS) -> DataFrame:
+    """(lang, w0, w1, ..., n): the distinct padded windows of `size` words and how often they occur."""
+    sent = docs.sparkSession.sparkContext.broadcast(maps)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
-            place = part.pairs() >> np.uint64(64 - bits)
-            set_ = (sent.value[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
-            follows = part.joined & (set_ == 1)
             codes, texts = part.codes()
-            columns = _lead(codes, follows, size)
+            columns = _lead(codes, part.runs(sent.value, bits)[0])
             first, n = _distinct([part.lang, *columns], [len(part.langs), *[len(texts)] * size])
             for at in range(0, len(first), BATCH_ROWS):
                 rows = first[at:at + BATCH_ROWS]
-                taken = [texts.take(pa.array(c[rows])).cast(pa.string()) for c in columns]
+                taken = [texts.take(pa.array(c[rows])) for c in columns]
+                # a word holds no blank, so the words of a window can travel as one text
+                joined = pc.binary_join_element_wise(*taken, pa.scalar(" ", pa.large_string())).cast(pa.string())
                 langs = part.langs.take(pa.array(part.lang[rows]))
-                yield pa.RecordBatch.from_arrays([langs, *taken, pa.array(n[at:at + BATCH_ROWS])], names=["lang", *names, "n"])
+                yield pa.RecordBatch.from_arrays([langs, joined, pa.array(n[at:at + BATCH_ROWS])], names=["lang", "window", "n"])
 
-    schema = ", ".join(["lang string", *[f"{w} string" for w in names], "n long"])
-    return docs.select("lang", "text").mapInArrow(scan, schema)
+    counted = docs.select("lang", "text").mapInArrow(scan, "lang string, window string, n long")
+    counted = counted.groupBy("lang", "window").agg(F.sum("n").alias("n"))
+    words = F.split("window", " ")
+    return counted.select("lang", *[words[k].alias(f"w{k}") for k in range(size)], "n")
 
 
-def _lead(codes: np.ndarray, follows: np.ndarray, size: int) -> list[np.ndarray]:
-    """The word and the next ones as columns; 0 from the first that does not follow on."""
-    columns, open_ = [codes], np.ones(len(codes), bool)
-    for k in range(1, size):
-        open_[len(codes) - k:] = False
-        open_[:len(codes) - k] &= follows[k - 1:]
+def _lead(codes: np.ndarray, frequent: list[np.ndarray]) -> list[np.ndarray]:
+    """The word and the next ones as columns; 0 from the first that makes the run too rare."""
+    columns = [codes]
+    for k, kept in enumerate(frequent, 1):
         ahead = np.zeros(len(codes), np.int64)
-        ahead[:len(codes) - k] = codes[k:]
-        columns.append(np.where(open_, ahead, 0))
+        ahead[:len(kept)] = np.where(kept, codes[k:], 0)
+        columns.append(ahead)
     return columns
 
 
@@ -163,7 +229,7 @@ def phrase_counts(docs: DataFrame, size: int = MAX_WORDS, min_count: int = MIN_C
     rolled = docs.sparkSession.sql(
         f"select {', '.join(names)}, lang, grouping_id() as level, sum(n) as a from {{rows}} "
         f"group by lang, rollup({', '.join(names)})",
-        rows=windows(docs, size, frequent_pairs(docs, min_count)),
+        rows=windows(docs, size, frequent_runs(docs, size, min_count)),
     )
     words = F.lit(size) - F.bit_count("level")
     last = F.coalesce(*[F.col(w) for w in reversed(names)])

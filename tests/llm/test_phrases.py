@@ -77,16 +77,28 @@ def test_empty(spark, empty):
     assert rows.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"] and rows.collect() == []
 
 
-def test_full_and_small_maps_of_neighbours_change_nothing(spark, documents):
+def test_full_and_small_maps_of_frequent_runs_change_nothing(spark, documents):
     docs = documents.limit(60)
-    small = phrases.frequent_pairs(docs, 10, 6)
-    every = np.full((1 << phrases.MAP_BITS) >> 3, 255, np.uint8)
+    every = [np.full((1 << phrases.MAP_BITS) >> 3, 255, np.uint8)] * 2
+
     def rolled(rows):
         counts = rows.groupBy("lang", "w0", "w1", "w2").agg(F.sum("n").alias("n"))
         return {tuple(r) for r in counts.filter("w2 <> '' and n >= 10").collect()}
+
     whole = rolled(phrases.windows(docs, 3, every))
-    assert whole and rolled(phrases.windows(docs, 3, small, 6)) == whole
-    assert rolled(phrases.windows(docs, 3, phrases.frequent_pairs(docs))) == whole
+    assert whole and rolled(phrases.windows(docs, 3, phrases.frequent_runs(docs, 3, 10, 19), 19)) == whole
+    assert rolled(phrases.windows(docs, 3, phrases.frequent_runs(docs, 3))) == whole
+
+
+def test_counts_are_added_up_over_slices_and_tasks(spark, documents, monkeypatch):
+    docs = documents.limit(40)
+    whole = phrases.frequent_runs(docs, 3, 5)
+    monkeypatch.setattr(phrases, "SLICE_BYTES", 3000)
+    monkeypatch.setattr(phrases, "HELD_HASHES", 500)
+    for some, every in zip(phrases.frequent_runs(docs.repartition(3), 3, 5), whole, strict=True):
+        assert np.unpackbits(every).sum() > 10 and (some == every).all()
+    large = spark.createDataFrame([("en", "x y " * 300)] * 2, "lang string, text string")
+    assert np.unpackbits(phrases.frequent_runs(large, 2, 600)[0]).sum() == 1
 
 
 def test_score_is_exact_beyond_64_bits(spark):
