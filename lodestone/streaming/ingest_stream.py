@@ -39,10 +39,11 @@ def apply_batch(
 ) -> None:
     """Replace the chunks of all files in the batch. Running a batch twice changes nothing.
 
-    A row older than what is stored of its file is left out. The rows to apply are written once
+    A row older than what is stored of its file is left out; of the index, only the buckets of the
+    batch are read for that. The rows to apply are written once
     to the shared folder and read from there.
     """
-    stored = index_store.stored_versions(spark, index_path)
+    stored = index_store.stored_versions(spark, index_path, batch.select("repo_name", "rel_path"))
     newest = latest_versions(batch).join(stored, ["repo_name", "rel_path"], "left")
     newest = newest.where(F.col("stored").isNull() | F.col("mtime").isNull() | (F.col("mtime") >= F.col("stored")))
     with scratch.run_folder(spark, "batch") as aside:

@@ -457,6 +457,31 @@ _oracle("index_replace", [VDOCS, META.replace("from vdocs", "from vdocs where do
 ORACLES["index_upsert"] = ORACLES["index_roundtrip"]
 _oracle("list_indices", WINDOWS, "select unnest(['lodestone_first', 'lodestone_second']) as name, (select count(*) from chunks) as n")
 
+# Two runs over a tree that changes
+
+_oracle("snapshot_diff", FACTS + ["""numbered as (
+  select repo_name, rel_path, regexp_extract(rel_path, 'f(\\d+)[^/]*$', 1)::bigint as k, content from facts where rel_path <> '.gitignore'),
+old as (
+  select repo_name, rel_path, sha256(content) as digest, octet_length(content) as size from numbered where k % 13 <> 0),
+new as (
+  select repo_name, case when k % 7 = 0 then 'moved/' || rel_path else rel_path end as rel_path,
+    sha256(content || case when k % 3 = 0 then '\\x0Amore'::blob else ''::blob end) as digest,
+    octet_length(content) + case when k % 3 = 0 then 5 else 0 end as size
+  from numbered where k % 11 <> 0),
+both_runs as (
+  select coalesce(n.repo_name, o.repo_name) as repo_name, coalesce(n.rel_path, o.rel_path) as rel_path,
+    coalesce(n.digest, o.digest) as digest, coalesce(n.size, o.size) as size,
+    case when o.rel_path is null then 'added' when n.rel_path is null then 'deleted' when n.digest = o.digest then 'unchanged' else 'changed' end as change
+  from new n full join old o on n.repo_name = o.repo_name and n.rel_path = o.rel_path),
+ranked as (
+  select *, row_number() over (partition by repo_name, digest, change order by rel_path) as place from both_runs where size > 0),
+moves as (
+  select a.repo_name, a.rel_path, d.rel_path as old_path from ranked a join ranked d on a.repo_name = d.repo_name and a.digest = d.digest
+    and a.place = d.place and a.change = 'added' and d.change = 'deleted')"""],
+    """select b.repo_name, b.rel_path, case when m.old_path is not null then 'renamed' else b.change end as change, m.old_path, b.digest
+  from both_runs b left join moves m using (repo_name, rel_path)
+  where not (b.change = 'deleted' and (b.repo_name, b.rel_path) in (select (repo_name, old_path) from moves))""")
+
 # Generated code: the spans follow from the numbers of the part
 
 _oracle("scopes_generated", ["""generated as (

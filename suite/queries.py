@@ -8,7 +8,7 @@ from lodestone.functions import display, paths
 from lodestone.operators import (
     chunking, embedding, enrich, filters, fusion, ignore, ivf, keyword, reports, structure, vector,
 )
-from lodestone.plans import ingest, retrieve, scratch
+from lodestone.plans import ingest, rescan, retrieve, scratch
 from lodestone.sources import index_store, texts, tree
 from lodestone.streaming import ingest_stream as streaming
 from suite import views
@@ -682,6 +682,29 @@ def result_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.result_count(asked, retrieve.hybrid_search(_embedded(spark, sf_dir), asked))
 
 
+def _rescanned(spark: SparkSession, sf_dir: str, folder: str) -> rescan.Difference:
+    """The files of all documents, then the same tree with some added, changed, moved and taken out."""
+    files = views.files(spark, sf_dir).where("rel_path <> '.gitignore'")
+    number = F.regexp_extract("rel_path", r"f(\d+)[^/]*$", 1).try_cast("bigint")
+    old = files.where(number % 13 != 0)
+    content = F.when(number % 3 == 0, F.concat("content", F.lit("\nmore").cast("binary"))).otherwise(F.col("content"))
+    path = F.when(number % 7 == 0, F.concat(F.lit("moved/"), "rel_path")).otherwise(F.col("rel_path"))
+    new = files.where(number % 11 != 0).select("repo_name", path.alias("rel_path"), content.alias("content"))
+    found = None
+    for rows in (old, new):
+        root = _path(spark, "tree")
+        views.write_tree(rows, root)
+        listing = tree.list_files(rows.select(F.concat(F.lit(f"{root}/"), "repo_name").alias("root")).distinct())
+        before = spark.createDataFrame([], rescan.SNAPSHOT_SCHEMA) if found is None else found.snapshot
+        found = rescan.difference(before, listing, folder, max_mb=None)
+    return found
+
+
+@query
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rescanned(spark, sf_dir, _path(spark, "rescan")).changes
+
+
 # Streaming
 
 
