@@ -4,8 +4,9 @@ The most frequent words are put into classes by exchange: each word in turn move
 class that raises the likelihood of the class bigrams most (Brown et al. 1992, Martin et al.
 1998). From there all words that occur MIN_COUNT times or more in training are put into
 classes by the same measure, in Spark rounds: each word's counts before and after each class
-are gathered, and all words move at once. Those outside the head are placed in the last
-round, by their neighbours from the head. Rarer words, unknown ones among them, share one
+are gathered, and all words move at once. A round that does not raise the likelihood is taken
+back, and fewer words move. Words outside the head are placed in the last round, by their
+neighbours from the head. Rarer words, unknown ones among them, share one
 class, and the end of a text has its own. A text's probability is the product of class transitions and word emissions, from
 end to end. Both are smoothed, so the symbols known in training and one for all others sum
 to one.
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.llm import words as W
 from lodestone.llm.tables import checkpoint, frequent, remainder
+from lodestone.plans.scratch import materialize, run_folder
 
 #: Words whose counts are sent to every task, 16 bytes each.
 HEAD_WORDS = 500_000
@@ -36,10 +38,14 @@ HEAD_WORDS = 500_000
 CLASS_WORDS = 1_500
 #: Words that occur as often in training are put into classes, however many they are.
 MIN_COUNT = 5
-#: Rounds in which all of these words move at once.
+#: Rounds in which all of these words may move at once.
 ROUNDS = 2
 CLASSES = 48
 SWEEPS = 6
+#: Entries (word, neighbouring class) that a task adds up before it sends them on.
+HELD_CONTEXTS = 1 << 20
+_CODE_SPACE = 1 << 16
+_CONTEXT = "kind int, word long, codes binary, counts binary"
 #: Weight of the class frequencies in the smoothed transitions.
 BACKOFF = 20.0
 
@@ -88,6 +94,7 @@ class Classes:
     ends: int
     rest_tokens: int
     rest_types: int
+    likelihood: float  # of the classes of the head words, see `likelihood`
 
     def base(self, n: np.ndarray) -> np.ndarray:
         return np.log10((n + 1.0) / (self.tokens + self.types + 1.0))
@@ -137,7 +144,8 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int, movable: int) -> np
             pairs[own, :] -= r
             pairs[:, own] -= l
             pairs[own, own] -= same
-            rows, columns = pairs.sum(axis=1), pairs.sum(axis=0)
+            # wherever the word goes, it follows and precedes the same classes
+            rows, columns = pairs.sum(axis=1) + l, pairs.sum(axis=0) + r
             gain = (f(pairs[:classes] + r) - f(pairs[:classes])).sum(axis=1)
             gain += (f(pairs[:, :classes] + l[:, None]) - f(pairs[:, :classes])).sum(axis=0)
             d = np.diagonal(pairs)[:classes]
@@ -198,28 +206,64 @@ def _seed(docs: DataFrame, words: np.ndarray, n: np.ndarray) -> np.ndarray:
     return of[symbol]
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(place, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+
+def _packed(kind: np.ndarray | int, word: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """One row (kind, word, codes, counts) per run of equal words; counts of 2^32 and more take several entries."""
+    if len(n) and n.max() >= 1 << 32:
+        times = 1 + n // ((1 << 32) - 1)
+        word, code = np.repeat(word, times), np.repeat(code, times)
+        kind = np.repeat(kind, times) if isinstance(kind, np.ndarray) else kind
+        last = np.cumsum(times) - 1
+        n, rest = np.full(len(word), (1 << 32) - 1, np.int64), n % ((1 << 32) - 1)
+        n[last] = rest
+    kinds = kind if isinstance(kind, np.ndarray) else np.full(len(word), kind, np.int32)
+    first = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (kinds[1:] != kinds[:-1])))) if len(word) else np.empty(0, np.int64)
+    ends = np.append(first, len(word))
+
+    def binary(values: np.ndarray) -> pa.Array:
+        offsets = pa.py_buffer((ends * values.itemsize).astype(np.int32))
+        return pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(values.tobytes())])
+
+    return pa.RecordBatch.from_arrays(
+        [pa.array(kinds[first]), pa.array(W.signed(word[first])), binary(code.astype("<u2")), binary(n.astype("<u4"))],
+        names=["kind", "word", "codes", "counts"],
+    )
+
+
+def _unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, code and count of every entry."""
+    rows = rows.combine_chunks()
+
+    def flat(name: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
+        column = rows.column(name).chunk(0).cast(pa.binary()) if rows.num_rows else pa.array([], pa.binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+        data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]] if len(column) else np.empty(0, np.uint8)
+        return np.frombuffer(data.tobytes(), kind), np.diff(offsets)
+
+    code, sizes = flat("codes", "<u2")
+    n, _ = flat("counts", "<u4")
+    return np.repeat(np.arange(rows.num_rows), sizes // 2), code.astype(np.int64), n.astype(np.int64)
+
+
 def _contexts(docs: DataFrame, words: np.ndarray, classes: np.ndarray, movable: np.ndarray, tail: bool) -> DataFrame:
-    """(kind, word, code, n): how often a word is followed (code: class) or preceded (code: classes + class) by a class.
+    """(kind, word, codes, counts): how often a word is followed (code: class) or preceded (code: classes + class) by a class.
 
     Twice the number of classes is the code of a word that follows itself. Kind 0 are the
     movable head words, kind 1 (if `tail`) the words outside the head, kind 2 the class
-    bigrams, with the pair as their code.
+    bigrams, with the pair as their code. Entries of a word travel together, and move once.
     """
     width, end = CLASSES + 2, CLASSES + 1
     codes = 2 * width + 1
     shared = docs.sparkSession.sparkContext.broadcast((words, classes, movable))
 
-    def out(kind: int, word: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        kinds = np.full(len(word), kind, np.int32)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(kinds), pa.array(W.signed(word)), pa.array(code.astype(np.int32)), pa.array(n)],
-            names=["kind", "word", "code", "n"],
-        )
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, of_known, moves = shared.value
         table, total = W.Table(known), np.zeros(width * width, np.int64)
-        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for part in W.slices(batch, "text"):
                 found = W.cut(part.column("text"), lower=True)
@@ -240,22 +284,71 @@ def _contexts(docs: DataFrame, words: np.ndarray, classes: np.ndarray, movable:
                 if len(known):
                     heads &= moves[at]
                 new = np.concatenate([at[heads] * codes + right[heads], at[heads & first] * codes + left[heads & first]])
-                new, n = np.unique(new, return_counts=True)
-                keys, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
-                counts = np.bincount(place, np.concatenate([counts, n]), len(keys)).astype(np.int64)
-                if len(keys) > 1_000_000:
-                    yield out(0, known[keys // codes], keys % codes, counts)
-                    keys, counts = keys[:0], counts[:0]
+                held.append(np.unique(new, return_counts=True))
+                if sum(len(k) for k, _ in held) > 2 * HELD_CONTEXTS:
+                    held = [_merged(held)]
+                    if len(held[0][0]) > HELD_CONTEXTS:
+                        keys, n = held.pop()
+                        yield _packed(0, known[keys // codes], keys % codes, n)
                 if tail:
                     rare = at < 0
-                    word = np.concatenate([hashes[rare], hashes[rare & first]])
-                    yield out(1, word, np.concatenate([right[rare], left[rare & first]]), np.ones(len(word), np.int64))
-        if len(keys):
-            yield out(0, known[keys // codes], keys % codes, counts)
+                    own, place = np.unique(hashes[rare], return_inverse=True)
+                    place_of = np.zeros(len(hashes), np.int64)
+                    place_of[rare] = place
+                    new = np.concatenate([place * codes + right[rare], place_of[rare & first] * codes + left[rare & first]])
+                    keys, n = np.unique(new, return_counts=True)
+                    yield _packed(1, own[keys // codes], keys % codes, n)
+        if held:
+            keys, n = _merged(held)
+            yield _packed(0, known[keys // codes], keys % codes, n)
         some = np.flatnonzero(total)
-        yield out(2, np.zeros(len(some), np.uint64), some, total[some])
+        yield _packed(2, np.zeros(len(some), np.uint64), some, total[some])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole(rows: pa.Table) -> pa.RecordBatch:
+            kind, word = rows.column("kind").to_numpy(), rows.column("word").to_numpy()
+            group = np.cumsum(np.concatenate(([False], (kind[1:] != kind[:-1]) | (word[1:] != word[:-1]))))
+            row, code, n = _unpacked(rows)
+            keys, n = _merged([(group[row] * _CODE_SPACE + code, n)])
+            of = np.searchsorted(group, keys // _CODE_SPACE)
+            return _packed(kind[of], W.unsigned(word[of]), keys % _CODE_SPACE, n)
 
-    return checkpoint(docs.select("text").mapInArrow(count, "kind int, word long, code int, n long"))
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if held is not None:
+                rows = pa.concat_tables([held, rows])
+            if not rows.num_rows:
+                continue
+            kind, word = rows.column("kind").to_numpy(), rows.column("word").to_numpy()
+            # the last word may go on
+            stop = int(np.flatnonzero((kind != kind[-1]) | (word != word[-1]))[-1]) + 1 if (kind[0], word[0]) != (kind[-1], word[-1]) else 0
+            if stop:
+                yield whole(rows.slice(0, stop))
+            held = rows.slice(stop)
+        if held is not None and held.num_rows:
+            yield whole(held)
+
+    each = docs.select("text").mapInArrow(count, _CONTEXT)
+    return each.repartition("kind", "word").sortWithinPartitions("kind", "word").mapInArrow(add_up, _CONTEXT)
+
+
+def likelihood(pairs: np.ndarray) -> float:
+    """The part of the log likelihood of the class bigrams that depends on the classes."""
+    f = lambda x: x * np.log(np.maximum(x, 1.0))
+    return float(f(pairs).sum() - f(pairs.sum(axis=0)).sum() - f(pairs.sum(axis=1)).sum())
+
+
+def _class_pairs(docs: DataFrame, words: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The class bigrams under given classes: (CLASSES + 2) squared numbers."""
+    nothing = np.zeros(len(words), bool)
+    return _pairs_of(_contexts(docs, words, classes, nothing, False).filter("kind = 2"))
+
+
+def _pairs_of(rows: DataFrame) -> np.ndarray:
+    width = CLASSES + 2
+    _, code, n = _unpacked(rows.select("codes", "counts").toArrow())
+    return np.bincount(code, n, width * width).reshape(width, width)
 
 
 def best_classes(pairs: np.ndarray, own: np.ndarray, right: np.ndarray, left: np.ndarray, same: np.ndarray) -> np.ndarray:
@@ -273,7 +366,7 @@ def best_classes(pairs: np.ndarray, own: np.ndarray, right: np.ndarray, left: np
         p[each, o, :] -= r
         p[each, :, o] -= l
         p[each, o, o] -= s
-        rows, columns = p.sum(axis=2)[:, :size], p.sum(axis=1)[:, :size]
+        rows, columns = p.sum(axis=2)[:, :size] + l[:, :size], p.sum(axis=1)[:, :size] + r[:, :size]
         gain = (f(p[:, :size] + r[:, None, :]) - f(p[:, :size])).sum(axis=2)
         gain += (f(p[:, :, :size] + l[:, :, None]) - f(p[:, :, :size])).sum(axis=1)
         d = np.diagonal(p, axis1=1, axis2=2)[:, :size]
@@ -287,59 +380,40 @@ def best_classes(pairs: np.ndarray, own: np.ndarray, right: np.ndarray, left: np
     return out
 
 
-def _round(contexts: DataFrame, words: np.ndarray, classes: np.ndarray) -> DataFrame:
-    """(kind, word, n, class): every counted word against the class bigrams, which are all that is sent."""
+def _round(contexts: DataFrame, words: np.ndarray, classes: np.ndarray, pairs: np.ndarray) -> DataFrame:
+    """(kind, word, class): every counted word against the class bigrams, which are all that is sent."""
     width = CLASSES + 2
-    table = contexts.filter("kind = 2").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    pairs = np.zeros(width * width)
-    pairs[table.column("code").to_numpy()] = table.column("n").to_numpy()
-    shared = contexts.sparkSession.sparkContext.broadcast((words, classes, pairs.reshape(width, width)))
+    codes = 2 * width + 1
+    shared = contexts.sparkSession.sparkContext.broadcast((words, classes, pairs))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, of_known, moves = shared.value
         find = W.Table(known)
-
-        def of_words(rows: pa.Table) -> pa.RecordBatch:
-            word, n = rows.column("word").to_numpy(), rows.column("n").to_numpy()
-            distinct, first, place = np.unique(word, return_index=True, return_inverse=True)
-            codes = 2 * width + 1
-            sums = np.bincount(place * codes + rows.column("code").to_numpy(), n, len(distinct) * codes).reshape(-1, codes)
-            at = find.find(W.unsigned(distinct))
+        for batch in batches:
+            row, code, n = _unpacked(pa.Table.from_batches([batch]))
+            sums = np.bincount(row * codes + code, n, batch.num_rows * codes).reshape(-1, codes)
+            at = find.find(W.unsigned(batch.column("word").to_numpy()))
             own = np.where(at >= 0, of_known[at], CLASSES) if len(known) else np.full(len(at), CLASSES)
             right, left, same = sums[:, :width], sums[:, width:2 * width], sums[:, -1]
-            total = right.sum(axis=1) + same
-            often = (total >= MIN_COUNT) | (at >= 0)
+            often = (right.sum(axis=1) + same >= MIN_COUNT) | (at >= 0)
             best = own.copy()
             best[often] = best_classes(moves, own[often], right[often], left[often], same[often])
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rows.column("kind").to_numpy()[first]), pa.array(distinct),
-                    pa.array(total.astype(np.int64)), pa.array(best.astype(np.int32)),
-                ],
-                names=["kind", "word", "n", "class"],
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("kind"), batch.column("word"), pa.array(best.astype(np.int32))], names=["kind", "word", "class"]
             ).filter(pa.array(often))
 
-        held: pa.Table | None = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            if held is not None:
-                rows = pa.concat_tables([held, rows])
-            if not rows.num_rows:
-                continue
-            word = rows.column("word").to_numpy()
-            whole = int(np.searchsorted(word, word[-1]))  # the last word may go on
-            if whole:
-                yield of_words(rows.slice(0, whole))
-            held = rows.slice(whole)
-        if held is not None and held.num_rows:
-            yield of_words(held)
+    return contexts.filter("kind < 2").mapInArrow(decide, "kind int, word long, class int")
 
-    rows = contexts.filter("kind < 2").repartition("word").sortWithinPartitions("word")
-    return checkpoint(rows.mapInArrow(decide, "kind int, word long, n long, class int"))
 
+def cluster(docs: DataFrame, counts: DataFrame, rounds: int | None = None) -> Classes:
+    """Classes of all words that occur MIN_COUNT times or more in `docs`, whose word counts are given.
 
-def cluster(docs: DataFrame, counts: DataFrame) -> Classes:
-    """Classes of all words that occur MIN_COUNT times or more in `docs`, whose word counts are given."""
+    The likelihood of the classes never falls from round to round: what a round reaches is
+    measured, and if it is less, its moves are taken back and the words of a seeded half move
+    instead, then of a quarter, and so on.
+    """
+    rounds = ROUNDS if rounds is None else rounds
+    spark = docs.sparkSession
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     often = F.col("n") >= MIN_COUNT
     many, inside = counts.filter(often).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -353,17 +427,31 @@ def cluster(docs: DataFrame, counts: DataFrame) -> Classes:
     rare_seeds = (n < MIN_COUNT) & (classes < CLASSES)
     tail = None
     with_tail = many > int((n >= MIN_COUNT).sum())
-    for k in range(ROUNDS if movable.any() or with_tail else 0):
-        last = k == ROUNDS - 1
-        moved = _round(_contexts(docs, words, classes, movable, with_tail and last), words, classes)
-        found = moved.filter("kind = 0").select("word", "class").toArrow()  # head words: HEAD_WORDS at most
-        classes = classes.copy()
-        classes[np.searchsorted(words, W.unsigned(found.column("word").to_numpy()))] = found.column("class").to_numpy()
-        if with_tail and last:
-            tail = moved.filter("kind = 1").select("word", "class")
+    best, reached, share = classes, -np.inf, 1.0
+    with run_folder(spark, "contexts") as folder:
+        kept: tuple[DataFrame, np.ndarray] | None = None
+        for k in range(rounds if movable.any() or with_tail else 0):
+            last = with_tail and k == rounds - 1
+            contexts = materialize(_contexts(docs, words, classes, movable, last), "round", folder)
+            pairs = _pairs_of(contexts.filter("kind = 2"))
+            if likelihood(pairs) > reached or kept is None:
+                best, reached, kept = classes, likelihood(pairs), (contexts, pairs)
+            else:
+                share /= 2
+            if last:
+                # placed by their neighbours' classes as this round found them
+                tail = checkpoint(_round(contexts.filter("kind = 1"), words, classes, pairs).select("word", "class"))
+            moved = _round(kept[0].filter("kind = 0"), words, best, kept[1]).select("word", "class").toArrow()  # HEAD_WORDS at most
+            word = W.unsigned(moved.column("word").to_numpy())
+            chosen = W.mix(word + np.uint64(k)) * 2.0**-64 <= share
+            classes = best.copy()
+            classes[np.searchsorted(words, word[chosen])] = moved.column("class").to_numpy()[chosen]
+    pairs = _class_pairs(docs, words, classes)
+    if likelihood(pairs) > reached:
+        best, reached = classes, likelihood(pairs)
     return Classes(
-        words, n, classes, tail, int(tokens) + ends, int(types) + (1 if ends else 0), ends,
-        int(tokens) - int(inside) - int(n[rare_seeds].sum()), int(types) - int(many) - int(rare_seeds.sum()),
+        words, n, best, tail, int(tokens) + ends, int(types) + (1 if ends else 0), ends,
+        int(tokens) - int(inside) - int(n[rare_seeds].sum()), int(types) - int(many) - int(rare_seeds.sum()), reached,
     )
 
 

@@ -286,3 +286,56 @@ def test_op6_scores_against_plain_counts(documents):
                     want += [sum(log(n, g, k) for g in grams) / len(grams) for k in langs]
                     break
         assert row == pytest.approx(want, rel=1e-5)
+
+
+def test_op5_rounds_never_lower_the_likelihood(larger):
+    docs, _ = larger
+    docs = docs.limit(300)
+    counts = brown.count_words(docs)
+    reached = []
+    for rounds in (0, 1, 2, 4):
+        known = brown.cluster(docs, counts, rounds)
+        reached.append(known.likelihood)
+        assert known.likelihood == pytest.approx(brown.likelihood(brown._class_pairs(docs, known.words, known.classes)))
+        shares = np.bincount(known.classes, known.counts, brown.CLASSES + 1)[:brown.CLASSES]
+        assert shares.max() < 0.4 * shares.sum()
+    assert reached == sorted(reached) and reached[1] > reached[0]
+
+
+def test_op5_round_picks_the_class_that_exchange_would_pick():
+    """Of one word that moves alone: the class with the highest likelihood of all."""
+    draw = np.random.default_rng(4)
+    symbols, width = 30, brown.CLASSES + 2
+    bigrams = draw.poisson(2.0, (symbols, symbols)).astype(float)
+    of = np.append(draw.integers(0, 6, symbols - 1), brown.CLASSES + 1)
+
+    def pairs(classes):
+        out = np.zeros((width, width))
+        np.add.at(out, (classes[:, None], classes[None, :]), bigrams)
+        return out
+
+    right, left = np.zeros((symbols, width)), np.zeros((symbols, width))
+    for w in range(symbols):
+        others = np.arange(symbols) != w
+        np.add.at(right[w], of[others], bigrams[w, others])
+        np.add.at(left[w], of[others], bigrams[others, w])
+    found = brown.best_classes(pairs(of), of[:-1], right[:-1], left[:-1], np.diagonal(bigrams)[:-1])
+    for w in range(symbols - 1):
+        reach = [brown.likelihood(pairs(np.where(np.arange(symbols) == w, c, of))) for c in range(brown.CLASSES)]
+        assert reach[found[w]] == pytest.approx(max(reach))
+
+
+def test_op5_packed_counts_come_back():
+    draw = np.random.default_rng(6)
+    word = np.sort(draw.integers(0, 40, 300)).astype(np.uint64)
+    code, n = draw.integers(0, 2500, 300), draw.integers(1, 1 << 34, 300)
+    rows = pa.Table.from_batches([brown._packed(0, word, code, n)])
+    row, codes, counts = brown._unpacked(rows)
+    back = Counter()
+    for w, c, k in zip(rows.column("word").to_numpy()[row].tolist(), codes.tolist(), counts.tolist(), strict=True):
+        back[w, c] += k
+    want = Counter()
+    for w, c, k in zip(word.tolist(), code.tolist(), n.tolist(), strict=True):
+        want[w, c] += k
+    assert back == want and rows.num_rows == len(set(word.tolist()))
+    assert [len(x) for x in brown._unpacked(rows.slice(0, 0))] == [0, 0, 0]
