@@ -36,6 +36,7 @@ EMBEDDING_DIM = 1536
 TOP_K_BM25 = 3
 TOP_K_EMBEDDING = 3
 JOIN_MODE = "reciprocal_rank_fusion"
+SCORE_JOIN_MODE = "distribution"
 PREVIEW_CHARS = 500
 RULE_WIDTH = 80
 

@@ -405,6 +405,16 @@ ORACLES["bm25_topk_blocks"] = ORACLES["bm25_topk"]
 ORACLES["dense_topk_ivf"] = ORACLES["dense_topk"]
 ORACLES["ivf_recall"] = """select 3 * count(*) as n, true as enough, count(*) as indexed from embeddings"""
 SEARCH = POSTINGS + [ALL_ASKED, QTERMS, QCOUNTS, BM25, _cells(config.EMBEDDING_DIM), DENSE, FUSED]
+_oracle("fuse_distribution", SEARCH[:-1] + ["""both_lists as (
+  select 2.0 as weight, query_id, chunk_id, score from bm25 union all select 1.0, query_id, chunk_id, score from dense),
+scaled as (
+  select query_id, chunk_id, weight * case when deviation < 1e-9 then 0.5 else 0.5 + (score - mean) / (6 * deviation) end as part from (
+    select *, avg(score) over (partition by weight, query_id) as mean, stddev_pop(score) over (partition by weight, query_id) as deviation
+    from both_lists)),
+summed as (
+  select query_id, chunk_id, round(sum(part) / 3.0, 9)::double as score from scaled group by all)"""],
+    """select query_id, chunk_id, round(score, 6) as score, row_number() over (partition by query_id order by score desc, chunk_id) as rank
+  from summed""")
 _oracle("rrf", SEARCH, "select query_id, chunk_id, score from fused")
 _oracle("hybrid_search", SEARCH, """select query_id, rank, chunk_id, rel_path as file_path, list_last(string_split(rel_path, '/')) as file_name,
   case when language is null then 'text' else 'code' end as content_type, coalesce(language, '') as language, content, round(score, 3) as score

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lodestone import config
 from lodestone.functions import display, paths
 from lodestone.operators import (
     chunking, embedding, enrich, filters, fusion, ignore, ivf, keyword, reports, structure, vector,
@@ -595,6 +596,13 @@ def rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.rrf(_lists(spark, sf_dir))
 
 
+@query
+def fuse_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists fused by their scores; keyword hits weigh twice as much."""
+    fused = fusion.fuse(_lists(spark, sf_dir), config.SCORE_JOIN_MODE, weights=[2, 1])
+    return _bigints(fused.withColumn("score", F.round("score", 6)), "rank")
+
+
 @query
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = retrieve.hybrid_search(_embedded(spark, sf_dir), views.asked(spark, sf_dir))

@@ -148,6 +148,26 @@ def test_fusion_modes_and_values(spark):
         fusion.fuse(lists, "concatenate")
 
 
+def test_fusion_by_the_distribution_of_scores(spark):
+    def hits(scores):
+        rows = [(1, c, float(v), i + 1) for i, (c, v) in enumerate(scores)]
+        return spark.createDataFrame(rows, "query_id bigint, chunk_id string, score double, rank int")
+
+    first, second = hits([("a", 9), ("b", 5), ("c", 4)]), hits([("d", 0.7)])
+    found = {r.chunk_id: r.score for r in fusion.by_distribution([first, second], [3, 1]).collect()}
+    values = np.array([9.0, 5.0, 4.0])
+    want = (0.5 + (values - 6) / (6 * values.std())) * 3 / 4
+    assert found == pytest.approx(dict(zip("abcd", [*want, 0.125], strict=True)))
+    same = fusion.fuse([hits([("x", 2), ("y", 2)]), hits([("y", 1), ("z", 1)])], "distribution").orderBy("rank").collect()
+    assert [(r.chunk_id, r.score) for r in same] == [("y", 0.5), ("x", 0.25), ("z", 0.25)]
+    assert fusion.fuse([first.limit(0), second.limit(0)], "distribution").collect() == []
+    heavy = {r.chunk_id: r.score for r in fusion.rrf([first, second], weights=[1, 3]).collect()}
+    assert heavy["d"] == 0.75 and heavy["a"] == 0.25
+    for weights in ([1], [1, -1], [0, 0]):
+        with pytest.raises(ValueError):
+            fusion.fuse([first, second], weights=weights)
+
+
 def test_fixed_dimension(spark, index):
     assert embedding.check_dim(index, 32).count() == index.count()
     with pytest.raises(Exception, match="expected 31 dimensions"):
