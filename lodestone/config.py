@@ -75,3 +75,6 @@ POSTINGS_BUCKETS = 64
 # Chunks of a posting block, about, and places a block search scores before it has a threshold.
 BLOCK_CHUNKS = 256
 BLOCK_FIRST_PLACES = 4
+
+# Buckets per model in a store of vectors by content.
+VECTOR_STORE_BUCKETS = 16

@@ -395,6 +395,7 @@ _oracle("bm25_topk", POSTINGS + [ALL_ASKED, QTERMS, BM25], "select query_id, chu
 ORACLES["bm25_topk_stored"] = ORACLES["bm25_topk"]
 _oracle("embed_hash", POSTINGS + [ALL_ASKED, QCOUNTS, _cells(HASH_DIM)],
         "select chunk_id, bucket::bigint as bucket, round(value, 6) as value from cells")
+ORACLES["embed_incremental"] = ORACLES["embed_hash"]
 _oracle("check_dim", ["x as (select 1)"], "select vec_id, case when vec_id % 7 = 0 then len(embedding) = 65 else len(embedding) = 64 end as accepted from embeddings")
 ORACLES["dense_topk"] = """select query_id, vec_id, score, rank from (
   select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from (

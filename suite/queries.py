@@ -10,7 +10,7 @@ from lodestone.operators import (
     chunking, embedding, enrich, filters, fusion, ignore, ivf, keyword, reports, structure, vector,
 )
 from lodestone.plans import ingest, rescan, retrieve, scratch
-from lodestone.sources import index_store, texts, tree
+from lodestone.sources import index_store, texts, tree, vector_store
 from lodestone.streaming import ingest_stream as streaming
 from suite import views
 
@@ -483,6 +483,21 @@ def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def embed_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three documents are embedded in a first run, all in a second one; vectors of another model stay apart."""
+    path, model = _path(spark, "vectors"), embedding.hash_embedder(HASH_DIM)
+    first = _documents_where(spark, sf_dir, F.col("doc_id") % 3 != 0)
+    vector_store.embed_incremental(first, "content", path, "hash-256", model)
+    vector_store.embed_incremental(first.limit(5), "content", path, "hash-8", embedding.hash_embedder(8))
+    vectors = vector_store.embed_incremental(_window_chunks(spark, sf_dir), "content", path, "hash-256", model)
+    cells = vectors.select("chunk_id", F.posexplode("embedding").alias("bucket", "value")).where("value != 0")
+    return cells.select(
+        "chunk_id", F.col("bucket").cast("bigint").alias("bucket"),
+        F.round(F.col("value").cast("double"), 6).alias("value"),
+    )
+
+
 @query
 def check_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every seventh vector has lost its last value."""
