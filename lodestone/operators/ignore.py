@@ -100,7 +100,8 @@ def ignore_status(path: Column, literals: Column, regex: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
     def hit(names: Column) -> Column:
-        wild = F.coalesce(F.rlike(F.array_join(names, globs.NAME_SEPARATOR), regex), F.lit(False))
+        # unlike rlike, this keeps a compiled pattern as long as the rows stay in one repository
+        wild = F.coalesce(F.regexp_instr(F.array_join(names, globs.NAME_SEPARATOR), regex) > 0, F.lit(False))
         return F.coalesce(F.arrays_overlap(names, literals), F.lit(False)) | wild
 
     below = hit(F.concat(dir_names, dir_paths))
