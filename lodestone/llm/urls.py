@@ -77,7 +77,8 @@ def places(host: Column, path: Column) -> Column:
     plain = F.regexp_replace(F.concat(F.lit("^"), host, path, F.lit("$")), "[0-9]", "0")
 
     def grams(s: Column) -> Column:
-        codes = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.ascii(F.substring(s, i, F.lit(1))).cast("long"))
+        # one cut into characters: a substring per place would start from the front each time
+        codes = F.transform(F.split(s, ""), lambda c: F.ascii(c).cast("long"))
         return F.get(F.transform(F.array(codes), of_codes), F.lit(0))
 
     def of_codes(c: Column) -> Column:

@@ -72,6 +72,12 @@ def test_odd_rows_ties_and_repeats(spark, odd):
     assert {r[0] for r in found(rows)} >= {"en", "de"}
 
 
+def test_very_long_texts(spark):
+    texts = ["ab cd ef gh ij " * 30_000, "x" * 600_000, "line one two\n" * 30_000, " " * 500_000, "!?;" * 200_000, "a " * 100_000]
+    docs = spark.createDataFrame([(i, t, "en" if i else "de") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert found(docs) == expected(docs)
+
+
 def test_empty(spark, empty):
     rows = phrases.collocations(empty)
     assert rows.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"] and rows.collect() == []

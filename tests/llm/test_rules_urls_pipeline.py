@@ -168,7 +168,7 @@ LONG_TEXTS = {
 }
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(QUERIES) if n != "op10_urls"])
+@pytest.mark.parametrize("name", [n for n in sorted(QUERIES) if n not in ("op10_urls", "op11_phrases")])
 def test_very_long_texts(spark, tmp_path, name):
     """One row per document, or all ids, in time that grows with the text."""
     rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(LONG_TEXTS.values())]
@@ -179,3 +179,11 @@ def test_very_long_texts(spark, tmp_path, name):
     out = QUERIES[name](spark, folder).select("doc_id").collect()
     assert {r.doc_id for r in out} == {r[0] for r in rows}
     assert name == "op8_packing" or len(out) == len(rows)
+
+
+def test_very_long_urls_and_repeated_rows(spark):
+    long = "x://a.b/" + "path/to7" * 100_000
+    rows = [(1, long), (1, long), (2, "x://example.net/en/" + "y" * 800_000), (3, None)]
+    out = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), urls.labelled_table(spark)).collect()
+    assert sorted((r.page_id, len(r.path)) for r in out) == [(1, 800_001), (1, 800_001), (2, 800_004), (3, 0)]
+    assert {r.verdict for r in out if r.page_id == 2} == {"allow"} and {r.verdict for r in out} <= {"allow", "block"}
