@@ -43,3 +43,17 @@ def test_entry_has_a_stable_schema(spark):
         "query_id", "rank", "chunk_id", "file_path", "file_name", "content_type", "language", "content", "score",
     ]
     assert rows.schema == entry.entry(spark).schema
+
+
+def test_the_engine_works_without_the_training_queries(monkeypatch, capsys):
+    """An import that fails below the training operators leaves the other queries alone."""
+    import importlib
+    import sys
+
+    monkeypatch.setitem(sys.modules, "lodestone.llm", None)
+    try:
+        again = importlib.reload(entry)
+        assert set(again.queries()) == set(ENGINE_QUERIES) and "left out" in capsys.readouterr().err
+    finally:
+        monkeypatch.undo()
+        importlib.reload(entry)
