@@ -63,6 +63,10 @@ BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 # Query vectors sent to each task of a vector search; a larger set is spread over tasks.
 DENSE_MAX_QUERIES = 2048
 
+# Text in a partition of lines: at most, and at least while there are cores without one.
+PARTITION_TEXT_BYTES = 4 * 1024 * 1024
+PARTITION_LEAST_BYTES = 128 * 1024
+
 # Copies of the small side when a lookup is salted instead of broadcast.
 LOOKUP_SALTS = 32
 

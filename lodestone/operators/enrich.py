@@ -3,6 +3,8 @@
 Documents become line tables whose strings, comments and bracket depth come from one pass in
 order. Scopes and imports are running windows over the lines of one document; a document is
 bounded by the file size cap. Every step is keyed by `doc_id`, and the text is placed by it once.
+Both sides of a join on `doc_id` grow with the corpus, so these joins ask for a merge: Spark's guess
+of their sizes from the size of the files is far too low and would broadcast them.
 """
 
 from __future__ import annotations
@@ -229,7 +231,7 @@ def enclosing_scope(chunks: DataFrame, scopes: DataFrame) -> DataFrame:
     inside = (scopes["start_line"] < c["a"]) & (scopes["end_line"] >= c["b"])
     found = F.struct("start_line", "end_line", "kind")
     return (
-        c.join(scopes.select("doc_id", "kind", "start_line", "end_line"), "doc_id")
+        c.join(scopes.select("doc_id", "kind", "start_line", "end_line").hint("merge"), "doc_id")
         .where(inside)
         .groupBy("doc_id", "chunk_id")
         .agg(F.max(found).alias("scope"))
@@ -277,7 +279,7 @@ def signatures(scopes: DataFrame, lines: DataFrame) -> DataFrame:
         .when(language == "rust", first_with("fn ", "struct "))
         .otherwise(l0)
     )
-    joined = scopes.join(decorators(lines), "doc_id", "left")
+    joined = scopes.join(decorators(lines).hint("merge"), "doc_id", "left")
     above = F.col("_decorators")[F.col("start_line")]
     return joined.withColumn("signature", F.concat_ws("\n", above, header)).drop(
         "line", "line_1", "line_2", "_decorators"
@@ -388,7 +390,7 @@ def filter_imports(chunks: DataFrame, imports: DataFrame, smart: bool = True) ->
 
     The imports of a document travel as one array, so only used ones become rows.
     """
-    joined = chunks.select("doc_id", "chunk_id", "content").join(_imports_per_document(imports), "doc_id")
+    joined = chunks.select("doc_id", "chunk_id", "content").join(_imports_per_document(imports).hint("merge"), "doc_id")
     used = _relevant(F.col("imports"), F.col("content"), smart)
     return joined.select("doc_id", "chunk_id", F.explode(used).alias("i")).select(
         "doc_id", "chunk_id", "i.line_no", "i.import_text"
@@ -406,7 +408,7 @@ def locate_chunks(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     first = tx.strip(F.regexp_extract(content, r"\A[\s\x1c-\x1f\x85\p{Z}]*([^\n]*)", 1))
     unplaced = F.coalesce("start_line", F.lit(0)) == 0
     joined = (
-        chunks.where(unplaced).join(docs.select("doc_id", F.col("text").alias("_text")), "doc_id", "left")
+        chunks.where(unplaced).join(docs.select("doc_id", F.col("text").alias("_text")).hint("merge"), "doc_id", "left")
         .withColumn("_search", F.col("_text").isNotNull())
         .withColumn("_first", F.when(F.col("_search"), first))
         .withColumn("_at", F.when(F.col("_first") != "", F.call_function("instr", "_text", "_first")))
@@ -440,13 +442,13 @@ def enrich_chunks(
     content = F.col("content")
     parts = []
     if include_imports:
-        joined = joined.join(_imports_per_document(extract_imports(lines)), "doc_id", "left")
+        joined = joined.join(_imports_per_document(extract_imports(lines)).hint("merge"), "doc_id", "left")
         used = _relevant(F.col("imports"), content, smart)
         parts.append(F.array_join(F.transform(used, lambda i: i["import_text"]), "\n"))
     if include_parent:
         entry = F.struct("start_line", "end_line", context_stub(F.col("signature")).alias("stub"))
         nested = signatures(scopes(lines), lines).groupBy("doc_id").agg(F.collect_list(entry).alias("scopes"))
-        joined = joined.join(nested, "doc_id", "left")
+        joined = joined.join(nested.hint("merge"), "doc_id", "left")
         around = F.filter(
             "scopes",
             lambda s: (s["start_line"] < F.col("start_line")) & (s["end_line"] >= F.col("end_line")),

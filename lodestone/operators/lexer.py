@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.functions import text as tx
+from lodestone.plans.sizing import partitions_of
 
 _ESCAPED = r"\\[\s\S]?|"
 #: Opens an expression inside a template; the stack holds it with the number of braces open in it.
@@ -146,9 +147,11 @@ def lexed_lines(sources: DataFrame) -> DataFrame:
     whether the line starts `inside` a string or comment, its `indent`, and the depth of braces and
     of all brackets before it. Lines are numbered from 0; languages without rules keep their lines as code.
 
-    Expressions inside templates are code; the marks around them are not.
+    Expressions inside templates are code; the marks around them are not. The lines of a document
+    are in one of as many partitions as their text needs, which the windows over them keep.
     """
-    placed = sources.select("doc_id", "language", "text").repartition("doc_id")
+    n = partitions_of(sources, "text")
+    placed = sources.select("doc_id", "language", "text").repartition(n, "doc_id")
     lines = placed.select("doc_id", "language", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +179,7 @@ def lexed_lines(sources: DataFrame) -> DataFrame:
     schema = "doc_id string, language string, line_no int, line string, code string, inside boolean, depth int, bracket_depth int"
     return lines.mapInArrow(scan, schema).select(
         "doc_id", "language", "line_no", "line", "code", "inside", _indent().alias("indent"), "depth", "bracket_depth"
-    )
+    ).repartition(n, "doc_id")
 
 
 def _indent() -> Column:

@@ -91,7 +91,7 @@ def _scopes_per_document(docs: DataFrame) -> DataFrame:
         F.map_entries("_decorators"), lambda e: F.struct(e["key"].alias("line"), tx.count_of(e["value"], "\n").alias("more"))
     ).alias("above"))
     spans = enrich.scopes(lines).groupBy("doc_id").agg(F.collect_list(F.struct("start_line", "end_line")).alias("spans"))
-    joined = spans.join(runs, "doc_id", "left")
+    joined = spans.join(runs.hint("merge"), "doc_id", "left")
 
     def first(s: Column) -> Column:
         run = F.filter(F.coalesce("above", F.array().cast("array<struct<line:int,more:int>>")), lambda a: a["line"] == s["start_line"])
@@ -123,7 +123,7 @@ def chunk_code_structured(
     each other without a line break.
     """
     none = F.array().cast("array<struct<start_line:int,end_line:int>>")
-    joined = drop_blank(docs).join(_scopes_per_document(docs), "doc_id", "left")
+    joined = drop_blank(docs).join(_scopes_per_document(docs).hint("merge"), "doc_id", "left")
     split = joined.withColumn("_lines", F.split("text", "\n")).withColumn("_scopes", F.coalesce("scopes", none))
     sizes, blank = F.transform("_lines", F.length), F.transform("_lines", tx.is_blank)
     starts = _cuts(lines, max_chars)(sizes, blank, F.col("_scopes.start_line"), F.col("_scopes.end_line"))

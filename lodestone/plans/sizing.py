@@ -18,6 +18,20 @@ def fits_broadcast(
     return rows <= max_rows and (size or 0) <= max_bytes
 
 
+def partitions_of(
+    texts: DataFrame, column: str, max_bytes: int = config.PARTITION_TEXT_BYTES, min_bytes: int = config.PARTITION_LEAST_BYTES
+) -> int:
+    """How many partitions hold at most `max_bytes` of the texts each, in one pass over their sizes.
+
+    Few texts are spread over twice the cores, as long as a partition keeps `min_bytes`. Steps that
+    make far more of a text than what is shuffled need a fixed number: Spark would coalesce
+    partitions by their compressed size.
+    """
+    size = texts.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    spread = min(2 * texts.sparkSession.sparkContext.defaultParallelism, -(-size // min_bytes))
+    return max(1, spread, -(-size // max_bytes))
+
+
 def lookup_join(
     facts: DataFrame,
     small: DataFrame,

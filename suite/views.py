@@ -21,6 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+PARTS_PER_TASK = 2000
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys and sizes of the parts, spread over tasks: a small file of many rows is one split, but many files of code."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return rows.repartition(-(-rows.count() // PARTS_PER_TASK) or 1, "p_partkey")
+
+
 def _pick(number: Column, values: list[str]) -> Column:
     chosen = F.lit(values[-1])
     for i, value in reversed(list(enumerate(values[:-1]))):
@@ -94,7 +103,7 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.replace(text, F.lit("<K>"), key.cast("string"))
     text = F.replace(text, F.lit("<S>"), F.col("p_size").cast("string"))
     path = F.concat(F.lit("src/m"), key.cast("string"), F.lit("."), _pick(kind, [e for e, _ in samples.FILES]))
-    rows = table(spark, sf_dir, "part").select(
+    rows = _parts(spark, sf_dir).select(
         F.lit("parts").alias("repo_name"), path.alias("rel_path"), text.alias("text")
     )
     return paths.with_document(rows)
@@ -135,7 +144,7 @@ def nested_code(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.repeat(F.lit("{"), depth), F.repeat(F.lit("}"), depth), F.lit(";\n    return 1;\n  }\n}"),
     )
     path = F.concat(F.lit("gen/m"), key.cast("string"), F.lit(".java"))
-    rows = table(spark, sf_dir, "part").select(F.lit("generated").alias("repo_name"), path.alias("rel_path"), text.alias("text"))
+    rows = _parts(spark, sf_dir).select(F.lit("generated").alias("repo_name"), path.alias("rel_path"), text.alias("text"))
     return paths.with_document(rows)
 
 
@@ -152,7 +161,7 @@ def lexemes(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, parts) in enumerate(samples.LEXEMES):
         text = F.when(kind == i, lines(parts)).otherwise(text)
     path = F.concat(F.lit("lex/m"), key.cast("string"), _pick(kind, [e for e, _ in samples.LEXEMES]))
-    rows = table(spark, sf_dir, "part").select(
+    rows = _parts(spark, sf_dir).select(
         F.lit("generated").alias("repo_name"), path.alias("rel_path"),
         F.replace(text, F.lit("<K>"), key.cast("string")).alias("text"),
     )
@@ -183,7 +192,7 @@ def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.when(java, F.concat(F.lit("class C"), key.cast("string"), F.lit(" {"))).otherwise(F.lit("import os"))
     last = F.when(java, F.array(F.lit("}"))).otherwise(F.array().cast("array<string>"))
     path = F.concat(F.lit("mod/m"), key.cast("string"), F.when(java, F.lit(".java")).otherwise(F.lit(".py")))
-    rows = table(spark, sf_dir, "part").select(
+    rows = _parts(spark, sf_dir).select(
         F.lit("generated").alias("repo_name"), path.alias("rel_path"),
         F.array_join(F.concat(F.array(first), functions, last), "\n").alias("text"),
     )
