@@ -18,7 +18,7 @@ from pyspark.sql.types import StringType
 
 from lodestone import config
 from lodestone.operators import vector
-from lodestone.operators.keyword import top_k
+from lodestone.operators.ranking import top_k
 from lodestone.plans import scratch
 
 #: Most cells of an index, and rows that centroids are fitted on, about.
@@ -26,8 +26,6 @@ MAX_CELLS = 4096
 SAMPLE_ROWS = 50_000
 ROUNDS = 8
 PROBES = 8
-#: Tasks that share a cell when there are too many queries to send to every task.
-SPLITS = 16
 _SEED = 20250601
 _ROUNDING = 10.0**-config.SCORE_DECIMALS
 
@@ -167,22 +165,57 @@ def upper_bounds(cosines: np.ndarray, least: np.ndarray) -> np.ndarray:
 
 
 def _probes(index: VectorIndex, queries: DataFrame, probes: int) -> DataFrame:
-    """(query_id, embedding, near, cells, bounds): the nearest cells, and the others with their bounds."""
-    sent = index.spark.sparkContext.broadcast((index.cells, index.centroids, index.least))
+    """(query_id, embedding, near): the nearest cells, nearest first."""
+    sent = index.spark.sparkContext.broadcast((index.cells, index.centroids))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, centroids, least = sent.value
+        cells, centroids = sent.value
         for batch in batches:
             cosines = vector._matrix(batch.column(1)) @ centroids.T
-            order = np.argsort(-cosines, axis=1, kind="stable")
-            bounds = np.take_along_axis(upper_bounds(cosines, least), order, axis=1)
-            near, rest = cells[order[:, :probes]].astype(np.int32), cells[order[:, probes:]].astype(np.int32)
-            lists = [pa.array(list(near), pa.list_(pa.int32())), pa.array(list(rest), pa.list_(pa.int32())),
-                     pa.array(list(bounds[:, probes:]), pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=["query_id", "embedding", "near", "cells", "bounds"])
+            near = cells[np.argsort(-cosines, axis=1, kind="stable")[:, :probes]].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(near), pa.list_(pa.int32()))], names=["query_id", "embedding", "near"])
 
     element = queries.schema["embedding"].dataType.simpleString()
-    return queries.mapInArrow(rank, f"query_id bigint, embedding {element}, near array<int>, cells array<int>, bounds array<double>")
+    return queries.mapInArrow(rank, f"query_id bigint, embedding {element}, near array<int>")
+
+
+def _near(index: VectorIndex, queries: DataFrame, probes: int) -> DataFrame:
+    """(query_id, embedding, mask) with a bit for each of the nearest cells."""
+    sent = index.spark.sparkContext.broadcast(index.centroids)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask = _nearest_of(vector._matrix(batch.column(1)) @ sent.value.T, probes)
+            yield pa.RecordBatch.from_arrays([*batch.columns, _masked(mask)], names=["query_id", "embedding", "mask"])
+
+    element = queries.schema["embedding"].dataType.simpleString()
+    return queries.mapInArrow(mark, f"query_id bigint, embedding {element}, mask binary")
+
+
+def _nearest_of(cosines: np.ndarray, probes: int) -> np.ndarray:
+    mask = np.zeros(cosines.shape, bool)
+    np.put_along_axis(mask, np.argsort(-cosines, axis=1, kind="stable")[:, :probes], True, axis=1)
+    return mask
+
+
+def _rest(index: VectorIndex, queries: DataFrame, probes: int) -> DataFrame:
+    """(query_id, embedding, mask) with a bit for each other cell that can reach `worst`, if there is any."""
+    sent = index.spark.sparkContext.broadcast((index.centroids, index.least))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centroids, least = sent.value
+        for batch in batches:
+            cosines = vector._matrix(batch.column(1)) @ centroids.T
+            worst = batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
+            reach = np.isnan(worst)[:, None] | (upper_bounds(cosines, least) >= worst[:, None] - 2 * _ROUNDING)
+            mask = reach & ~_nearest_of(cosines, probes)
+            some = mask.any(axis=1)
+            if some.any():
+                rows = pa.RecordBatch.from_arrays([*batch.columns[:2], _masked(mask)], names=["query_id", "embedding", "mask"])
+                yield rows.filter(pa.array(some))
+
+    element = queries.schema["embedding"].dataType.simpleString()
+    return queries.select("query_id", "embedding", "worst").mapInArrow(mark, f"query_id bigint, embedding {element}, mask binary")
 
 
 def _types(index: VectorIndex) -> tuple[pa.DataType, str]:
@@ -190,45 +223,134 @@ def _types(index: VectorIndex) -> tuple[pa.DataType, str]:
     return (pa.string() if text else pa.int64()), f"query_id bigint, id {'string' if text else 'bigint'}, score double"
 
 
+def _wanted(masks: list[bytes]) -> np.ndarray:
+    """(cells, queries): whether a query wants a cell, by the bits of its mask."""
+    bits = np.frombuffer(b"".join(masks), np.uint8).reshape(len(masks), -1)
+    return np.unpackbits(bits, axis=1).astype(bool).T.copy()
+
+
+def _masked(wanted: np.ndarray) -> pa.Array:
+    """The mask of each row of (queries, cells)."""
+    return pa.array([row.tobytes() for row in np.packbits(wanted, axis=1)], pa.binary())
+
+
+class _Cells:
+    """The best k of some queries over corpus rows, each met only by the queries that want its cell."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, masks: list[bytes], cells: np.ndarray, k: int):
+        self.best, self.wanted = vector._Running(ids, matrix, k), _wanted(masks)
+        self.place = {c: i for i, c in enumerate(cells.tolist())}
+
+    def add(self, cells: np.ndarray, ids: pa.Array, vectors: pa.Array) -> None:
+        for cell in np.unique(cells).tolist():
+            chosen = np.flatnonzero(self.wanted[self.place[cell]])
+            if len(chosen):
+                own = pa.RecordBatch.from_arrays([ids, vectors], names=["id", "embedding"]).filter(pa.array(cells == cell))
+                for block in vector._blocks(own, len(chosen)):
+                    self.best.add(vector._ids(block.column(0)), vector._matrix(block.column(1)), chosen)
+
+
 def _score(index: VectorIndex, wanted: DataFrame, k: int, max_queries: int) -> DataFrame:
-    """Hits of (query_id, cell, embedding): the best k of every task. Only the wanted cells are read."""
+    """Hits of (query_id, embedding, mask), a bit per cell of the index, or of (query_id, embedding, cell): the
+    best k of every task.
+
+    Only the wanted cells are read. A query travels once per block of the corpus, however many
+    cells it wants, and a stored vector once per block of queries.
+    """
     id_type, schema = _types(index)
-    vectors = index.vectors()
+    wanted = _of_pairs(index, wanted) if "cell" in wanted.columns else wanted
     sent = wanted.limit(max_queries + 1).toArrow()
-    if sent.num_rows <= max_queries and sent.nbytes * 2 <= config.BROADCAST_MAX_BYTES:
-        cells, ids = sent.column("cell").to_numpy(), sent.column("query_id").to_numpy()
-        matrix = vector._matrix(sent.column("embedding"))
-        by_cell = {int(c): np.flatnonzero(cells == c) for c in np.unique(cells)}
-        read = vectors.where(F.col("cell").isin(list(by_cell))) if by_cell else vectors.limit(0)
+    few = sent.num_rows <= max_queries and sent.nbytes * 2 <= config.BROADCAST_MAX_BYTES
+    if few and not sent.num_rows:
+        return index.spark.createDataFrame([], schema)
+    # one mask of the index; Spark does not read the partitions of other cells
+    masks = sent.column("mask").to_pylist() if few else [_any_mask(wanted)]
+    probed = index.cells[_wanted(masks)[: len(index.cells)].any(axis=1)].tolist()
+    stored = index.vectors().where(F.col("cell").isin(probed) if probed else F.lit(False))
+    cells = index.cells
+    if few:
+        ids, matrix = sent.column("query_id").to_numpy(), vector._matrix(sent.column("embedding"))
 
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: dict[int, vector._Running] = {}
+            held = _Cells(ids, matrix, masks, cells, k)
             for batch in batches:
-                own = batch.column(0).to_numpy()
-                for cell in np.unique(own).tolist():
-                    if cell not in best:
-                        best[cell] = vector._Running(ids[by_cell[cell]], matrix[by_cell[cell]], k)
-                    rows = batch.filter(pa.array(own == cell))
-                    for block in vector._blocks(rows, len(by_cell[cell])):
-                        best[cell].add(vector._ids(block.column(1)), vector._matrix(block.column(2)))
-            for running in best.values():
-                yield running.result("id", id_type)
-
-        return read.select("cell", "id", "embedding").mapInArrow(step, schema)
-    split = F.pmod(F.xxhash64("id"), F.lit(SPLITS)).cast("int")
-    kind = vectors.schema["id"].dataType
+                held.add(batch.column(0).to_numpy(), batch.column(1), batch.column(2))
+            result = held.best.result("id", id_type)
+            if result is not None:
+                yield result
+
+        return stored.select("cell", "id", "embedding").mapInArrow(step, schema)
+    query_blocks, corpus_blocks = vector.blocks_of(wanted)
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block_of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    kind = index.vectors().schema["id"].dataType
+    element = index.vectors().schema["embedding"].dataType
     asked = wanted.select(
-        F.col("cell").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("cb"), F.lit(0).alias("side"),
-        "query_id", F.lit(None).cast(kind).alias("id"), F.col("embedding").cast("array<double>").alias("embedding"),
+        block_of("query_id", query_blocks).alias("qb"), all_of(corpus_blocks).alias("cb"), F.lit(-1).alias("cell"),
+        "query_id", F.lit(None).cast(kind).alias("id"), F.col("embedding"), "mask",
     )
-    # one number per cell of the index at most; Spark does not read the partitions of other cells
-    probed = [r["cell"] for r in wanted.select("cell").distinct().collect()]
-    stored = vectors.where(F.col("cell").isin(probed) if probed else F.lit(False)).select(
-        F.col("cell").alias("qb"), split.alias("cb"), F.lit(1).alias("side"), F.lit(None).cast("bigint").alias("query_id"), "id",
-        F.col("embedding").cast("array<double>").alias("embedding"),
+    held = stored.select(
+        all_of(query_blocks).alias("qb"), block_of("id", corpus_blocks).alias("cb"), "cell", F.lit(None).cast("bigint").alias("query_id"),
+        "id", F.col("embedding").cast(element), F.lit(None).cast("binary").alias("mask"),
     )
-    cells = asked.unionByName(stored).repartition("qb", "cb").sortWithinPartitions("qb", "cb", "side")
-    return cells.mapInArrow(vector._per_cell(k, "id", id_type), schema)
+    placed = asked.unionByName(held).repartition(query_blocks * corpus_blocks, "qb", "cb").sortWithinPartitions("qb", "cb", "cell")
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, best = None, [], None
+        for batch in batches:
+            keys = np.stack([np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.asarray(batch.column(2)) < 0])
+            starts = np.flatnonzero(np.any(np.diff(keys, axis=1) != 0, axis=0)) + 1
+            edges = [0, *starts.tolist(), batch.num_rows]
+            for low, high in zip(edges, edges[1:]):
+                part = batch.slice(low, high - low)
+                if (keys[0, low], keys[1, low]) != now:
+                    if best is not None and (result := best.best.result("id", id_type)) is not None:
+                        yield result
+                    now, parts, best = (keys[0, low], keys[1, low]), [], None
+                if keys[2, low]:
+                    parts.append(part)
+                elif best is not None or parts:
+                    if best is None:
+                        best = _Cells(
+                            np.concatenate([np.asarray(p.column(3)) for p in parts]), np.concatenate([vector._matrix(p.column(5)) for p in parts]),
+                            [m for p in parts for m in p.column(6).to_pylist()], cells, k,
+                        )
+                        parts = [part.slice(0, 0)]
+                    best.add(np.asarray(part.column(2)), part.column(4), part.column(5))
+        if best is not None and (result := best.best.result("id", id_type)) is not None:
+            yield result
+
+    return placed.select("qb", "cb", "cell", "query_id", "id", "embedding", "mask").mapInArrow(step, schema)
+
+
+def _of_pairs(index: VectorIndex, pairs: DataFrame) -> DataFrame:
+    """(query_id, embedding, mask) of (query_id, embedding, cell)."""
+    cells = index.cells
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = np.array([np.isin(cells, own) for own in batch.column(2).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], _masked(wanted)], names=["query_id", "embedding", "mask"])
+
+    element = pairs.schema["embedding"].dataType.simpleString()
+    listed = pairs.groupBy("query_id", "embedding").agg(F.collect_set("cell").alias("cells"))
+    return listed.mapInArrow(mark, f"query_id bigint, embedding {element}, mask binary")
+
+
+def _any_mask(wanted: DataFrame) -> bytes:
+    """The cells that any query wants; one row leaves each task."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = None
+        for batch in batches:
+            for mask in batch.column(0).to_pylist():
+                bits = np.frombuffer(mask, np.uint8)
+                found = bits if found is None else found | bits
+        if found is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["mask"])
+
+    rows = wanted.select("mask").mapInArrow(merge, "mask binary").collect()
+    return np.bitwise_or.reduce([np.frombuffer(r["mask"], np.uint8) for r in rows]).tobytes()
 
 
 def search(
@@ -243,16 +365,12 @@ def search(
     if not len(index.cells):
         return index.spark.createDataFrame([], f"query_id bigint, {index.id_col} string, score double, rank int")
     asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "embedding").where(F.size("embedding") > 0)
-    ranked = scratch.materialize(_probes(index, asked, probes), "probes")
-    near = ranked.select("query_id", F.explode("near").alias("cell"), "embedding")
-    found = top_k(_score(index, near, k, max_queries), k, "id")
+    found = top_k(_score(index, _near(index, asked, probes), k, max_queries), k, "id")
     if exact:
         found = scratch.materialize(found, "hits")
         worst = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("worst"))
-        pairs = F.filter(F.arrays_zip("cells", "bounds"), lambda p: F.col("worst").isNull() | (p["bounds"] >= F.col("worst") - 2 * _ROUNDING))
-        more = ranked.join(worst, "query_id", "left").select("query_id", F.explode(pairs).alias("p"), "embedding")
-        rest = _score(index, more.select("query_id", F.col("p.cells").alias("cell"), "embedding"), k, max_queries)
-        found = top_k(found.drop("rank").unionByName(rest), k, "id")
+        more = scratch.materialize(_rest(index, asked.join(worst, "query_id", "left"), probes), "rest")
+        found = top_k(found.drop("rank").unionByName(_score(index, more, k, max_queries)), k, "id")
     return found.withColumnRenamed("id", index.id_col)
 
 

@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from lodestone import config
-from lodestone.operators.keyword import top_k
+from lodestone.operators.ranking import top_k
 
 _SCALE = 10**config.SCORE_DECIMALS
-_QUERY_BLOCK = 4096
+# A place that no hit has taken; below every score, and its negative is a number too.
+_NONE = np.int64(-(1 << 62))
+# Queries of a block and values of their vectors, at most.
+_QUERY_BLOCK = 32_768
+_BLOCK_VALUES = 2_097_152
 # Scores held at a time: queries of a block x corpus rows.
 _CELLS = 4_000_000
 
@@ -41,33 +45,59 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 
 class _Running:
-    """The best k per query over the batches of one task."""
+    """The best k per query over the batches of one task. Only scores that reach the worst of a query's k are looked at."""
 
-    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray | None, k: int):
         self.query_ids, self.queries, self.k = query_ids, queries, k
-        self.scores: np.ndarray | None = None
+        self.scores = np.full((len(query_ids), k), _NONE, np.int64)
         self.ids: np.ndarray | None = None
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        products = np.rint(self.queries @ vectors.T * _SCALE).astype(np.int64)
-        scores, names = _best(products, ids, self.k)
-        if self.scores is not None:
-            scores = np.concatenate([self.scores, scores], axis=1)
-            names = np.concatenate([self.ids, names], axis=1)
-            row = np.repeat(np.arange(len(scores)), scores.shape[1])
-            order = np.lexsort((names.ravel(), -scores.ravel(), row)).reshape(scores.shape)
-            first = order[:, : self.k]
-            scores, names = scores.ravel()[first], names.ravel()[first]
-        self.scores, self.ids = scores, names
+    def add(self, ids: np.ndarray, vectors: np.ndarray, chosen: np.ndarray | None = None) -> None:
+        """Corpus rows for all queries, or for the `chosen` ones."""
+        if not len(ids):
+            return
+        chosen = np.arange(len(self.query_ids)) if chosen is None else chosen
+        products = self.queries[chosen] @ vectors.T
+        products *= _SCALE
+        np.rint(products, out=products)
+        self.offer(ids, products, chosen)
+
+    def offer(self, ids: np.ndarray, products: np.ndarray, chosen: np.ndarray, least: float = -np.inf) -> None:
+        """Whole-number scores (chosen, ids); those below `least` are none."""
+        if self.ids is None:
+            self.ids = np.zeros(self.scores.shape, ids.dtype)
+        elif ids.dtype.itemsize > self.ids.dtype.itemsize:
+            self.ids = self.ids.astype(ids.dtype)
+        worst = self.scores[chosen].min(axis=1)
+        fresh = worst == _NONE
+        if fresh.any():
+            # nothing to compare with yet
+            scores, names = _best(products[fresh].astype(np.int64), ids, self.k)
+            some = scores >= least
+            self._merge(np.repeat(chosen[fresh], some.sum(axis=1)), scores[some], names[some])
+        row, at = np.nonzero(products >= np.where(fresh, np.inf, worst.astype(np.float64))[:, None])
+        if len(row):
+            self._merge(chosen[row], products[row, at].astype(np.int64), ids[at])
+
+    def _merge(self, query: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        touched = np.unique(query)
+        query = np.concatenate([np.repeat(touched, self.k), query])
+        scores = np.concatenate([self.scores[touched].ravel(), scores])
+        ids = np.concatenate([self.ids[touched].ravel(), ids])
+        order = np.lexsort((ids, -scores, query))
+        first = np.searchsorted(query[order], touched)
+        keep = order[first[:, None] + np.arange(self.k)]
+        self.scores[touched], self.ids[touched] = scores[keep], ids[keep]
 
     def result(self, id_name: str, id_type: pa.DataType) -> pa.RecordBatch | None:
-        if self.scores is None:
+        if self.ids is None:
             return None
+        held = self.scores != _NONE
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.repeat(self.query_ids, self.scores.shape[1])),
-                pa.array(self.ids.ravel().tolist(), type=id_type),
-                pa.array(self.scores.ravel() / _SCALE),
+                pa.array(np.repeat(self.query_ids, held.sum(axis=1))),
+                pa.array(self.ids[held].tolist(), type=id_type),
+                pa.array(self.scores[held] / _SCALE),
             ],
             names=["query_id", id_name, "score"],
         )
@@ -137,10 +167,21 @@ def _per_cell(k: int, id_name: str, id_type: pa.DataType) -> Callable:
     return step
 
 
+def blocks_of(queries: DataFrame) -> tuple[int, int]:
+    """(query blocks, corpus blocks) for queries with an `embedding`.
+
+    A query block has a fixed size. There are as many corpus blocks as query blocks, so each row
+    is copied once per block of the other side, or as many as it takes for all cores.
+    """
+    n, width = queries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    query_blocks = max(1, -(-n // _QUERY_BLOCK), -(-n * (width or 1) // _BLOCK_VALUES))
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    return query_blocks, max(query_blocks, -(-2 * cores // query_blocks))
+
+
 def _many_queries(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, step, schema) -> DataFrame:
     """Query block x corpus block cells, placed by Spark; nothing passes through the driver."""
-    n_query_blocks = max(1, -(-queries.count() // _QUERY_BLOCK))
-    n_corpus_blocks = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_query_blocks, n_corpus_blocks = blocks_of(queries)
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block_of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     id_type = corpus.schema[id_col].dataType
