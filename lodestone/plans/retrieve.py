@@ -29,9 +29,10 @@ def hybrid_search(
     """
     asked = guard_query(queries).where(F.col("status") == "ok")
     vectors = embed(asked, "query", embedder)
-    if postings is None:
+    grouped = postings is None
+    if grouped:
         postings, size = keyword.postings(index), keyword.corpus_size_of(index)
-    lexical = keyword.bm25_topk(asked, postings, top_k_bm25, size)
+    lexical = keyword.bm25_topk(asked, postings, top_k_bm25, size, grouped)
     dense = vector.dense_topk(vectors, index, top_k_embedding)
     ranked = fusion.fuse([lexical, dense], join_mode)
     per_query = top_k_bm25 + top_k_embedding
