@@ -31,7 +31,7 @@ def hybrid_search(
     vectors = embed(asked, "query", embedder)
     grouped = postings is None
     if grouped:
-        postings, size = keyword.postings(index), keyword.corpus_size_of(index)
+        postings, size = keyword.kept_postings(index)
     lexical = keyword.bm25_topk(asked, postings, top_k_bm25, size, grouped)
     dense = vector.dense_topk(vectors, index, top_k_embedding)
     ranked = fusion.fuse([lexical, dense], join_mode)
