@@ -108,13 +108,14 @@ def scopes(lines: DataFrame) -> DataFrame:
     (document, level).
     """
     is_python = F.col("language") == "python"
-    has_code = tx.strip(F.col("code")) != ""
+    # stripped on the left only: the right end takes a pass over the line, and blank is blank
+    has_code = tx.lstrip(F.col("code")) != ""
     kind = F.when(_rule("class"), F.lit("class")).when(_rule("function"), F.lit("function"))
     code = F.col("code")
     unmatched = _unmatched_braces(code)
     latest = lambda keep, value, frame: F.last(F.when(keep, value), ignorenulls=True).over(frame)
     flagged = (
-        lines.withColumn("filled", tx.strip(F.col("line")) != "")
+        lines.withColumn("filled", tx.lstrip(F.col("line")) != "")
         .withColumn("body", has_code | F.col("inside"))
         .withColumn("structural", has_code & ~F.col("inside") & (~is_python | (F.col("bracket_depth") == 0)))
         .withColumn("kind", F.when(F.col("structural"), kind))

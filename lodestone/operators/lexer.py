@@ -142,6 +142,13 @@ def _leave(line: str, at: int, stack: list[str], rules: Rules, top: str) -> int:
     return found.end()
 
 
+def numbered_lines(sources: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(doc_id, language, line_no, line) of the texts; lines are numbered from 0."""
+    n = partitions or partitions_of(sources, "text")
+    placed = sources.select("doc_id", "language", "text").repartition(n, "doc_id")
+    return placed.select("doc_id", "language", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
 def lexed_lines(sources: DataFrame) -> DataFrame:
     """One row per line of (doc_id, language, text): `line`, `code` (without strings and comments),
     whether the line starts `inside` a string or comment, its `indent`, and the depth of braces and
@@ -151,8 +158,7 @@ def lexed_lines(sources: DataFrame) -> DataFrame:
     are in one of as many partitions as their text needs, which the windows over them keep.
     """
     n = partitions_of(sources, "text")
-    placed = sources.select("doc_id", "language", "text").repartition(n, "doc_id")
-    lines = placed.select("doc_id", "language", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = numbered_lines(sources, n)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack: list[str] = []

@@ -8,6 +8,7 @@ are found in one pass over the lines. A document is one row, bounded by the file
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone import config
 from lodestone.functions import paths, text as tx
-from lodestone.operators import enrich
+from lodestone.operators import enrich, lexer
 from lodestone.operators.filters import drop_blank
 
 #: Prices of a border. Each outweighs all lower ones together, for files up to the size cap.
@@ -51,17 +52,22 @@ def cheapest_cuts(sizes: Sequence[int], prices: Sequence[int], lines: int, max_c
 
     A chunk holds at most `lines` lines and `max_chars` characters, or one longer line.
     """
-    best, come_from = [0], [0]
+    # Where the last chunk may start only moves down, so the cheapest start is kept like the minimum of a sliding window:
+    # `starts` holds those no later start beats, with rising totals.
+    come_from, cost, low, chars = [0], 0, 0, -1
+    starts: deque[tuple[int, int]] = deque()
     for end in range(1, len(sizes) + 1):
-        cost, origin, chars = None, end - 1, -1
-        for first in range(end - 1, max(end - lines, 0) - 1, -1):
-            chars += sizes[first] + 1
-            if chars > max_chars and first < end - 1:
-                break
-            here = best[first] + prices[first]
-            if cost is None or here <= cost:
-                cost, origin = here, first
-        best.append(cost)
+        total = cost + prices[end - 1]
+        while starts and starts[-1][0] > total:
+            starts.pop()
+        starts.append((total, end - 1))
+        chars += sizes[end - 1] + 1
+        while low < end - 1 and (chars > max_chars or low < end - lines):
+            chars -= sizes[low] + 1
+            low += 1
+        while starts[0][1] < low:
+            starts.popleft()
+        cost, origin = starts[0]
         come_from.append(origin)
     cuts, at = [], len(sizes)
     while at:
@@ -86,8 +92,11 @@ def _cuts(lines: int, max_chars: int):
 
 def _scopes_per_document(docs: DataFrame) -> DataFrame:
     """(doc_id, scopes): first lines, decorators included, and last lines of all scopes of a document."""
-    lines = enrich.code_lines(enrich.code_documents(docs))
-    runs = enrich.decorators(lines).select("doc_id", F.transform(
+    sources = enrich.code_documents(docs)
+    lines = enrich.code_lines(sources)
+    # A decorator needs no lexer, and only some documents have one.
+    marked = sources.where((F.col("language") == "python") & F.col("text").contains("@"))
+    runs = enrich.decorators(lexer.numbered_lines(marked)).select("doc_id", F.transform(
         F.map_entries("_decorators"), lambda e: F.struct(e["key"].alias("line"), tx.count_of(e["value"], "\n").alias("more"))
     ).alias("above"))
     spans = enrich.scopes(lines).groupBy("doc_id").agg(F.collect_list(F.struct("start_line", "end_line")).alias("spans"))
