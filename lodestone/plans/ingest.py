@@ -58,14 +58,15 @@ def to_process(classified: DataFrame) -> DataFrame:
 
 
 def chunk_files(
-    decoded: DataFrame, embedder: Embedder | None = None, enrich_code: bool = False, text_mode: str = "sentence"
+    decoded: DataFrame, embedder: Embedder | None = None, enrich_code: bool = False, text_mode: str = "sentence",
+    spread: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """(docs, chunks with vectors) of decoded files."""
+    """(docs, chunks with vectors) of decoded files, whose texts need no `spread` when the files are spread already."""
     docs = paths.with_document(decoded.where(F.col("text").isNotNull()))
     chunks = chunking.chunk_docs(docs, text_mode)
     if enrich_code:
         chunks = enrich.enrich_chunks(chunks, docs)
-    return docs, embed(chunks, "content", embedder, spread_by="chunk_id")
+    return docs, embed(chunks, "content", embedder, spread_by="chunk_id" if spread else None)
 
 
 def ingest_files(files: DataFrame, max_mb: float = config.MAX_FILE_MB, **options) -> Ingestion:

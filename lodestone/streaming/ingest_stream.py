@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.operators import filters
@@ -20,7 +20,7 @@ MANIFEST_SCHEMA = (
 def latest_versions(batch: DataFrame) -> DataFrame:
     """The newest row of each file; a file may come several times in one batch.
 
-    Only keys and digests are ranked. Of rows with one time the deletion wins, then the longest,
+    The content moves once, by the name of its file. Of rows with one time the deletion wins, then the longest,
     then the largest digest, so the choice never depends on the order of the rows.
     """
     gone = F.coalesce("deleted", F.lit(False))
@@ -28,9 +28,9 @@ def latest_versions(batch: DataFrame) -> DataFrame:
     marked = batch.withColumn("_version", F.struct(
         F.col("mtime").alias("mtime"), gone.alias("deleted"), F.coalesce("length", F.lit(-1)).alias("length"), digest.alias("digest")
     ))
-    newest = marked.groupBy("repo_name", "rel_path").agg(F.max("_version").alias("_version"))
-    chosen = marked.join(newest, ["repo_name", "rel_path", "_version"], "left_semi")
-    return chosen.dropDuplicates(["repo_name", "rel_path"]).drop("_version")
+    order = Window.partitionBy("repo_name", "rel_path").orderBy(F.desc("_version"))
+    named = marked.where(F.col("repo_name").isNotNull() & F.col("rel_path").isNotNull())
+    return named.withColumn("_at", F.row_number().over(order)).where(F.col("_at") == 1).drop("_version", "_at")
 
 
 def apply_batch(
@@ -47,13 +47,14 @@ def apply_batch(
     newest = latest_versions(batch).join(stored, ["repo_name", "rel_path"], "left")
     newest = newest.where(F.col("stored").isNull() | F.col("mtime").isNull() | (F.col("mtime") >= F.col("stored")))
     with scratch.run_folder(spark, "batch") as aside:
-        newest.drop("stored").write.parquet(aside)
+        newest.drop("stored").write.option("compression", scratch.COMPRESSION).parquet(aside)
         rows = spark.read.schema(batch.schema).parquet(aside)
         alive = rows.where(~F.coalesce("deleted", F.lit(False)))
         usable = alive.where(
             ~filters.is_binary(F.col("content")) & ~filters.too_large(F.col("length"))
         )
-        _, chunks = chunk_files(read_text(usable), embedder, **options)
+        # The files of the batch were dealt by their names, so their chunks need not move to be embedded.
+        _, chunks = chunk_files(read_text(usable), embedder, spread=False, **options)
         index_store.upsert_files(spark, index_path, rows.select("repo_name", "rel_path", "mtime"), chunks, buckets)
 
 
