@@ -15,7 +15,8 @@ from lodestone.functions import text as tx
 
 Embedder = Callable[[Column], Column]
 
-_ROWS_PER_BLOCK = 1024
+# Rows whose sums stay in a cache of the processor.
+_ROWS_PER_BLOCK = 128
 
 
 def _term_digests(terms: pa.Array) -> pa.ListArray:

@@ -246,7 +246,7 @@ class _Cells:
             chosen = np.flatnonzero(self.wanted[self.place[cell]])
             if len(chosen):
                 own = pa.RecordBatch.from_arrays([ids, vectors], names=["id", "embedding"]).filter(pa.array(cells == cell))
-                for block in vector._blocks(own, len(chosen)):
+                for block in vector._blocks(own, len(chosen), 1):
                     self.best.add(vector._ids(block.column(0)), vector._matrix(block.column(1)), chosen)
 
 

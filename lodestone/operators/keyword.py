@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DataType
 
@@ -23,28 +24,40 @@ def _terms(chunks: DataFrame) -> DataFrame:
     return placed.select("chunk_id", tx.tokens(F.col("content")).alias("terms"))
 
 
-def _counted(texts: Column) -> Column:
-    """Of the texts of one chunk, usually a single one, counted inside the row: `lengths`, the terms of each text, and
-    `entries` (term, tf, dl, leads)."""
-
-    def entries(lists: Column) -> Column:
-        firsts = F.transform(lists, lambda terms: F.get(terms, F.lit(0)))
-        length = F.size(F.get(F.filter(lists, lambda terms: F.size(terms) > 0), F.lit(0))).cast("bigint")
-
-        def runs(every: Column) -> Column:
-            def counted(heads: Column) -> Column:
-                return F.transform(heads, lambda i, j: tx.let(F.get(every, i), lambda term: F.struct(
-                    term.alias("term"), (F.coalesce(F.get(heads, j + 1), F.size(every)) - i).cast("bigint").alias("tf"),
-                    length.alias("dl"), F.array_contains(firsts, term).alias("leads"),
-                )))
-
-            first = lambda i: (i == 0) | (F.get(every, i) != F.get(every, i - 1))
-            return tx.let(F.filter(F.sequence(F.lit(0), F.size(every) - 1), first), counted)
+def _counts(terms: pa.Array) -> pa.Array:
+    """Of each list of terms the distinct ones, in order, and how often they occur."""
+    coded = terms.flatten().dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    rows = np.repeat(np.arange(len(terms)), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+    keys = np.sort(rows * len(order) + place[coded.indices.to_numpy(zero_copy_only=False)])
+    heads = np.flatnonzero(np.diff(keys, prepend=-1))
+    row, at = np.divmod(keys[heads], max(len(order), 1))
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(terms)))))
+    found = [coded.dictionary.take(pa.array(order[at])), pa.array(np.diff(heads, append=len(keys)), pa.int64())]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(found, ["term", "tf"]))
+
+
+def _counted(whole: DataFrame) -> DataFrame:
+    """Texts of a chunk, usually a single one, counted inside the row: `lengths` and `firsts`, the number of terms and the
+    first term of each text, `dl`, and `counts` (term, tf)."""
+    others = [c for c in whole.columns if c != "_texts"]
+    counts = F.arrow_udf("array<struct<term:string,tf:bigint>>")(_counts)
+    lists = whole.select(*others, F.transform("_texts", tx.tokens).alias("_lists"))
+    found = lists.select(
+        *others, F.transform("_lists", lambda terms: F.size(terms)).alias("lengths"),
+        F.transform("_lists", lambda terms: F.get(terms, F.lit(0))).alias("firsts"), counts(F.flatten("_lists")).alias("counts"),
+    )
+    return found.withColumn("dl", F.get(F.filter("lengths", lambda n: n > 0), F.lit(0)).cast("bigint"))
 
-        return tx.let(F.sort_array(F.flatten(lists)), lambda every: F.when(F.size(every) > 0, runs(every)))
 
-    counted = lambda lists: F.struct(F.transform(lists, lambda terms: F.size(terms)).alias("lengths"), entries(lists).alias("entries"))
-    return tx.let(F.transform(texts, tx.tokens), counted)
+def _rows_of(counted: DataFrame, *keep: str) -> DataFrame:
+    """The postings of counted chunks."""
+    # The outer form keeps Spark from tokenizing once more to drop empty texts ahead of it.
+    rows = counted.select("chunk_id", "dl", "firsts", *keep, F.explode_outer("counts").alias("p"))
+    leads = F.array_contains("firsts", F.col("p.term"))
+    return rows.select("chunk_id", "p.term", "p.tf", "dl", leads.alias("leads"), *keep).where(F.col("term").isNotNull())
 
 
 def _whole(chunks: DataFrame, *keep: str) -> DataFrame:
@@ -66,25 +79,29 @@ def postings(chunks: DataFrame, *keep: str) -> DataFrame:
     its partition. The rows of a chunk follow each other in one task, which a search relies on.
     Rows with one `chunk_id` are one chunk, whose postings come once for the `keep` columns of each.
     """
-    # The outer form keeps Spark from tokenizing once more to drop empty texts ahead of it.
-    found = _whole(chunks, *keep).select(
-        "chunk_id", *(["_rows"] if keep else []), F.explode_outer(_counted(F.col("_texts"))["entries"]).alias("p")
-    )
-    found = found.select("chunk_id", "p.term", "p.tf", "p.dl", "p.leads", *(["_rows"] if keep else [])).where(F.col("term").isNotNull())
+    found = _rows_of(_counted(_whole(chunks, *keep)), *(["_rows"] if keep else []))
     if not keep:
         return found
     return found.withColumn("_row", F.explode("_rows")).select("chunk_id", "term", "tf", "dl", "leads", *[f"_row.{c}" for c in keep])
 
 
+def kept_chunks(chunks: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings, corpus size, rows): what `kept_postings` gives, and (chunk_id, *keep) of each row of the chunks.
+
+    A search shows few of the chunks it reads; kept beside their counts, they are not cut and moved again for that.
+    """
+    kept = scratch.materialize(_counted(_whole(chunks, *keep)), "postings")
+    rows = kept.select("chunk_id", F.explode("_rows").alias("_row")).select("chunk_id", "_row.*") if keep else kept.select("chunk_id")
+    return _rows_of(kept), _size_of(kept.select(F.explode("lengths").alias("dl"))), rows
+
+
 def kept_postings(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(postings, corpus size) as `postings` and `corpus_size_of` give them, of texts that are tokenized once.
 
     A search reads the postings for the document frequencies and again for the scores. The counts of
     a chunk are one row of a table in the shared folder, so its postings stay together in one task.
     """
-    kept = scratch.materialize(_whole(chunks).select("chunk_id", _counted(F.col("_texts")).alias("counted")), "postings")
-    found = kept.select("chunk_id", F.explode("counted.entries").alias("p")).select("chunk_id", "p.term", "p.tf", "p.dl", "p.leads")
-    return found, _size_of(kept.select(F.explode("counted.lengths").alias("dl")))
+    return kept_chunks(chunks)[:2]
 
 
 def corpus_size(postings: DataFrame) -> DataFrame:
@@ -191,12 +208,13 @@ def bm25_topk(
     if small:
         if not grouped:
             found = found.select("chunk_id", "term", "tf", "dl").repartition("chunk_id")
-        listed = found.join(F.broadcast(_queries_of(terms)), "term")
+        numbers, lists, known, kind = _numbered(asked)
+        listed = found.join(F.broadcast(document_frequency(found).join(F.broadcast(numbers), "term")), "term")
         weight = bm25_weight(F.col("tf"), F.col("dl"), F.col("df"), whole["n"], whole["avgdl"])
-        rows = listed.select("chunk_id", "queries", weight.alias("weight"))
+        rows = listed.select("chunk_id", "number", weight.alias("weight"))
         # Spark drops a sort that a join follows
         rows = rows if grouped else rows.sortWithinPartitions("chunk_id")
-        return top_k(rows.mapInArrow(*_scored_chunks(asked, postings.schema["chunk_id"].dataType, k)), k)
+        return top_k(rows.mapInArrow(*_scored_chunks(lists, known, kind, postings.schema["chunk_id"].dataType, k)), k)
     hits = lookup_join(found, terms, "term", spread="chunk_id", broadcast=False)
     weight = bm25_weight(F.col("tf"), F.col("dl"), F.col("df"), whole["n"], whole["avgdl"])
     scored = hits.groupBy("query_id", "chunk_id").agg(F.sum(weight).alias("score"))
@@ -214,20 +232,35 @@ def _asked_ids(asked: DataFrame) -> tuple[np.ndarray, pa.DataType, str]:
     return found.to_numpy(), found.type, asked.schema["query_id"].dataType.simpleString()
 
 
-def _offer(best: vector._Running, known: np.ndarray, chunk: np.ndarray, names: np.ndarray, queries: pa.ListArray, weight: np.ndarray) -> None:
-    """Sum the weights of postings, given the number of their chunk, per query and chunk."""
-    counts = np.diff(np.asarray(queries.offsets))
-    query = np.searchsorted(known, queries.flatten().to_numpy(zero_copy_only=False))
-    cell = query * len(names) + np.repeat(chunk, counts)
-    cells = len(known) * len(names)
-    score = np.rint(np.bincount(cell, np.repeat(weight, counts), cells) * vector._SCALE)
-    score[np.bincount(cell, minlength=cells) == 0] = -1
-    best.offer(names, score.reshape(len(known), -1), np.arange(len(known)), least=0)
+def _numbered(asked: DataFrame) -> tuple[DataFrame, pa.ListArray, pa.Array, str]:
+    """Of (query_id, term) that fit a broadcast: (term, number); per number the places of its queries among their ids; the
+    ids in order and their type. A posting then names a number, not each of the queries that ask for its term."""
+    pairs = asked.select("term", "query_id").orderBy("term").toArrow().combine_chunks()
+    coded, ids = (pairs.column(c).combine_chunks() for c in ("term", "query_id"))
+    coded, known = coded.dictionary_encode(), ids.unique().sort()
+    number, terms = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(number, minlength=len(terms)))))
+    places = pc.index_in(ids, known).take(pa.array(np.argsort(number, kind="stable")))
+    numbers = asked.sparkSession.createDataFrame(pa.table({"term": terms, "number": pa.array(np.arange(len(terms)), pa.int32())}))
+    return numbers, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), places), known, asked.schema["query_id"].dataType.simpleString()
 
 
-def _scored_chunks(asked: DataFrame, id_kind: DataType, k: int) -> tuple:
-    """A step over (chunk_id, queries, weight), the rows of a chunk together, and its schema: the best k per query and task."""
-    known, query_type, kind = _asked_ids(asked)
+def _offer(best: vector._Running, chunk: np.ndarray, names: np.ndarray, queries: pa.ListArray, weight: np.ndarray) -> None:
+    """Sum the weights of postings, given the number of their chunk and the places of their queries, per query and chunk."""
+    counts = np.diff(np.asarray(queries.offsets))
+    known = len(best.query_ids)
+    cell = queries.flatten().to_numpy(zero_copy_only=False) * np.int64(len(names)) + np.repeat(chunk, counts)
+    cells = known * len(names)
+    score = np.bincount(cell, np.repeat(weight, counts), cells)
+    none = score == 0 if (weight > 0).all() else np.bincount(cell, minlength=cells) == 0
+    score = np.rint(score * vector._SCALE)
+    score[none] = -1
+    best.offer(names, score.reshape(known, -1), np.arange(known), least=0)
+
+
+def _scored_chunks(lists: pa.ListArray, ids: pa.Array, kind: str, id_kind: DataType, k: int) -> tuple:
+    """A step over (chunk_id, number, weight), the rows of a chunk together, and its schema: the best k per query and task."""
+    known, query_type = ids.to_numpy(zero_copy_only=False), ids.type
     most = max(1, vector._CELLS // max(len(known), 1))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +273,7 @@ def _scored_chunks(asked: DataFrame, id_kind: DataType, k: int) -> tuple:
                 own = rows.slice(first, last - first)
                 heads = starts[low:low + most] - first
                 chunk = np.repeat(np.arange(len(heads)), np.diff([*heads, own.num_rows]))
-                _offer(best, known, chunk, vector._ids(own.column(0).take(pa.array(heads))), own.column(1), own.column(2).to_numpy())
+                _offer(best, chunk, vector._ids(own.column(0).take(pa.array(heads))), lists.take(own.column(1)), own.column(2).to_numpy())
 
         for batch in batches:
             if not batch.num_rows:
@@ -313,6 +346,8 @@ def _best_of_places(
                 return
             table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             entries, queries = table.column(3), table.column(1)
+            places = np.searchsorted(known, queries.flatten().to_numpy(zero_copy_only=False))
+            queries = pa.ListArray.from_arrays(pa.array(np.asarray(queries.offsets) - queries.offsets[0].as_py(), pa.int32()), pa.array(places))
             sizes = np.diff(np.asarray(entries.offsets))
             flat = entries.flatten()
             tf, dl = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("tf", "dl"))
@@ -322,7 +357,7 @@ def _best_of_places(
             norm = config.BM25_K1 * (1 - config.BM25_B + config.BM25_B * dl / table.column(5).to_numpy()[row])
             coded = flat.field("chunk_id").dictionary_encode()
             _offer(
-                best, known, coded.indices.to_numpy(), vector._ids(coded.dictionary), queries.take(pa.array(row)),
+                best, coded.indices.to_numpy(), vector._ids(coded.dictionary), queries.take(pa.array(row)),
                 idf * tf * (config.BM25_K1 + 1) / (tf + norm),
             )
 

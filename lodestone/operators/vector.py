@@ -111,8 +111,10 @@ def _ids(column: pa.Array) -> np.ndarray:
     return values.astype(str) if values.dtype == object else values
 
 
-def _blocks(batch: pa.RecordBatch, n_queries: int) -> Iterator[pa.RecordBatch]:
-    rows = max(64, _CELLS // max(n_queries, 1))
+def _blocks(batch: pa.RecordBatch, n_queries: int, vectors: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that bound the scores held at a time, and the values of column `vectors` in double precision."""
+    width = len(batch.column(vectors).flatten()) // max(batch.num_rows, 1)
+    rows = max(64, min(_CELLS // max(n_queries, 1), _BLOCK_VALUES // max(width, 1)))
     for start in range(0, batch.num_rows, rows):
         yield batch.slice(start, rows)
 
@@ -127,7 +129,7 @@ def _against(query_ids: np.ndarray, queries: np.ndarray, k: int, id_name: str, i
     def step(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Running(query_ids, queries, k)
         for batch in batches:
-            for block in _blocks(_with_vector(batch), len(query_ids)):
+            for block in _blocks(_with_vector(batch), len(query_ids), 1):
                 best.add(_ids(block.column(0)), _matrix(block.column(1)))
         result = best.result(id_name, id_type)
         if result is not None:
@@ -165,7 +167,7 @@ def _per_cell(k: int, id_name: str, id_type: pa.DataType) -> Callable:
                         continue
                     ids = np.concatenate([np.asarray(p.column(3)) for p in held])
                     best = _Running(ids, np.concatenate([_matrix(p.column(5)) for p in held]), k)
-                for block in _blocks(part, len(best.query_ids)):
+                for block in _blocks(part, len(best.query_ids), 5):
                     best.add(_ids(block.column(4)), _matrix(block.column(5)))
         result = flush()
         if result is not None:
