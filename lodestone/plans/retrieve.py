@@ -29,15 +29,15 @@ def hybrid_search(
     """
     asked = guard_query(queries).where(F.col("status") == "ok")
     vectors = embed(asked, "query", embedder)
-    grouped = postings is None
+    grouped, shown = postings is None, index
     if grouped:
-        postings, size = keyword.kept_postings(index)
+        postings, size, shown = keyword.kept_chunks(index, "content", "metadata")
     lexical = keyword.bm25_topk(asked, postings, top_k_bm25, size, grouped)
     dense = vector.dense_topk(vectors, index, top_k_embedding)
     ranked = fusion.fuse([lexical, dense], join_mode)
     per_query = top_k_bm25 + top_k_embedding
     few = fits_broadcast(asked.select("query_id"), config.BROADCAST_MAX_ROWS // max(per_query, 1))
-    return with_chunks(ranked, index, broadcast=few)
+    return with_chunks(ranked, shown, broadcast=few)
 
 
 def with_chunks(ranked: DataFrame, index: DataFrame, broadcast: bool) -> DataFrame:
