@@ -11,12 +11,16 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.functions import text as tx
 from lodestone.plans.sizing import partitions_of
 
+#: What a line needs to open a string, comment or bracket, or to close a bracket.
+_MARKS = r"""["'`/#{}()\[\]]"""
 _ESCAPED = r"\\[\s\S]?|"
 #: Opens an expression inside a template; the stack holds it with the number of braces open in it.
 _HOLE = "${"
@@ -142,6 +146,62 @@ def _leave(line: str, at: int, stack: list[str], rules: Rules, top: str) -> int:
     return found.end()
 
 
+class State:
+    """Where the lines read so far leave a document."""
+
+    def __init__(self) -> None:
+        self.stack: list[str] = []
+        self.depth = self.brackets = 0
+
+    def scan(self, languages: pa.Array, numbers: pa.Array, lines: pa.Array) -> list[pa.Array]:
+        """(code, inside, depth, bracket_depth) of lines that follow each other.
+
+        Outside strings and comments a line without a mark is code as a whole and leaves the state as it is, so
+        only the first lines of documents, lines with marks and those within strings and comments are looked at.
+        """
+        heads = pc.equal(numbers, 0)
+        stops = np.flatnonzero(pc.or_(heads, pc.match_substring_regex(lines, _MARKS)).to_numpy(zero_copy_only=False)).tolist()
+        heads = set(np.flatnonzero(heads.to_numpy(zero_copy_only=False)).tolist())
+        seen: list[int] = []
+        codes: list[str] = []
+        # from which line on: inside, depth, bracket depth
+        since, states = [0], [(self._inside(), self.depth, self.brackets)]
+        at, n = 0, len(lines)
+        stops.append(n)
+        for stop in stops:
+            # a string or comment goes on over lines of any kind
+            while at < stop and self.stack:
+                at = self._line(at, languages, lines, seen, codes, since, states)
+            at = max(at, stop)
+            if at < n:
+                if at in heads:
+                    self.stack, self.depth, self.brackets = [], 0, 0
+                    since.append(at)
+                    states.append((False, 0, 0))
+                at = self._line(at, languages, lines, seen, codes, since, states)
+        held = np.diff(np.append(since, n))
+        inside, depth, brackets = (np.repeat([x[i] for x in states], held) for i in range(3))
+        mask = np.zeros(n, bool)
+        mask[seen] = True
+        code = pc.replace_with_mask(lines, pa.array(mask), pa.array(codes, lines.type))
+        return [code, pa.array(inside, pa.bool_()), pa.array(depth, pa.int32()), pa.array(brackets, pa.int32())]
+
+    def _inside(self) -> bool:
+        return bool(self.stack) and not self.stack[-1].startswith(_HOLE)
+
+    def _line(self, at: int, languages: pa.Array, lines: pa.Array, seen: list, codes: list, since: list, states: list) -> int:
+        rules, line = RULES.get(languages[at].as_py()), lines[at].as_py()
+        code = line if rules is None else scan_line(line, self.stack, rules)
+        seen.append(at)
+        codes.append(code)
+        braces = code.count("{") - code.count("}")
+        self.depth += braces
+        self.brackets += braces + code.count("(") - code.count(")") + code.count("[") - code.count("]")
+        since.append(at + 1)
+        states.append((self._inside(), self.depth, self.brackets))
+        return at + 1
+
+
 def numbered_lines(sources: DataFrame, partitions: int | None = None) -> DataFrame:
     """(doc_id, language, line_no, line) of the texts; lines are numbered from 0."""
     n = partitions or partitions_of(sources, "text")
@@ -161,23 +221,9 @@ def lexed_lines(sources: DataFrame) -> DataFrame:
     lines = numbered_lines(sources, n)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack: list[str] = []
-        depth = brackets = 0
+        state = State()
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [])
-            columns = (batch.column(c).to_pylist() for c in ("language", "line_no", "line"))
-            for language, number, line in zip(*columns, strict=True):
-                if number == 0:
-                    stack, depth, brackets = [], 0, 0
-                rules = RULES.get(language)
-                inside = bool(stack) and not stack[-1].startswith(_HOLE)
-                code = line if rules is None else scan_line(line, stack, rules)
-                for column, value in zip(rows, (code, inside, depth, brackets), strict=True):
-                    column.append(value)
-                braces = code.count("{") - code.count("}")
-                depth += braces
-                brackets += braces + code.count("(") - code.count(")") + code.count("[") - code.count("]")
-            found = [pa.array(v, t) for v, t in zip(rows, (pa.string(), pa.bool_(), pa.int32(), pa.int32()), strict=True)]
+            found = state.scan(*(batch.column(c) for c in ("language", "line_no", "line")))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *found], names=[*batch.schema.names, "code", "inside", "depth", "bracket_depth"]
             )
