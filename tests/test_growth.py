@@ -305,6 +305,12 @@ def test_what_is_kept_with_an_index_names_a_chunk_once(spark, monkeypatch, tmp_p
     assert best(keyword.bm25_topk(asked, lists, 4, size)) == best(keyword.bm25_topk(asked, keyword.postings(index_store._stored(spark, path).where("chunk_no >= 0"), "repo_name"), 4))
     blocks = index_store.read_index_blocks(spark, path)
     assert keyword.bm25_topk_blocks(asked, blocks, 4, 1)[0].count()
+    # a chunk that is there three times scores as often, and its place is not taken for worse
+    index_store.write_index(chunks.unionByName(chunks.limit(20)).unionByName(chunks.limit(20)), path, "overwrite")
+    lists, size = index_store.read_index_postings(spark, path)
+    blocks = index_store.read_index_blocks(spark, path)
+    assert best(keyword.bm25_topk_blocks(asked, blocks, 4, 1)[0]) == best(keyword.bm25_topk(asked, lists, 4, size))
+    assert blocks.where("term is not null").agg(F.max("times")).first()[0] == 3
 
 
 def test_an_update_compares_hashes_of_files(spark, monkeypatch):
